@@ -9,15 +9,14 @@ from roadloom.llm.common import materialize
 from roadloom.llm.jaccard import near_groups
 from roadloom.llm.language import predict, train
 from roadloom.llm.lines import dedup_lines
-from roadloom.llm.mixing import mix_sources
+from roadloom.llm.mixing import with_copies
 from roadloom.llm.packing import pack
 from roadloom.llm.queries import TOKENIZERS
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that could be learned stay; a text that is null or has no letter goes."""
-    found = predict(docs, train(docs)).select(F.col("doc_id").alias("id_"), "lang_pred").where("lang_pred <> 'und'").dropDuplicates(["id_"])
-    return docs.join(found, docs["doc_id"] == found["id_"], "left_semi")
+    return predict(docs, train(docs), keep=True).where("lang_pred <> 'und'").select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes of it: none, one or two."""
-    mix = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("id_"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("copy"))
-    return docs.join(mix, docs["doc_id"] == mix["id_"]).select(*[docs[c] for c in docs.columns], F.explode(mix["copy"])).drop("col")
+    mix = with_copies(docs).where("__copies > 0")
+    return mix.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

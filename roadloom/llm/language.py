@@ -154,19 +154,19 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, words: int = SAMPLE_WORDS, s
     return model
 
 
-def predict(docs: DataFrame, model: BiGRU | None, text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for every row: the class with the largest mean probability over all byte positions.
+def predict(docs: DataFrame, model: BiGRU | None, keep: bool = False) -> DataFrame:
+    """doc_id (keep: all columns), lang_pred, score for every row: the class with the largest mean probability over all byte positions.
 
     und with score 0 if the text is null or has no letter, or nothing could be learned. The text alone decides, whole.
     A word's positions depend on its bytes only, so each distinct word is read once and its sum kept by hash.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.classes, model.p) if model else None)
+    names = docs.columns if keep else ["doc_id"]
+    shared = docs.sparkSession.sparkContext.broadcast((model.classes, model.p) if model else None)
 
     def run(batches):
         if shared.value is None:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["und"] * batch.num_rows), pa.array([0.0] * batch.num_rows)], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*pick(batch, *names), pa.array(["und"] * batch.num_rows, pa.string()), pa.array([0.0] * batch.num_rows)], [*names, "lang_pred", "score"])
             return
         classes, weights = shared.value
         net = BiGRU(classes, len(weights["uf"]))
@@ -177,7 +177,7 @@ def predict(docs: DataFrame, model: BiGRU | None, text: str = "text") -> DataFra
             _CACHES[mark] = HashCache(len(classes), np.float32), Roll(11)
         cache, roll = _CACHES[mark]
         for batch in chunks(batches, most=2 << 20):
-            ids, texts = pick(batch, "doc_id", "text")
+            texts = batch.column(batch.schema.get_field_index("text"))
             data, offsets = bytes_of(texts)
             starts, ends, first = word_spans(data, offsets)
             sums = np.zeros((len(starts), len(classes)), np.float32)
@@ -197,9 +197,9 @@ def predict(docs: DataFrame, model: BiGRU | None, text: str = "text") -> DataFra
             best, score = pooled.argmax(1), pooled.max(1)
             letter = [t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([classes[b] if ok else "und" for b, ok in zip(best, letter)], pa.string()), pa.array(np.where(letter, np.clip(score, 0, 1), 0.0), pa.float64())],
-                ["doc_id", "lang_pred", "score"],
+                [*pick(batch, *names), pa.array([classes[b] if ok else "und" for b, ok in zip(best, letter)], pa.string()), pa.array(np.where(letter, np.clip(score, 0, 1), 0.0), pa.float64())],
+                [*names, "lang_pred", "score"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, f"{schema}, lang_pred string, score double")

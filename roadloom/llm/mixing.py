@@ -21,8 +21,8 @@ def targets(sources: DataFrame, weights: list[int], share: float, cap: float) ->
     Weights repeat over the sources in code point order, null last. Sources sorted by cap / weight fill up first;
     the rest share what is left by weight (water filling in closed form). Only the table of sources is ordered.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
+    order = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (order % len(weights) + 1).cast("int"))
     s = sources.withColumn("w", weight).withColumn("most", F.lit(float(cap)) * F.col("source_size"))
     order = Window.orderBy(F.col("most") / F.col("w"), F.col("source").isNull(), F.col("source"))
     before, rest, every = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
@@ -66,10 +66,23 @@ def _boundary(sized: DataFrame, state: DataFrame, bits: int) -> DataFrame:
     return sized.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", bits) == F.col("edge"))).select("source", "h", "size")
 
 
-def sized_documents(docs: DataFrame, salt: int = 0, text: str = "text") -> DataFrame:
-    """(doc_id, source, size, h): h is a 60-bit hash of doc_id."""
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(salt), F.col("doc_id")), 64 - HASH_BITS)
-    return docs.select("doc_id", "source", word_count(text).alias("size"), h.alias("h"))
+def place(salt: int) -> Column:
+    """A 60-bit hash of doc_id."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), F.col("doc_id")), 64 - HASH_BITS)
+
+
+def _marks(sized: DataFrame, weights, share: float, cap: float) -> DataFrame:
+    goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), share, cap)
+    return thresholds(sized, materialize(goals))
+
+
+def with_copies(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, salt: int = 0) -> DataFrame:
+    """All columns of docs and __copies, how often the mix takes the row (0, 1 or 2). Texts are not moved: only the
+    small table of sources is joined."""
+    sized = materialize(docs.select("source", word_count("text").alias("size"), place(salt).alias("h")))
+    marks = _marks(sized, weights, share, cap).select(F.col("source").alias("__source"), F.col("rounds").alias("__rounds"), F.col("below").alias("__below"))
+    joined = docs.join(marks, docs["source"].eqNullSafe(marks["__source"]))
+    return joined.withColumn("__copies", (F.col("__rounds") + (place(salt) < F.col("__below")).cast("long")).cast("int")).drop("__source", "__rounds", "__below")
 
 
 def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, salt: int = 0) -> DataFrame:
@@ -78,9 +91,8 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: flo
     A null or empty text has size 0 and takes 0; a null source is a source of its own, last in order; repeated rows
     count each; an empty table gives no rows. Other columns of docs are not read. The same rows and salt give the same mix.
     """
-    sized = materialize(sized_documents(docs, salt))
-    goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), share, cap)
-    marks = thresholds(sized, materialize(goals)).withColumnRenamed("source", "s")
+    sized = materialize(docs.select("doc_id", "source", word_count("text").alias("size"), place(salt).alias("h")))
+    marks = _marks(sized, weights, share, cap).withColumnRenamed("source", "s")
     copies = (F.col("rounds") + (F.col("h") < F.col("below")).cast("long")).alias("copies")
     return sized.join(marks, F.col("source").eqNullSafe(F.col("s"))).select(
         "doc_id", "source", "size", "source_size", "target", copies
