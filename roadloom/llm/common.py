@@ -49,7 +49,7 @@ def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches, column: str = "text", most: int = 1 << 20):
+def chunks(batches, column: str = "text", most: int = 1 << 18):
     """Slices of record batches whose text holds about `most` bytes; a longer text stands alone, whole."""
     for batch in batches:
         if not batch.num_rows:

@@ -5,8 +5,9 @@ fixed-size table of counts over the whole corpus, then by hash) is its Voronoi r
 share a pivot that is among the first n - ceil((1 - t) * n) + 1 of both, so a document is replicated over just that
 window of regions. Whole documents as first-level pivots don't work on text: nearly all distances are 1.
 Inside a region a document becomes the pivot; all members are compared with it. Members that end up in one component
-need no further pairs; the others join recursively, within the windows that the triangle inequality leaves around
-their distances to the pivot.
+need no further pairs; the others join recursively. Before any sets are moved, each pair must lie in the windows that the
+triangle inequality leaves around CLASSES more pivots: the shingles of one hash class each. A document's distances to
+them are its counts by class, and no two documents differ less than those counts do.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from roadloom.llm.components import components
 
 #: Counts of the corpus table (2**18 of 4 bytes, 1 MB) and the rows it is dealt in.
 SKETCH_BITS, SKETCH_ROWS = 18, 64
+#: Hash classes whose counts (a byte each) bound the distance of two sets from below.
+CLASSES = 256
 
 
 def shingle_sets(batch, k: int, roll: Roll):
@@ -76,10 +79,14 @@ def _counts(docs: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def _window(n: int, num: int, den: int) -> int:
+def _window(n, num: int, den: int):
     return n - -(-num * n // den) + 1
 
 
+def _class_counts(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
+
+
 def near_groups(docs: DataFrame, k: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
@@ -96,10 +103,11 @@ def near_groups(docs: DataFrame, k: int = 5, least: tuple[int, int] = (4, 5)) ->
     def heads(batches):
         roll = Roll(1, lower=True)
         for batch in chunks(batches):
-            n, digest, window = [], [], []
+            n, digest, window, counts = [], [], [], []
             for s in shingle_sets(batch, k, roll):
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                counts.append(_class_counts(s))
                 if not len(s):
                     window.append(b"")
                     continue
@@ -107,41 +115,44 @@ def near_groups(docs: DataFrame, k: int = 5, least: tuple[int, int] = (4, 5)) ->
                 common = table.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.lexsort((s, common))[:size] if size < len(s) else slice(None)
                 window.append(s[order].tobytes())
-            yield pa.RecordBatch.from_arrays([*pick(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(window, pa.binary())], ["doc_id", "n", "digest", "window"])
+            yield pa.RecordBatch.from_arrays([*pick(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(window, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "n", "digest", "window", "counts"])
 
-    rows = materialize(docs.mapInArrow(heads, "doc_id long, n long, digest binary, window binary"))
+    rows = materialize(docs.mapInArrow(heads, "doc_id long, n long, digest binary, window binary, counts binary"))
     classes = materialize(rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
 
     def spread(batches):
         for batch in batches:
             data, offsets = bytes_of(batch.column(batch.schema.get_field_index("window")).cast(pa.large_binary()))
-            many = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(offsets) // 8))
-            yield pa.RecordBatch.from_arrays([pa.array(data.view(np.int64)), *(c.take(many) for c in pick(batch, "doc_id", "n"))], ["pivot", "doc", "n"])
-
-    firsts = rows.join(classes, (rows.digest == classes.digest) & (rows.doc_id == classes.rep)).select("window", "doc_id", "n")
-    entries = firsts.mapInArrow(spread, "pivot long, doc long, n long")
-    regions = entries.groupBy("pivot").agg(F.count("*").alias("c"), F.min("doc").alias("center")).where("c > 1").drop("c")
+            size = np.diff(offsets) // 8
+            many = np.repeat(np.arange(batch.num_rows), size)
+            n = batch.column(batch.schema.get_field_index("n")).to_numpy()[many]
+            place = np.arange(len(many)) - np.repeat(np.cumsum(size) - size, size)
+            head = place < _window(n, 2 * num, num + den)
+            yield pa.RecordBatch.from_arrays([pa.array(data.view(np.int64)), batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(many)), pa.array(n), pa.array(head)], ["pivot", "doc", "n", "head"])
+
+    one = rows.join(classes, (rows.digest == classes.digest) & (rows.doc_id == classes.rep))
+    entries = one.select("window", "doc_id", "n").mapInArrow(spread, "pivot long, doc long, n long, head boolean")
+    regions = entries.groupBy("pivot").agg(F.count("*").alias("c"), F.max("head").alias("any"), F.min(F.struct("doc", "n", "head")).alias("center")).where("c > 1 and any").select("pivot", "center")
     members = materialize(entries.join(regions, "pivot"))
-    sets = _sets(docs, members.select("doc").distinct(), k)
-
-    star = members.where("doc <> center").select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct()
-    seen = materialize(_distances(star, sets, num, den))
-    links = seen.where("linked").select("a", "b")
-    # what the star of each region leaves: members of different components, within the windows around their distances
-    part = components(links)
-    known = members.join(seen.select(F.col("a").alias("center"), F.col("b").alias("doc"), "distance"), ["center", "doc"], "left")
-    known = known.join(part.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    counts = materialize(one.select(F.col("doc_id").alias("id"), "n", "counts").join(members.select(F.col("doc").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]))
+
+    def meet(x: str, y: str):
+        """Sizes fit, and the pivot is in the head of the smaller set: every pair within distance t has such a pivot."""
+        n, m, hx, hy = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.head", f"{y}.head"))
+        return (F.least(n, m) * den >= F.greatest(n, m) * num) & F.when(n < m, hx).when(n > m, hy).otherwise(hx | hy)
+
+    pair = lambda x, y: (F.least(f"{x}.doc", f"{y}.doc").alias("a"), F.greatest(f"{x}.doc", f"{y}.doc").alias("b"))
+    star = members.alias("m").where((F.col("doc") != F.col("center.doc")) & meet("center", "m")).select(*pair("center", "m")).distinct()
+    seen = materialize(_links(docs, star, counts, k, num, den))
+    # what the star of each region leaves: members of different components
+    part = components(seen).withColumnRenamed("node", "doc")
+    known = members.join(part, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = known.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("pivot")
-    rest = materialize(known.where("doc <> center").join(mixed, "pivot"))
+    rest = materialize(known.where(F.col("doc") != F.col("center.doc")).join(mixed, "pivot").drop("center"))
     x, y = rest.alias("x"), rest.alias("y")
-    window = (
-        (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.component") < F.col("y.component"))
-        & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
-        & (F.abs(F.col("x.distance") - F.col("y.distance")) <= (den - num) / den + 1e-9)
-    )
-    left = x.join(y, window).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
-    more = materialize(_distances(left.join(seen.select("a", "b"), ["a", "b"], "left_anti"), sets, num, den))
-    part = components(links.union(more.where("linked").select("a", "b"))).select(F.col("node").alias("rep"), F.col("component").alias("found"))
+    left = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.component") < F.col("y.component")) & meet("x", "y")).select(*pair("x", "y")).distinct()
+    more = materialize(_links(docs, left, counts, k, num, den))
+    part = components(seen.union(more)).select(F.col("node").alias("rep"), F.col("component").alias("found"))
     final = classes.join(part, "rep", "left").select("digest", F.coalesce("found", "rep").alias("component"))
     out = rows.select("doc_id", "n", "digest").join(final, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -162,22 +173,30 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return materialize(texts.mapInArrow(run, "id long, s binary").dropDuplicates(["id"]))
 
 
-def _distances(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) -> adds distance and linked, decided in whole numbers."""
+def _links(docs: DataFrame, pairs: DataFrame, counts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, decided in whole numbers."""
+    of = lambda c: counts.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
 
-    def run(batches):
+    def near(batches):
+        for batch in batches:
+            if batch.num_rows:
+                ca, cb = (bytes_of(c.cast(pa.large_binary()))[0].reshape(-1, CLASSES).astype(np.int16) for c in pick(batch, "ca", "cb"))
+                na, nb = (c.to_numpy() for c in pick(batch, "na", "nb"))
+                yield batch.filter(pa.array(np.abs(ca - cb).sum(1) * (num + den) <= (den - num) * (na + nb))).select(["a", "b"])
+
+    close = materialize(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(near, "a long, b long"))
+    sets = _sets(docs, close.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), k)
+
+    def compare(batches):
         for batch in batches:
-            sa, sb = pick(batch, "sa", "sb")
-            distance, linked = [], []
-            for p, q in zip(sa, sb):
+            linked = []
+            for p, q in zip(*pick(batch, "sa", "sb")):
                 u, v = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
                 if len(u) > len(v):
                     u, v = v, u
                 both = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
-                every = len(u) + len(v) - both
-                distance.append(1 - both / every)
-                linked.append(den * both >= num * every)
-            yield pa.RecordBatch.from_arrays([*pick(batch, "a", "b"), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "distance", "linked"])
+                linked.append(den * both >= num * (len(u) + len(v) - both))
+            yield batch.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
 
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return full.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, distance double, linked boolean")
+    full = close.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    return full.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")

@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: BiGRU | None, keep: bool = False) -> DataFra
             _CACHES.clear()
             _CACHES[mark] = HashCache(len(classes), np.float32), Roll(11)
         cache, roll = _CACHES[mark]
-        for batch in chunks(batches, most=2 << 20):
+        for batch in chunks(batches, most=1 << 19):
             texts = batch.column(batch.schema.get_field_index("text"))
             data, offsets = bytes_of(texts)
             starts, ends, first = word_spans(data, offsets)

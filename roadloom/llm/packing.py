@@ -131,7 +131,7 @@ def cut_pieces(docs: DataFrame, folder: str, capacity: int = 1024, end_id: int =
 
     def run(batches):
         encode, pid = tokenizer(folder), TaskContext.get().partitionId()
-        for batch in chunks(batches, most=2 << 20):
+        for batch in chunks(batches, most=1 << 19):
             ids, texts = pick(batch, "doc_id", "text")
             rows: list[tuple] = []
             who, tokens = [], []

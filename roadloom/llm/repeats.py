@@ -21,7 +21,7 @@ from roadloom.llm.common import Roll, bytes_of, chunks, id_filter, materialize,
 #: Bytes of an anchor string.
 GRAM = 100
 #: Window starts that are handled at a time; a longer text is read in parts that overlap.
-PART = 1 << 20
+PART = 1 << 18
 
 
 def parts_of(batch, length: int):
