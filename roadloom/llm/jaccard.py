@@ -4,7 +4,7 @@ Every single shingle is a pivot. A document is nearest to the pivots it contains
 fixed-size table of counts over the whole corpus, then by hash) is its Voronoi region. Two documents within distance t
 share a pivot that is among the first n - ceil((1 - t) * n) + 1 of both, so a document is replicated over just that
 window of regions. Whole documents as first-level pivots don't work on text: nearly all distances are 1.
-Inside a region a document becomes the pivot; all members are compared with it. Members that end up in one component
+Inside a region the document with the fewest rarer shingles becomes the pivot; all members are compared with it. Members that end up in one component
 need no further pairs; the others join recursively. Before any sets are moved, each pair must lie in the windows that the
 triangle inequality leaves around CLASSES more pivots: the shingles of one hash class each. A document's distances to
 them are its counts by class, and no two documents differ less than those counts do.
@@ -127,19 +127,18 @@ def near_groups(docs: DataFrame, k: int = 5, least: tuple[int, int] = (4, 5)) ->
             many = np.repeat(np.arange(batch.num_rows), size)
             n = batch.column(batch.schema.get_field_index("n")).to_numpy()[many]
             place = np.arange(len(many)) - np.repeat(np.cumsum(size) - size, size)
-            head = place < _window(n, 2 * num, num + den)
-            yield pa.RecordBatch.from_arrays([pa.array(data.view(np.int64)), batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(many)), pa.array(n), pa.array(head)], ["pivot", "doc", "n", "head"])
+            yield pa.RecordBatch.from_arrays([pa.array(data.view(np.int64)), batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(many)), pa.array(n), pa.array(place)], ["pivot", "doc", "n", "place"])
 
     one = rows.join(classes, (rows.digest == classes.digest) & (rows.doc_id == classes.rep))
-    entries = one.select("window", "doc_id", "n").mapInArrow(spread, "pivot long, doc long, n long, head boolean")
-    regions = entries.groupBy("pivot").agg(F.count("*").alias("c"), F.max("head").alias("any"), F.min(F.struct("doc", "n", "head")).alias("center")).where("c > 1 and any").select("pivot", "center")
+    entries = one.select("window", "doc_id", "n").mapInArrow(spread, "pivot long, doc long, n long, place long")
+    regions = entries.groupBy("pivot").agg(F.count("*").alias("c"), F.min(F.struct("place", "doc", "n")).alias("center")).where("c > 1").select("pivot", "center")
     members = materialize(entries.join(regions, "pivot"))
     counts = materialize(one.select(F.col("doc_id").alias("id"), "n", "counts").join(members.select(F.col("doc").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]))
 
     def meet(x: str, y: str):
-        """Sizes fit, and the pivot is in the head of the smaller set: every pair within distance t has such a pivot."""
-        n, m, hx, hy = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.head", f"{y}.head"))
-        return (F.least(n, m) * den >= F.greatest(n, m) * num) & F.when(n < m, hx).when(n > m, hy).otherwise(hx | hy)
+        """At its first shared pivot a pair within distance t has as much left of either set as it must share."""
+        need = (F.col(f"{x}.n") + F.col(f"{y}.n")) * num
+        return ((F.col(f"{x}.n") - F.col(f"{x}.place")) * (num + den) >= need) & ((F.col(f"{y}.n") - F.col(f"{y}.place")) * (num + den) >= need)
 
     pair = lambda x, y: (F.least(f"{x}.doc", f"{y}.doc").alias("a"), F.greatest(f"{x}.doc", f"{y}.doc").alias("b"))
     star = members.alias("m").where((F.col("doc") != F.col("center.doc")) & meet("center", "m")).select(*pair("center", "m")).distinct()
