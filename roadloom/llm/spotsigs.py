@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,17 +18,30 @@ el los las del y en se por con una su para al lo como""".split()
 MOST_BUCKETS = 500_000
 
 
-def signatures(text: Column) -> Column:
-    """Sorted distinct 64-bit hashes: an anchor word and the next two words that are no anchors.
+def _factored(words) -> str:
+    """A pattern of the words with shared beginnings written once, so that a mismatch is seen at its first letter."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    ends = heads.pop("", None)
+    parts = [re.escape(c) + _factored(rest) for c, rest in heads.items()]
+    body = parts[0] if len(parts) == 1 and ends is None else f"(?:{'|'.join(parts)})" if parts else ""
+    return f"(?:{body})?+" if ends is not None and parts else body
+
+
+def add_signatures(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """Adds sorted distinct 64-bit hashes of signatures: an anchor word and the next two words that are no anchors.
 
-    A text without any has one signature, of its words as a whole.
+    A text without any has one signature, of its words as a whole. Each step is a projection of its own, so that
+    nothing is computed twice.
     """
-    words = "|".join(dict.fromkeys(ANCHORS))
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    skip = f"(?:(?:{words}) )*+"
-    found = F.regexp_extract_all(plain, F.lit(f" (?=((?:{words}) {skip}[^ ]+ {skip}[^ ]+ ))"), F.lit(1))
-    chain = F.transform(found, lambda s: F.xxhash64(F.regexp_replace(s, f" (?:(?:{words}) )+", " ")))
-    return F.when(F.size(found) > 0, F.array_sort(F.array_distinct(chain))).otherwise(F.array(F.xxhash64(F.lit("#"), plain)))
+    df = df.withColumn("__plain", F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" ")))
+    # anchors are joined to what stands before them by "_", so runs of them have no space and need no nested repetition
+    marked = F.regexp_replace("__plain", f" ({_factored(ANCHORS)})(?= )", "_$1")
+    df = df.withColumn("__found", F.regexp_extract_all(marked, F.lit("_(?=([^ _]+[^ ]*+ [^ _]+[^ ]*+ [^ _]+))"), F.lit(1)))
+    chain = F.transform("__found", lambda s: F.xxhash64(F.regexp_replace(s, "_[^ _]+", "")))
+    sigs = F.when(F.size("__found") > 0, F.array_sort(F.array_distinct(chain))).otherwise(F.array(F.xxhash64(F.lit("#"), "__plain")))
+    return df.withColumn(name, sigs).drop("__plain", "__found")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -57,7 +72,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         "doc_id", "text", F.explode(F.when(F.col("before").isNull(), F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("guest")))).otherwise(
             F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("guest")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("guest"))))).alias("to"),
     ).select("doc_id", "text", "to.bucket", "to.guest")
-    dealt = sent.repartition("bucket").withColumn("sigs", signatures(F.col("text")))
+    dealt = add_signatures(sent.repartition("bucket"), F.col("text"), "sigs")
     near = Window.partitionBy("bucket").orderBy("guest", "doc_id", "text")
     return dealt.withColumn("next_text", F.lead("text").over(near)).withColumn("next_sigs", F.lead("sigs").over(near)).where("guest = 0").drop("guest", "bucket")
 
@@ -70,7 +85,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     """
     t = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 2) as int))"), F.coalesce(F.expr("left(next_text, cast(floor(n_chars / 2) as int))"), F.lit("")))
-    t = t.withColumn("edited", edited).withColumn("edited_sigs", signatures(F.col("edited")))
+    t = add_signatures(t.withColumn("edited", edited), F.col("edited"), "edited_sigs")
     return t.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
@@ -85,7 +100,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     Equal signature sets are one class (its smallest doc_id). Each set sends its rarest n - ceil(least * n) + 1
     signatures, with its length; sets meet on a signature only where the shorter has at least least * the longer's length.
     """
-    sets = materialize(docs.where("doc_id is not null").select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("sigs")).groupBy("sigs").agg(F.min("doc_id").alias("doc_id")))
+    full = add_signatures(docs.where("doc_id is not null").select("doc_id", "text"), F.coalesce("text", F.lit("")), "sigs")
+    sets = materialize(full.groupBy("sigs").agg(F.min("doc_id").alias("doc_id")))
     sets = sets.select("doc_id", "sigs", F.size("sigs").alias("n"))
     parts = sets.select("doc_id", "n", F.explode("sigs").alias("sig"))
     seen = parts.groupBy("sig").agg(F.count("*").alias("df"))

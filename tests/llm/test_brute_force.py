@@ -182,10 +182,10 @@ def test_edited(docs):
 
 def test_spotsigs_pairs(docs):
     df, _ = docs
-    from roadloom.llm.spotsigs import signatures
+    from roadloom.llm.spotsigs import add_signatures
 
     sets = {}
-    for r in df.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("s")).orderBy(F.desc("doc_id")).collect():
+    for r in add_signatures(df.select("doc_id", "text"), F.coalesce("text", F.lit("")), "s").orderBy(F.desc("doc_id")).collect():
         sets[frozenset(r.s)] = r.doc_id
     want = {tuple(sorted((sets[a], sets[b]))) for a in sets for b in sets if a != b and len(a & b) / len(a | b) >= 0.8}
     assert {(r.a, r.b) for r in near_duplicates(df).collect()} == want
