@@ -110,3 +110,71 @@ def upsert_vehicles(dim: DataFrame, seen: DataFrame) -> DataFrame:
 
 def lookup(df: DataFrame, condition: Column) -> DataFrame:
     return df.where(condition)
+
+
+def nearest_vehicles(positions: DataFrame, centers: DataFrame, k: int, radius: float) -> DataFrame:
+    """The k nearest latest vehicles of each center within radius, near to far, ties by vehicle."""
+    d = within_radius(positions, centers, radius, "latest_then_radius")
+    rank = F.row_number().over(Window.partitionBy("center_id").orderBy("distance_m", "vehicle_id"))
+    return d.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def between(df: DataFrame, time: str, start: Column, end: Column, *order: str) -> DataFrame:
+    """Rows of an inclusive time window in order: tracks, deviations or detections of a replay."""
+    return df.where(F.col(time).between(start, end)).orderBy(*order)
+
+
+def patch(dim: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Only the fields that a change gives are replaced; changes without any field or row to change do nothing."""
+    fields = [c for c in changes.columns if c != key]
+    j = dim.join(changes.select(key, *[F.col(c).alias(f"new_{c}") for c in fields]), key, "left")
+    return j.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in fields else F.col(c) for c in dim.columns])
+
+
+def remove(dim: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return dim.join(keys.select(key), key, "left_anti")
+
+
+def mark_delayed(goals: DataFrame, now: Column) -> DataFrame:
+    late = (F.col("target_eta") < now) & (F.col("goal_status") != "COMPLETED")
+    return goals.withColumn("goal_status", F.when(late, "DELAYED").otherwise(F.col("goal_status")))
+
+
+def trip_detail(trips: DataFrame, positions: DataFrame) -> DataFrame:
+    """Trips with the coordinates of their first and last position."""
+    at = F.struct("recorded_at", "position_id", "lat", "lng")
+    ends = positions.groupBy("trip_id").agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    names = [F.col(f"{s}.{c}").alias(f"{n}_{c}") for s, n in (("a", "origin"), ("b", "destination")) for c in ("lat", "lng")]
+    return trips.join(ends, "trip_id", "left").select(*trips.columns, *names)
+
+
+def trip_facts(trips: DataFrame, positions: DataFrame, events: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Bounded facts of each trip: points, metres, detections by class, alerts."""
+    classes = [F.count_if(F.col("class_name") == c).alias(f"{c}_events") for c in ("person", "car", "bicycle")]
+    e = events.groupBy("trip_id").agg(*classes, F.min("distance_m").alias("nearest_m"))
+    a = alerts.where("trip_id is not null").groupBy("trip_id").agg(F.count("*").alias("alerts"))
+    return trips.select("trip_id", "trip_status").join(trip_distance(positions), "trip_id", "left").join(e, "trip_id", "left").join(a, "trip_id", "left")
+
+
+def dashboard(positions: DataFrame, alerts: DataFrame, events: DataFrame, warning: float = 5.0) -> DataFrame:
+    """One row: vehicles whose last speed is above 0, risk events, unhandled alerts."""
+    moving = latest(positions, ["vehicle_id"], ["recorded_at", "position_id"]).agg(F.count_if(F.col("speed_kmh") > 0).alias("moving"))
+    risk = events.agg(F.count_if(F.col("distance_m") < warning).alias("risk_events"))
+    open_ = alerts.agg(F.count_if(F.col("alert_status") == "UNCONFIRMED").alias("unhandled"))
+    return moving.crossJoin(risk).crossJoin(open_)
+
+
+def in_box(df: DataFrame, box: tuple[float, float, float, float], lon: str = "lng") -> DataFrame:
+    """Rows in (south, west, north, east), borders included."""
+    return df.where(F.col("lat").between(box[0], box[2]) & F.col(lon).between(box[1], box[3]))
+
+
+def enrich(df: DataFrame, dim: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """df with the columns of a keyed table; the size of either side picks the join."""
+    return df.join(dim, key, how)
+
+
+def vision_diagnostics(events: DataFrame) -> DataFrame:
+    """Detections by class: count, confidences at the quarters (exact), nearest distance."""
+    q = [F.expr(f"percentile(confidence, {p})").alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)]
+    return events.groupBy("class_name").agg(F.count("*").alias("events"), *q, F.min("distance_m").alias("nearest_m"))

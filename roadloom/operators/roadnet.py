@@ -98,3 +98,85 @@ def merge_overrides(government: DataFrame, manual: DataFrame, per_field: bool =
     j = government.join(m, "way_id", "full_outer")
     pick = lambda c: F.coalesce(f"m_{c}", c) if per_field else F.when(F.col("by_hand"), F.col(f"m_{c}")).otherwise(F.col(c))
     return j.select("way_id", *[pick(c).alias(c) for c in fields])
+
+
+def apply_overrides(ways: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Way tags with the override's value wherever it gives one."""
+    fields = [c for c in overrides.columns if c != "way_id"]
+    o = overrides.select("way_id", *[F.col(c).alias(f"o_{c}") for c in fields])
+    j = ways.join(o, "way_id", "left")
+    return j.select(*[F.coalesce(f"o_{c}", c).alias(c) if c in fields else F.col(c) for c in ways.columns])
+
+
+def match_facilities(facilities: DataFrame, matches: DataFrame, fields: list[str], keep: str = "closest") -> DataFrame:
+    """Override rows of ways from their matched facilities (facility_id, way_id, distance_m).
+
+    Facilities without any value are skipped first. Of several at one way the closest stays, or with keep="last" the one with the highest id.
+    """
+    some = facilities.where(F.coalesce(*fields).isNotNull()).select("facility_id", *fields)
+    rank = ["distance_m", "facility_id"] if keep == "closest" else ["last", "distance_m"]
+    j = matches.join(some, "facility_id").withColumn("last", -F.col("facility_id"))
+    return j.groupBy("way_id").agg(F.min(F.struct(*rank, *fields, F.col("facility_id").alias("id"))).alias("b")).select("way_id", F.col("b.id").alias("facility_id"), *[f"b.{c}" for c in fields])
+
+
+def turn_relations(relations: DataFrame, members: DataFrame) -> DataFrame:
+    """Each relation with from_way, via_node and to_way: the first member of the role; null where there is none."""
+    first = lambda role, kind, name: F.min_by(F.when((F.col("role") == role) & (F.col("mtype") == kind), F.nullif(F.col("ref"), F.lit(0))), F.when((F.col("role") == role) & (F.col("mtype") == kind), F.col("pos"))).alias(name)
+    m = members.groupBy("rel_id").agg(first("from", "way", "from_way"), first("via", "node", "via_node"), first("to", "way", "to_way"))
+    return relations.join(m, "rel_id", "left")
+
+
+def touching(bans: DataFrame, ways: DataFrame) -> DataFrame:
+    """Rows whose from way or to way is known; one semi join on the exploded pair, so that no row doubles."""
+    pair = bans.select("rel_id", F.explode(F.array("from_way", "to_way")).alias("way_id")).join(ways.select("way_id"), "way_id", "left_semi")
+    return bans.join(pair.select("rel_id"), "rel_id", "left_semi")
+
+
+_BANS = ("no_left_turn", "no_right_turn", "no_straight_on", "no_u_turn")
+_MUSTS = ("only_left_turn", "only_right_turn", "only_straight_on", "only_u_turn")
+
+
+def extract_turn_bans(relations: DataFrame, members: DataFrame, ways: DataFrame) -> DataFrame:
+    """from_way, via_node, to_way, restriction of complete bans that touch the known ways."""
+    r = turn_relations(relations, members).where(F.col("restriction").isin(*_BANS) & F.col("from_way").isNotNull() & F.col("via_node").isNotNull() & F.col("to_way").isNotNull())
+    return touching(r, ways).select("rel_id", "from_way", "via_node", "to_way", "restriction")
+
+
+def turn_report(relations: DataFrame, members: DataFrame, ways: DataFrame) -> DataFrame:
+    """One row: incomplete relations, and of the complete ones that touch the ways the usable and the skipped only_*."""
+    r = turn_relations(relations, members)
+    whole = F.col("from_way").isNotNull() & F.col("via_node").isNotNull() & F.col("to_way").isNotNull()
+    t = touching(r.where(whole), ways).agg(F.count_if(F.col("restriction").isin(*_BANS)).alias("usable"), F.count_if(F.col("restriction").isin(*_MUSTS)).alias("skipped_only"))
+    return r.agg(F.count_if(~whole).alias("incomplete")).crossJoin(t)
+
+
+def override_layer(overrides: DataFrame, nodes: DataFrame, refs: DataFrame, box: tuple[float, float, float, float] | None = None, limit: int | None = 500) -> DataFrame:
+    """Overrides at the middle vertex of their way, hand-made ones first; in the box (borders included) if one is given."""
+    w = Window.partitionBy("way_id")
+    p = refs.join(overrides.select("way_id"), "way_id", "left_semi").join(nodes, "node_id")
+    p = p.withColumn("i", F.row_number().over(w.orderBy("seq")) - 1).withColumn("n", F.count("*").over(w)).where("i = n div 2")
+    df = overrides.join(p.select("way_id", "lat", "lon"), "way_id")
+    if box:
+        df = df.where(F.col("lat").between(box[0], box[2]) & F.col("lon").between(box[1], box[3]))
+    return df.orderBy(F.desc("by_hand"), "way_id").limit(limit) if limit else df
+
+
+def compare_profiles(edges: DataFrame, key: str = "highway") -> DataFrame:
+    """Seconds by profile side by side, null where the profile is blocked."""
+    return profile_edges(edges).groupBy(key).pivot("profile", [p[0] for p in PROFILES]).agg(F.sum("seconds"))
+
+
+def shortest_paths(sources: DataFrame, edges: DataFrame, bans: DataFrame, max_hops: int) -> DataFrame:
+    """(source, node, seconds, ways) of the cheapest paths of at most max_hops edges that make no banned turn.
+
+    The state is the last edge taken, so a ban on (from_way, via_node, to_way) never hides a dearer way round it.
+    """
+    e = edges.select("src", "dst", "way_id", "seconds").groupBy("src", "dst", "way_id").agg(F.min("seconds").alias("w"))
+    here = sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(None).cast("long").alias("last_way"), F.lit(0.0).alias("seconds"), F.array().cast("array<bigint>").alias("ways"))
+    best = here
+    b = bans.select(F.col("from_way").alias("last_way"), F.col("via_node").alias("src"), F.col("to_way").alias("way_id")).distinct()
+    for _ in range(max_hops):
+        step = best.withColumnRenamed("node", "src").join(e, "src").join(b, ["last_way", "src", "way_id"], "left_anti")
+        step = step.select("source", F.col("dst").alias("node"), F.col("way_id").cast("long").alias("last_way"), (F.col("seconds") + F.col("w")).alias("seconds"), F.concat("ways", F.array(F.col("way_id").cast("long"))).alias("ways"))
+        best = best.unionByName(step).groupBy("source", "node", "last_way").agg(F.min(F.struct("seconds", "ways")).alias("m")).select("source", "node", "last_way", "m.seconds", "m.ways")
+    return best.groupBy("source", "node").agg(F.min(F.struct("seconds", "ways")).alias("m")).select("source", "node", "m.seconds", "m.ways")

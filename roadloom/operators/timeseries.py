@@ -92,3 +92,54 @@ def stage_metrics(counters: DataFrame, every: str = "1 hour") -> DataFrame:
 
 def carry(value: Column, w) -> Column:
     return F.last(value, ignorenulls=True).over(w)
+
+
+def keyframe_at(requests: DataFrame, frames: DataFrame, by: list[str], seq: str = "frame_seq") -> DataFrame:
+    """requests with the newest keyframe at or before their sequence number; null before the first."""
+    k = frames.where("keyframe").select(*by, F.col(seq).alias("t"), F.lit(0).alias("side"))
+    r = requests.select(*by, F.col(seq).alias("t"), F.struct(*requests.columns).alias("row"), F.lit(1).alias("side"))
+    w = Window.partitionBy(*by).orderBy("t", "side")
+    df = k.unionByName(r, allowMissingColumns=True).withColumn("keyframe_seq", F.last(F.when(F.col("side") == 0, F.col("t")), ignorenulls=True).over(w))
+    return df.where("side = 1").select("row.*", "keyframe_seq")
+
+
+def pair_events(frames: DataFrame, events: DataFrame, tolerance: int = 250_000_000) -> DataFrame:
+    """event_id, frame_seq, exact: one frame for an event, by equal media time, else the nearest free one in tolerance.
+
+    frames: session_id, frame_seq, media_ts, received; events: session_id, event_id, media_ts, received, latency (taken
+    off when not negative). Nearest pairs are mutual: an event's nearest free frame whose nearest event it is.
+    """
+    hit = events.alias("e").join(frames.alias("f"), (F.col("e.session_id") == F.col("f.session_id")) & (F.col("e.media_ts") == F.col("f.media_ts")))
+    exact = hit.groupBy("e.session_id", "f.frame_seq").agg(F.min("e.event_id").alias("event_id")).groupBy("session_id", "event_id").agg(F.min("frame_seq").alias("frame_seq"))
+    free_f = frames.join(exact, ["session_id", "frame_seq"], "left_anti")
+    free_e = events.join(exact, ["session_id", "event_id"], "left_anti").withColumn("at", F.col("received") - F.when(F.col("latency") >= 0, F.col("latency")).otherwise(0))
+    slot = lambda c: F.floor(c / tolerance).cast("long")
+    f = free_f.select("session_id", "frame_seq", F.col("received").alias("f_at"), slot(F.col("received")).alias("slot"))
+    e = free_e.select("session_id", "event_id", "at", F.explode(F.sequence(slot(F.col("at")) - 1, slot(F.col("at")) + 1)).alias("slot"))
+    near = e.join(f, ["session_id", "slot"]).withColumn("d", F.abs(F.col("at") - F.col("f_at"))).where(F.col("d") <= tolerance)
+    of_event = F.row_number().over(Window.partitionBy("session_id", "event_id").orderBy("d", "frame_seq"))
+    of_frame = F.row_number().over(Window.partitionBy("session_id", "frame_seq").orderBy("d", "event_id"))
+    near = near.withColumn("re", of_event).withColumn("rf", of_frame).where("re = 1 and rf = 1")
+    return exact.select("session_id", "event_id", "frame_seq", F.lit(True).alias("exact")).unionByName(near.select("session_id", "event_id", "frame_seq", F.lit(False).alias("exact")))
+
+
+def conflate(frames: DataFrame, slot_ns: int, by: str = "session_id", seq: str = "frame_seq", time: str = "source_timestamp_ns") -> DataFrame:
+    """The newest frame of each inference slot is kept; others are skipped and carry the last kept frame before them."""
+    newest = F.row_number().over(Window.partitionBy(by, "slot").orderBy(F.desc(time), F.desc(seq)))
+    df = frames.withColumn("slot", F.floor(F.col(time) / slot_ns).cast("long")).withColumn("skipped", newest > 1)
+    w = Window.partitionBy(by).orderBy(time, seq)
+    return df.withColumn("result_seq", F.last(F.when(~F.col("skipped"), F.col(seq)), ignorenulls=True).over(w))
+
+
+def qr_report(reads: DataFrame, joined: DataFrame, by: str = "session_id") -> DataFrame:
+    """Valid, carried and missing reads, rewinds and frames with and without an IMU sample, by recording."""
+    q = rewind_epoch(qr_resolve(reads, by), by).groupBy(by).agg(
+        F.count("*").alias("reads"), F.count_if(F.col("status") == "ok").alias("valid"), F.count_if(F.col("status") == "qr_stale").alias("carried"),
+        F.count_if(F.col("status") == "qr_missing").alias("missing"), F.max("epoch").alias("rewinds"))
+    j = joined.groupBy(by).agg(F.count("*").alias("frames"), F.count_if(F.col("timestamp_ns_matched").isNull()).alias("without_imu"))
+    return q.join(j, by, "left").withColumn("valid_pct", F.col("valid") / F.col("reads") * 100)
+
+
+def resume_frames(frames: DataFrame, epoch: int, after: int) -> DataFrame:
+    """Frames of the epoch with a sequence number above the last one shown, in order."""
+    return frames.where((F.col("epoch") == epoch) & (F.col("frame_seq") > after)).orderBy("frame_seq")

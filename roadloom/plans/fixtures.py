@@ -93,10 +93,29 @@ select detection_event_id * 2 as alert_id, vehicle_id, detection_event_id, cast(
 from detection_event where distance_m < 5
 union all
 select trip_id * 2 + 1, vehicle_id, cast(null as bigint), cast(null as bigint), trip_id, 'TRIP_COMPLETED', 'INFO', 'UNCONFIRMED', ended_at from trip where trip_status = 'COMPLETED'""",
+    "feed_item": """
+select event_id as item_id, concat(' l', cast(user_id % 40 as string), ' ') as line_no, cast(floor(event_id / 200.0e0) as bigint) as payload_id, cast(event_id % 30 as int) as stop_index,
+  case when event_id % 30 in (0, 11, 19) and user_id % 3 > 0 then 'Y' else 'N' end as marker, case when event_id % 4 = 0 then null else concat('B', cast(user_id % 90 as string)) end as vehicle_no,
+  ts as gps_time, 35.0 + ((user_id * 7919) % 3000) / 10000.0e0 as lat, 128.8 + ((user_id * 104729) % 4000) / 10000.0e0 as lng from events""",
+    "line_candidate": """
+select concat('L', cast(user_id % 40 as string)) as asked, concat('l ', cast(user_id % 60 as string)) as public_no, user_id as line_id from events""",
+    "trace_point": """
+select concat('L', cast(user_id % 20 as string)) as line_no, case user_id % 3 when 0 then 'outbound' when 1 then 'inbound' else 'full_route' end as direction, concat('T', cast(user_id as string)) as trace_id,
+  event_id as point_id, case when event_id % 9 = 0 then 'duplicate' when event_id % 13 = 0 then 'rejected_jump' else 'ok' end as point_class, date_trunc('hour', ts) as recorded_at,
+  35.0 + ((event_id * 7919) % 3000) / 10000.0e0 as lat, 128.8 + ((event_id * 104729) % 4000) / 10000.0e0 as lng, case when event_id % 6 = 0 then null else value end as speed_kmh from events""",
+    "feed_fix": """
+select event_id as fix_id, concat('L', cast(user_id % 25 as string)) as line_no, case event_id % 3 when 0 then 'outbound' when 1 then 'inbound' else 'full_route' end as direction,
+  35.0 + ((event_id * 6151) % 3000) / 10000.0e0 as lat, 128.8 + ((event_id * 9973) % 4000) / 10000.0e0 as lng, ts as observed_at from events where event_type = 'view'""",
+    "relation": """
+select o_orderkey as rel_id, case o_orderkey % 7 when 0 then 'only_left_turn' when 1 then 'no_u_turn' when 2 then 'no_left_turn' when 3 then 'other' else 'no_right_turn' end as restriction from orders""",
+    "relation_member": """
+select o_orderkey as rel_id, 0 as pos, 'way' as mtype, o_orderkey as ref, 'from' as role from orders where o_orderkey % 11 > 0
+union all select o_orderkey, 1, 'node', o_custkey, 'via' from orders
+union all select o_orderkey, 2, case when o_orderkey % 13 = 0 then 'relation' else 'way' end, o_orderkey + 1, 'to' from orders""",
 }
 
 #: Which views and driver tables a view reads.
-_TABLES = ("events", "orders", "lineitem", "part", "customer", "supplier")
+_TABLES = ("events", "orders", "lineitem", "part", "customer", "supplier")  # feed, road and catalogue tables
 
 
 def needed(*names: str) -> list[str]:
