@@ -41,7 +41,7 @@ def derive_direction(items: DataFrame) -> DataFrame:
 def progress(given: Column, stop_index: Column, route_count: Column) -> Column:
     """The given percentage, else the share of stops passed, within 0..100."""
     share = F.when(route_count > 0, stop_index / route_count * 100)
-    return F.coalesce(given, F.greatest(F.lit(0.0), F.least(F.lit(100.0), share)))
+    return F.coalesce(given, F.when(share.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), share))))  # least skips nulls
 
 
 def resolve_line(candidates: DataFrame) -> DataFrame:
