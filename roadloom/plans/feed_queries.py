@@ -129,7 +129,7 @@ def keyframe_before(v):
     return ts.keyframe_at(f, f.withColumn("keyframe", F.col("frame_seq") % 12 == 5), ["session_id"]).select("frame_seq", "keyframe_seq")
 
 
-_PAIR = """f as (select session_id, frame_seq, source_timestamp_ns as m, source_timestamp_ns + 5000000 as r from frame_item), e as (select session_id, seq as event_id, coalesce(source_timestamp_ns, -1) as m, capture_timestamp_ns + (seq % 9) * 40000000 - case when seq % 3 > 0 then 20000000 else 0 end as tm from qr_read where seq % 2 = 0),
+_PAIR = """f as (select session_id, frame_seq, source_timestamp_ns as m, source_timestamp_ns + 5000000 as r from frame_item), e as (select session_id, seq as event_id, coalesce(source_timestamp_ns, -1) as m, capture_timestamp_ns + (seq % 9) * 40000000 - case when seq % 3 > 0 then 20000000 else 0 end as tm from qr_read),
 x as (select session_id, event_id, min(frame_seq) as frame_seq from (select e.session_id, f.frame_seq, min(e.event_id) as event_id from e join f on e.session_id = f.session_id and e.m = f.m group by 1, 2) q group by 1, 2),
 ff as (select * from f where frame_seq not in (select frame_seq from x)), fe as (select * from e where event_id not in (select event_id from x)),
 nr as (select fe.session_id, event_id, frame_seq, row_number() over (partition by fe.session_id, event_id order by abs(tm - r), frame_seq) as a, row_number() over (partition by fe.session_id, frame_seq order by abs(tm - r), event_id) as b from fe join ff on fe.session_id = ff.session_id and abs(tm - r) <= 250000000)"""
@@ -138,7 +138,7 @@ nr as (select fe.session_id, event_id, frame_seq, row_number() over (partition b
 @query(f"with {_PAIR} select event_id, frame_seq, true as exact from x union all select event_id, frame_seq, false from nr where a = 1 and b = 1", "frame_item", "qr_read")
 def event_frames(v):
     f = v("frame_item").selectExpr("session_id", "frame_seq", "source_timestamp_ns as media_ts", "source_timestamp_ns + 5000000 as received")
-    e = v("qr_read").where("seq % 2 = 0").selectExpr("session_id", "seq as event_id", "coalesce(source_timestamp_ns, -1) as media_ts", "capture_timestamp_ns + (seq % 9) * 40000000 as received", "case when seq % 3 > 0 then 20000000 else -1 end as latency")
+    e = v("qr_read").selectExpr("session_id", "seq as event_id", "coalesce(source_timestamp_ns, -1) as media_ts", "capture_timestamp_ns + (seq % 9) * 40000000 as received", "case when seq % 3 > 0 then 20000000 else -1 end as latency")
     return ts.pair_events(f, e).select("event_id", "frame_seq", "exact")
 
 

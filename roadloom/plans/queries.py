@@ -311,10 +311,10 @@ def alerts(v):
 @query("""select 'severity' as rule, cast(alert_id as string) as key from alert where not coalesce(severity in ('INFO', 'CRITICAL'), false)
 union all select 'one_cause', cast(alert_id as string) from alert where not coalesce((detection_event_id is not null)::int + (trip_id is not null)::int = 1, false)
 union all select 'unique:alert_id', cast(alert_id as string) from alert group by alert_id having count(*) > 1
-union all select 'foreign:vehicle_id', cast(alert_id as string) from alert where vehicle_id is not null and vehicle_id not in (select vehicle_id from vehicle where vehicle_id % 7 > 0)""", "alert", "vehicle")
+union all select 'foreign:vehicle_id', cast(alert_id as string) from alert where vehicle_id is not null and vehicle_id not in (select vehicle_id from vehicle where vehicle_status <> 'OFFLINE')""", "alert", "vehicle")
 def constraint_violations(v):
     rules = {"severity": "severity in ('INFO', 'CRITICAL')", "one_cause": "int(detection_event_id is not null) + int(trip_id is not null) = 1"}
-    return ref.check_table(v("alert"), "alert_id", rules, ["alert_id"], {"vehicle_id": (v("vehicle").where("vehicle_id % 7 > 0"), "vehicle_id")})
+    return ref.check_table(v("alert"), "alert_id", rules, ["alert_id"], {"vehicle_id": (v("vehicle").where("vehicle_status <> 'OFFLINE'"), "vehicle_id")})
 
 
 def entry(spark: SparkSession) -> DataFrame:
