@@ -126,7 +126,8 @@ def trace_at(ticks: DataFrame, trace: DataFrame, by: str = "trace_time_s") -> Da
     k = ticks.select(*TRACE, F.col(by).alias("t"), F.struct(*ticks.columns).alias("row"), F.lit(1).alias("side"))
     w = Window.partitionBy(*TRACE).orderBy("t", "side")
     df = p.unionByName(k, allowMissingColumns=True).withColumn("lo", F.last("p", ignorenulls=True).over(w))
-    df = df.withColumn("hi", F.first("p", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))).where("side = 1 and (lo is not null or hi is not null)")
+    down = Window.partitionBy(*TRACE).orderBy(F.desc("t"), "side")
+    df = df.withColumn("hi", F.last("p", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))).where("side = 1 and (lo is not null or hi is not null)")
     span = F.col("hi.t") - F.col("lo.t")
     ratio = F.when(span > 0, (F.col("t") - F.col("lo.t")) / span).otherwise(0.0)
     return df.select("row.*", *[lerp(F.col(f"lo.{c}"), F.col(f"hi.{c}"), F.coalesce(ratio, F.lit(0.0))).alias(f"trace_{c}") for c in cols])

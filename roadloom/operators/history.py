@@ -164,6 +164,30 @@ def dashboard(positions: DataFrame, alerts: DataFrame, events: DataFrame, warnin
     return moving.crossJoin(risk).crossJoin(open_)
 
 
+def dashboard_with_routes(positions: DataFrame, alerts: DataFrame, events: DataFrame, routes: DataFrame, threshold: float, warning: float = 5.0) -> DataFrame:
+    """The dashboard row with the deviations at or over threshold and the mean progress (driven / planned) of trips."""
+    w = Window.partitionBy("route_id").orderBy("seq")
+    leg = haversine_m(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng"))
+    planned = routes.where("is_current").withColumn("leg", leg).groupBy("trip_id").agg(F.sum("leg").alias("planned_m")).where("planned_m > 0")
+    share = F.least(F.lit(1.0), F.col("distance_m") / F.col("planned_m"))
+    progress = trip_distance(positions).join(planned, "trip_id").agg(F.avg(share).alias("mean_progress"))
+    off = deviations(positions, routes, threshold).agg(F.count("*").alias("deviations"))
+    return dashboard(positions, alerts, events, warning).crossJoin(off).crossJoin(progress)
+
+
+def alert_latency(alerts: DataFrame) -> DataFrame:
+    """By type and severity: alerts in each state, and the median and 90 % of whole seconds until acknowledged."""
+    s = F.unix_seconds(F.col("acknowledged_at").cast("timestamp")) - F.unix_seconds(F.col("created_at").cast("timestamp"))
+    states = [F.count_if(F.col("alert_status") == x.upper()).alias(x) for x in ("unconfirmed", "acknowledged", "resolved")]
+    waits = [F.expr(f"percentile(wait_s, {p})").alias(n) for n, p in (("median_s", 0.5), ("p90_s", 0.9))]
+    return alerts.withColumn("wait_s", s).groupBy("alert_type", "severity").agg(*states, *waits)
+
+
+def replay_bundle(start: Column, end: Column, on: str = "capture_timestamp_ns", **tables: DataFrame) -> dict[str, DataFrame]:
+    """Each table (anchors, positions, detections, alerts, ..) cut to the inclusive window and in its order."""
+    return {name: between(df, on, start, end, on) for name, df in tables.items()}
+
+
 def in_box(df: DataFrame, box: tuple[float, float, float, float], lon: str = "lng") -> DataFrame:
     """Rows in (south, west, north, east), borders included."""
     return df.where(F.col("lat").between(box[0], box[2]) & F.col(lon).between(box[1], box[3]))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions.scalars import ars_id
@@ -40,6 +42,19 @@ def class_share(events: DataFrame) -> DataFrame:
     return g.crossJoin(F.broadcast(total)).select("class_name", "events", "mean_m", (F.col("events") / F.col("total")).alias("share"))
 
 
+def frame_totals(detections: DataFrame, masked: Column) -> DataFrame:
+    """Items of each frame, and those with a mask."""
+    return detections.groupBy("session_id", "frame_id").agg(F.count("*").alias("items"), F.count_if(masked).alias("masks"))
+
+
+def clusters(events: DataFrame, k: int, seed: int = 7) -> DataFrame:
+    """events (lat, lng) with the cluster of each and its centre; rows without a point are left out. Needs a row at least."""
+    points = VectorAssembler(inputCols=["lat", "lng"], outputCol="at__").transform(events.where("lat is not null and lng is not null"))
+    model = KMeans(k=k, seed=seed, featuresCol="at__", predictionCol="cluster").fit(points)
+    centres = F.array(*[F.struct(F.lit(float(c[0])).alias("lat"), F.lit(float(c[1])).alias("lng")) for c in model.clusterCenters()])
+    return model.transform(points).drop("at__").withColumn("centre", F.element_at(centres, F.col("cluster") + 1))
+
+
 def daily_risk(events: DataFrame, warning: float = 5.0) -> DataFrame:
     day = F.date_format("detected_at", "yyyy-MM-dd").alias("day")
     return events.where(F.col("distance_m") < warning).groupBy(day, "class_name").agg(F.count("*").alias("events"), F.avg("distance_m").alias("mean_m"), F.countDistinct("vehicle_id").alias("vehicles"))

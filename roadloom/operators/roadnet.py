@@ -180,3 +180,38 @@ def shortest_paths(sources: DataFrame, edges: DataFrame, bans: DataFrame, max_ho
         step = step.select("source", F.col("dst").alias("node"), F.col("way_id").cast("long").alias("last_way"), (F.col("seconds") + F.col("w")).alias("seconds"), F.concat("ways", F.array(F.col("way_id").cast("long"))).alias("ways"))
         best = best.unionByName(step).groupBy("source", "node", "last_way").agg(F.min(F.struct("seconds", "ways")).alias("m")).select("source", "node", "last_way", "m.seconds", "m.ways")
     return best.groupBy("source", "node").agg(F.min(F.struct("seconds", "ways")).alias("m")).select("source", "node", "m.seconds", "m.ways")
+
+
+def route_snapped(requests: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
+    """request_id, status, minutes of requests (request_id, origin, goal: vertices or null) over one profile's edges.
+
+    Statuses: no_road_near (an end has no vertex), no_route_for_profile (none within max_hops edges), ok.
+    """
+    starts = requests.where("origin is not null").select(F.col("origin").alias("node_id")).distinct()
+    t = shortest_times(starts, edges, max_hops).withColumnsRenamed({"source": "origin", "node": "goal"})
+    j = requests.join(t, ["origin", "goal"], "left")
+    status = F.when(F.col("origin").isNull() | F.col("goal").isNull(), "no_road_near").when(F.col("seconds").isNull(), "no_route_for_profile").otherwise("ok")
+    return j.select("request_id", status.alias("status"), F.round(F.col("seconds") / 60, 2).alias("minutes"))
+
+
+def route_requests(requests: DataFrame, vertices: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
+    """The same for requests (request_id, origin_lat, origin_lon, goal_lat, goal_lon), each end snapped to its nearest vertex."""
+    ends = requests.select("request_id")
+    for side in ("origin", "goal"):
+        p = requests.select(F.col("request_id").alias("point_id"), F.col(f"{side}_lat").alias("lat"), F.col(f"{side}_lon").alias("lon"))
+        near = nearest_vertex(p, vertices).select(F.col("point_id").alias("request_id"), F.col("node_id").alias(side))
+        ends = ends.join(near, "request_id", "left")
+    return route_snapped(ends, edges, max_hops)
+
+
+def path_geometry(paths: DataFrame, points: DataFrame, key: list[str]) -> DataFrame:
+    """key and line (array of lat, lon) of paths (key.., step, src, dst, way_id, segment, reverse): the points of its edges
+    in order, those that repeat the one before them dropped.
+
+    points: way_id, segment, seq, lat, lon, with the shared vertex under both of its segments.
+    """
+    s = paths.join(points, ["way_id", "segment"]).withColumn("place", F.when(F.col("reverse") == 1, -F.col("seq")).otherwise(F.col("seq")))
+    all_ = s.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("step", "place", "lat", "lon"))).alias("p"))
+    same = lambda x, i: (i > 0) & (x.lat == F.get("p", i - 1).lat) & (x.lon == F.get("p", i - 1).lon)
+    line = F.transform(F.filter("p", lambda x, i: ~same(x, i)), lambda x: F.struct(x.lat.alias("lat"), x.lon.alias("lon")))
+    return all_.select(*key, line.alias("line"))

@@ -19,7 +19,8 @@ def nearest_asof(left: DataFrame, right: DataFrame, by: list[str], on: str, righ
     both = r.unionByName(l, allowMissingColumns=True)
     w = Window.partitionBy(*by, "slot").orderBy("t", "side")
     back = F.last("sample", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("sample", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    down = Window.partitionBy(*by, "slot").orderBy(F.desc("t"), "side")
+    ahead = F.last("sample", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
     df = both.withColumn("back", back).withColumn("ahead", ahead).where("side = 1")
     before, after = F.col("t") - F.col("back.t"), F.col("ahead.t") - F.col("t")
     best = F.when(F.col("back").isNull() | (after < before), F.col("ahead")).otherwise(F.col("back"))
