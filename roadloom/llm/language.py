@@ -142,8 +142,19 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, words: int = SAMPLE_WORDS, s
                 picked.append(b"\n".join(data[starts[j] : min(ends[j], starts[j] + 64)].tobytes() for j in at))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("lang")), pa.array(picked, pa.binary())], ["lang", "words"])
 
-    sample = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("h")).orderBy("h", "lang", "text").limit(rows).select("lang", "text")
-    got = sample.mapInArrow(some, "lang string, words binary").collect()
+    labelled = docs.where("lang is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"))
+    # at most 65,536 counts by the top bits of the hash; rows beyond the bound never leave their task
+    sizes = labelled.groupBy(F.shiftright("h", 48).alias("b")).agg(F.count("*").alias("n")).orderBy("b").toArrow()
+    total = np.cumsum(sizes.column("n").to_numpy())
+    enough = int(np.searchsorted(total, 4 * rows))
+
+    def take(df: DataFrame) -> list:
+        return df.where("text is not null").orderBy("h", "lang", "text").limit(rows).select("lang", "text").mapInArrow(some, "lang string, words binary").collect()
+
+    bounded = enough < len(total)
+    got = take(labelled.where(F.shiftright("h", 48) <= sizes.column("b")[enough].as_py()) if bounded else labelled)
+    if bounded and len(got) < rows:  # most texts below the bound are null
+        got = take(labelled)
     classes = sorted({r.lang for r in got})
     if not classes:
         return None
