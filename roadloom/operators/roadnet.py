@@ -1,4 +1,4 @@
-"""Road network: edges, restrictions, snapping and bounded shortest times."""
+"""Road network: edges, restrictions, snapping and shortest times."""
 
 from __future__ import annotations
 
@@ -78,11 +78,56 @@ def nearest_way(facilities: DataFrame, nodes: DataFrame, ways: DataFrame, refs:
     return j.groupBy("facility_id").agg(F.min(F.struct("d", "way_id")).alias("b")).select("facility_id", "b.way_id", F.col("b.d").alias("distance_m"))
 
 
-def shortest_times(sources: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
-    """(source, node, seconds) of the cheapest path of at most max_hops edges: set-based relaxation.
+def shortest_routes(sources: DataFrame, edges: DataFrame, by: tuple[str, ...] = (), goals: DataFrame | None = None, bans: DataFrame | None = None, most_s: float | None = None, ways: bool = False) -> DataFrame:
+    """(by.., source, node, seconds, dist_m) of the cheapest path of any number of edges; with ways also its way ids.
 
-    Each round joins the improved states only and keeps the best of each state by a partial aggregate.
+    Each round joins the improved states only, until none improves, so the optimum is exact. With bans (from_way, via_node,
+    to_way) the state has the last way too, as in shortest_paths. by: columns of sources, edges and goals that are kept apart,
+    as a profile. most_s leaves out dearer paths. With goals (by.., source, node) only these rows are exact and come back:
+    states dearer than the dearest goal of their source are not followed, which loses no goal as no edge has negative seconds.
     """
+    on, last = [*by], ["last_way"] if bans is not None else []
+    state = [*on, "source", "node", *last]
+    way = (F.col("way_id") if "way_id" in edges.columns else F.lit(None)).cast("long").alias("way_id")
+    dist = (F.col("dist_m") if "dist_m" in edges.columns else F.lit(None)).cast("double").alias("dist_m")
+    e = edges.where("seconds >= 0").select(*on, "src", "dst", way, F.struct("seconds", dist).alias("w"))
+    e = e.groupBy(*on, "src", "dst", *(["way_id"] if last else [])).agg(F.min(F.struct("w", *([] if last else ["way_id"]))).alias("x")).select(*on, "src", "dst", "way_id" if last else "x.way_id", "x.w").localCheckpoint()
+    none = F.lit(None).cast("long").alias("last_way")
+    path = [F.array().cast("array<bigint>").alias("ways")] if ways else []
+    m = F.struct(F.lit(0.0).alias("seconds"), F.lit(0.0).alias("dist_m"), F.lit(0).alias("hops"), *path)
+    best = sources.select(*on, F.col("node_id").alias("source"), F.col("node_id").alias("node"), *([none] if last else []), m.alias("m")).distinct().localCheckpoint()
+    front = best
+    b = bans.select(F.col("from_way").alias("last_way"), F.col("via_node").alias("src"), F.col("to_way").alias("way_id")).distinct().localCheckpoint() if last else None
+    while not front.isEmpty():
+        step = front.withColumnRenamed("node", "src").join(e, [*on, "src"])
+        if last:
+            step = step.join(b, ["last_way", "src", "way_id"], "left_anti")
+        path = [F.concat("m.ways", F.array("way_id")).alias("ways")] if ways else []
+        n = F.struct((F.col("m.seconds") + F.col("w.seconds")).alias("seconds"), (F.col("m.dist_m") + F.col("w.dist_m")).alias("dist_m"), (F.col("m.hops") + 1).alias("hops"), *path)
+        step = step.select(*on, "source", F.col("dst").alias("node"), *([F.col("way_id").alias("last_way")] if last else []), n.alias("n"))
+        if most_s is not None:
+            step = step.where(F.col("n.seconds") <= most_s)
+        j = best.join(step.groupBy(*state).agg(F.min("n").alias("n")), state, "full_outer")
+        better = F.col("n").isNotNull() & (F.col("m").isNull() | (F.col("n") < F.col("m")))
+        best = j.select(*state, F.when(better, F.col("n")).otherwise(F.col("m")).alias("m"), better.alias("new")).localCheckpoint()
+        front = best.where("new").drop("new")
+        if goals is not None:
+            reached = best.groupBy(*on, "source", "node").agg(F.min("m.seconds").alias("s"))
+            bound = goals.select(*on, "source", "node").join(reached, [*on, "source", "node"], "left").groupBy(*on, "source")
+            bound = bound.agg(F.when(F.count("s") == F.count("*"), F.max("s")).alias("bound"))
+            front = front.join(bound, [*on, "source"]).where(F.col("bound").isNull() | (F.col("m.seconds") <= F.col("bound"))).drop("bound")
+        best = best.drop("new")
+    if last:
+        best = best.groupBy(*on, "source", "node").agg(F.min("m").alias("m"))
+    if goals is not None:
+        best = best.join(goals.select(*on, "source", "node").distinct(), [*on, "source", "node"], "left_semi")
+    return best.select(*on, "source", "node", "m.seconds", "m.dist_m", *(["m.ways"] if ways else []))
+
+
+def shortest_times(sources: DataFrame, edges: DataFrame, max_hops: int | None = None, goals: DataFrame | None = None) -> DataFrame:
+    """(source, node, seconds) of the cheapest path: exact, or with max_hops the cheapest of at most so many edges."""
+    if max_hops is None:
+        return shortest_routes(sources, edges, goals=goals).select("source", "node", "seconds")
     cheap = edges.groupBy("src", "dst").agg(F.min("seconds").alias("w"))
     best = sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(0.0).alias("seconds"))
     for _ in range(max_hops):
@@ -166,11 +211,13 @@ def compare_profiles(edges: DataFrame, key: str = "highway") -> DataFrame:
     return profile_edges(edges).groupBy(key).pivot("profile", [p[0] for p in PROFILES]).agg(F.sum("seconds"))
 
 
-def shortest_paths(sources: DataFrame, edges: DataFrame, bans: DataFrame, max_hops: int) -> DataFrame:
-    """(source, node, seconds, ways) of the cheapest paths of at most max_hops edges that make no banned turn.
+def shortest_paths(sources: DataFrame, edges: DataFrame, bans: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(source, node, seconds, ways) of the cheapest paths that make no banned turn: exact, or of at most max_hops edges.
 
     The state is the last edge taken, so a ban on (from_way, via_node, to_way) never hides a dearer way round it.
     """
+    if max_hops is None:
+        return shortest_routes(sources, edges, bans=bans, ways=True).drop("dist_m")
     e = edges.select("src", "dst", "way_id", "seconds").groupBy("src", "dst", "way_id").agg(F.min("seconds").alias("w"))
     here = sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(None).cast("long").alias("last_way"), F.lit(0.0).alias("seconds"), F.array().cast("array<bigint>").alias("ways"))
     best = here
@@ -182,26 +229,51 @@ def shortest_paths(sources: DataFrame, edges: DataFrame, bans: DataFrame, max_ho
     return best.groupBy("source", "node").agg(F.min(F.struct("seconds", "ways")).alias("m")).select("source", "node", "m.seconds", "m.ways")
 
 
-def route_snapped(requests: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
+def route_snapped(requests: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     """request_id, status, minutes of requests (request_id, origin, goal: vertices or null) over one profile's edges.
 
-    Statuses: no_road_near (an end has no vertex), no_route_for_profile (none within max_hops edges), ok.
+    Statuses: no_road_near (an end has no vertex), no_route_for_profile (none at all, or none within max_hops edges), ok.
     """
     starts = requests.where("origin is not null").select(F.col("origin").alias("node_id")).distinct()
-    t = shortest_times(starts, edges, max_hops).withColumnsRenamed({"source": "origin", "node": "goal"})
+    goals = requests.where("origin is not null and goal is not null").select(F.col("origin").alias("source"), F.col("goal").alias("node"))
+    t = shortest_times(starts, edges, max_hops, goals).withColumnsRenamed({"source": "origin", "node": "goal"})
     j = requests.join(t, ["origin", "goal"], "left")
-    status = F.when(F.col("origin").isNull() | F.col("goal").isNull(), "no_road_near").when(F.col("seconds").isNull(), "no_route_for_profile").otherwise("ok")
-    return j.select("request_id", status.alias("status"), F.round(F.col("seconds") / 60, 2).alias("minutes"))
+    return j.select("request_id", _status().alias("status"), F.round(F.col("seconds") / 60, 2).alias("minutes"))
 
 
-def route_requests(requests: DataFrame, vertices: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
-    """The same for requests (request_id, origin_lat, origin_lon, goal_lat, goal_lon), each end snapped to its nearest vertex."""
+def _status():
+    return F.when(F.col("origin").isNull() | F.col("goal").isNull(), "no_road_near").when(F.col("seconds").isNull(), "no_route_for_profile").otherwise("ok")
+
+
+def snap_requests(requests: DataFrame, vertices: DataFrame) -> DataFrame:
+    """request_id, origin, goal of requests (request_id, origin_lat, origin_lon, goal_lat, goal_lon): the nearest vertices, or null."""
     ends = requests.select("request_id")
     for side in ("origin", "goal"):
         p = requests.select(F.col("request_id").alias("point_id"), F.col(f"{side}_lat").alias("lat"), F.col(f"{side}_lon").alias("lon"))
         near = nearest_vertex(p, vertices).select(F.col("point_id").alias("request_id"), F.col("node_id").alias(side))
         ends = ends.join(near, "request_id", "left")
-    return route_snapped(ends, edges, max_hops)
+    return ends
+
+
+def route_requests(requests: DataFrame, vertices: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """route_snapped for requests (request_id, origin_lat, origin_lon, goal_lat, goal_lon), each end snapped to its nearest vertex."""
+    return route_snapped(snap_requests(requests, vertices), edges, max_hops)
+
+
+def route_profiles(requests: DataFrame, nodes: DataFrame, edges: DataFrame, bans: DataFrame | None = None) -> DataFrame:
+    """request_id, profile, status, minutes, km: one row for each request and profile, over the edges that the profile may use.
+
+    The ends (as in route_requests) are snapped to the vertices of edges; the statuses are those of route_snapped, exact.
+    """
+    spark = edges.sparkSession
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    names = spark.createDataFrame([(p[0],) for p in PROFILES], "profile string")
+    r = snap_requests(requests, nodes.join(ends, "node_id", "left_semi")).crossJoin(F.broadcast(names)).localCheckpoint()
+    od = r.where("origin is not null and goal is not null")
+    goals = od.select("profile", F.col("origin").alias("source"), F.col("goal").alias("node")).distinct()
+    t = shortest_routes(od.select("profile", F.col("origin").alias("node_id")).distinct(), profile_edges(edges), ("profile",), goals, bans)
+    j = r.join(t.withColumnsRenamed({"source": "origin", "node": "goal"}), ["profile", "origin", "goal"], "left")
+    return j.select("request_id", "profile", _status().alias("status"), F.round(F.col("seconds") / 60, 4).alias("minutes"), F.round(F.col("dist_m") / 1000, 4).alias("km"))
 
 
 def path_geometry(paths: DataFrame, points: DataFrame, key: list[str]) -> DataFrame:
