@@ -16,14 +16,18 @@ from roadloom.llm.common import chunks, pick
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}", re.A)
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Further names of credentials; their values are judged by guess cost alone.
-CONTEXT = re.compile(r"""(?:pwd|pass|passphrase|credential|credentials|auth|bearer|private_?key|access_?key|client_?key)["']?\x20*[:=]\x20*["']?([!-~]{8,})""", re.I | re.A)
+#: Names of credentials (group 1: those of ASSIGN) before a whole value, which is judged by guess cost alone. A value is a run of
+#: printable characters without spaces; one in quotes ends at the closing quote. Values are looked at, not taken: they may hold names.
+CONTEXT = re.compile(
+    r"""(?:(password|passwd|secret|token|api_?key)|pwd|pass|passphrase|credential|credentials|auth|bearer|private_?key|access_?key|client_?key)["']?\x20*[:=]\x20*"""
+    r"""(?="((?:\\[!-~]|[!#-\[\]-~])*)"|'((?:\\[!-~]|[!-&(-\[\]-~])*)'|["']?([!-~]+))""", re.I | re.A,
+)
 #: Cheap RE2 screens: a text without a hit has no match of the pattern.
 SCREENS = (
     (ASSIGN, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
     (ACCESS, "AKIA"),
     (HEX, r"[0-9a-f]{24}"),
-    (CONTEXT, r"""(?i)(pwd|pass|passphrase|credentials?|auth|bearer|key)["']?\x20*[:=]"""),
+    (CONTEXT, r"""(?i)(password|passwd|secret|token|pwd|pass|passphrase|credentials?|auth|bearer|key)["']?\x20*[:=]"""),
 )
 #: Words by how soon an attacker tries them.
 WORDS = """password admin welcome letmein login master dragon monkey shadow sunshine princess football baseball superman
@@ -55,20 +59,18 @@ class GuessCost:
             if cost < found.get((i, j), math.inf):
                 found[i, j] = cost
 
+        runs = {size: [0] * (n + 1) for size in (1, 2, 3, 4)}  # how many places on, s[i] equals s[i + size]
+        for size, run in runs.items():
+            for i in range(n - size - 1, -1, -1):
+                run[i] = run[i + 1] + 1 if s[i] == s[i + size] else 0
         for i in range(n):
             for j in range(i + 3, min(n, i + self.longest) + 1):
                 if (r := self.rank.get(low[i:j])) is not None:
                     put(i, j, r + (0.31 if s[i:j] != low[i:j] else 0))
-            j = i + 1
-            while j < n and s[j] == s[i]:
-                j += 1
-            if j - i >= 3:
-                put(i, j, math.log10(94 * (j - i)))
+            if (k := runs[1][i] + 1) >= 3:
+                put(i, i + k, math.log10(94 * k))
             for size in (2, 3, 4):
-                k = 1
-                while s[i + k * size : i + (k + 1) * size] == s[i : i + size] and i + (k + 1) * size <= n:
-                    k += 1
-                if k >= 3:
+                if (k := runs[size][i] // size + 1) >= 3:
                     put(i, i + k * size, size * math.log10(36) + math.log10(k))
             for walk in self.walks:
                 if (at := walk.find(low[i])) >= 0:
@@ -84,35 +86,53 @@ class GuessCost:
     def __call__(self, value: str) -> float:
         return self.best(value)[0]
 
-    def best(self, value: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """The cost and the spans of the best cut. Values longer than 256 are cut into parts of 256 and summed."""
-        if len(value) > 256:
-            parts = [self.best(value[i : i + 256])[0] for i in range(0, len(value), 256)]
-            return sum(parts), [(i * 256, min(len(value), i * 256 + 256), c) for i, c in enumerate(parts)]
+    def best(self, value: str, below: float = math.inf) -> tuple[float, list[tuple[int, int, float]]]:
+        """The cost and the spans of the best cut, exact; a value that costs `below` or more has a cost not under it, and no spans.
+
+        As k! couples the spans, the programme keeps the least sum for each place, number of spans and kind of the last
+        one. States that can't end under the cost of a known cut, or under `below`, are left out.
+        """
         n = len(value)
         base = sum(size for have, size in ((re.search("[a-z]", value), 26), (re.search("[A-Z]", value), 26), (re.search("[0-9]", value), 10), (re.search("[^A-Za-z0-9]", value), 32)) if have) or 1
         one = math.log10(max(10, base))
-        ends: dict[int, list[tuple[int, float]]] = {}
+        starts: dict[int, list[tuple[int, float]]] = {}
         for (i, j), c in self._spans(value).items():
-            ends.setdefault(j, []).append((i, c))
-        # best[j] = (cost without k!, spans, last is brute force, previous place)
-        best: list[tuple[float, int, bool, int, float]] = [(0.0, 0, False, -1, 0.0)]
-        score = lambda x: x[0] + math.lgamma(x[1] + 1) / math.log(10)
-        for j in range(1, n + 1):
-            cost, k, brute, _, _ = best[j - 1]
-            options = [(cost + one, k + (not brute), True, j - 1, one)]
-            for i, c in ends.get(j, ()):
-                options.append((best[i][0] + c, best[i][1] + 1, False, i, c))
-            best.append(min(options, key=score))
+            starts.setdefault(i, []).append((j, c))
+        rest = [0.0] * (n + 1)  # the least sum to the end, without k!
+        for i in range(n - 1, -1, -1):
+            rest[i] = min([one + rest[i + 1], *[c + rest[j] for j, c in starts.get(i, ())]])
+        if rest[0] >= below:
+            return rest[0], []
+        # a known cut: the one of the least sum
+        known, k, i, brute = rest[0], 0, 0, False
+        while i < n:
+            j, _, brute_next = min([(i + 1, one + rest[i + 1], True), *[(j, c + rest[j], False) for j, c in starts.get(i, ())]], key=lambda x: x[1])
+            k += not (brute and brute_next)
+            i, brute = j, brute_next
+        orders = lambda k: math.lgamma(k + 1) / math.log(10)
+        most = min(known + orders(k) + 1e-9, below)
+        # states[i][spans, last is brute force] = (sum, place before, state before, cost of the last span)
+        states: list[dict] = [{} for _ in range(n + 1)]
+        states[0][0, False] = (0.0, -1, None, 0.0)
+        for i in range(n):
+            for (k, brute), (cost, *_) in states[i].items():
+                for j, c, b in ((i + 1, one, True), *[(j, c, False) for j, c in starts.get(i, ())]):
+                    to = (k + (not (b and brute)), b)
+                    if cost + c + rest[j] + orders(to[0]) <= most and cost + c < states[j].get(to, (math.inf,))[0]:
+                        states[j][to] = (cost + c, i, (k, brute), c)
+        if not states[n]:
+            return most, []
+        state = min(states[n], key=lambda x: states[n][x][0] + orders(x[0]))
+        total = states[n][state][0] + orders(state[0])
         spans, j = [], n
         while j > 0:
-            i, c, brute = best[j][3], best[j][4], best[j][2]
-            if brute and spans and spans[-1][3] and spans[-1][0] == j:
+            _, i, before, c = states[j][state]
+            if state[1] and spans and spans[-1][3] and spans[-1][0] == j:
                 spans[-1] = (i, spans[-1][1], spans[-1][2] + c, True)
             else:
-                spans.append((i, j, c, brute))
-            j = i
-        return score(best[n]), [(i, j, round(c, 3)) for i, j, c, _ in reversed(spans)]
+                spans.append((i, j, c, state[1]))
+            j, state = i, before
+        return total, [(i, j, round(c, 3)) for i, j, c, _ in reversed(spans)]
 
 
 def scan(text: str | None, cost: GuessCost, least: float, hits=(True,) * 4) -> list[tuple[int, int, str]]:
@@ -131,8 +151,15 @@ def scan(text: str | None, cost: GuessCost, least: float, hits=(True,) * 4) -> l
     if hits[2]:
         found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if hits[3]:
-        values += [m.span(1) for m in CONTEXT.finditer(text)]
-    found += [(a, b, "guess") for a, b in dict.fromkeys(values) if cost(text[a:b]) >= least]
+        for m in CONTEXT.finditer(text):
+            a, b = next(m.span(g) for g in (2, 3, 4) if m[g] is not None)
+            if b - a >= (6 if m[1] else 8):
+                values.append((a, b))
+    known = -1
+    for a, b in sorted(dict.fromkeys(values), key=lambda x: (x[0], -x[1])):  # of values from one place, the longest that costs enough
+        if a != known and cost.best(text[a:b], least)[0] >= least:
+            found.append((a, b, "guess"))
+            known = a
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
