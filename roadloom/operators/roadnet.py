@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from roadloom.functions.geo import cell, haversine_m, point_segment_m
 from roadloom.functions.scalars import BASE_KMH, base_speed, limit_tag
 
-#: Vehicle profiles: height m, width m, weight t, top km/h; the car has no limits.
-PROFILES = (("car", None, None, None, 100.0), ("truck_small", 3.0, 2.0, 8.0, 90.0), ("truck_semi", 4.0, 2.5, 40.0, 80.0), ("truck_special", 4.5, 3.5, 60.0, 60.0))
+#: Vehicle profiles: height m, width m, weight t, top km/h, length m; the car has no limits.
+PROFILES = (("car", None, None, None, 100.0, None), ("truck_small", 3.0, 2.0, 8.0, 90.0, 5.0), ("truck_semi", 4.0, 2.5, 40.0, 80.0, 18.0), ("truck_special", 4.5, 3.5, 60.0, 60.0, 20.0))
 
 
 def routable(ways: DataFrame) -> DataFrame:
@@ -20,6 +20,7 @@ def build_edges(nodes: DataFrame, ways: DataFrame, refs: DataFrame) -> DataFrame
     """Directed edges between vertices (way ends, and nodes referenced twice or more by routable ways).
 
     Length is the sum of legs over the known nodes of a segment; a reverse edge follows unless the way is one-way.
+    Of the restrictions, maxwidth, maxlength and hgv are taken where the ways have these columns.
     """
     r = refs.join(routable(ways).select("way_id"), "way_id")
     ordered = Window.partitionBy("way_id").orderBy("seq")
@@ -32,18 +33,23 @@ def build_edges(nodes: DataFrame, ways: DataFrame, refs: DataFrame) -> DataFrame
     ends = r.where("vertex = 1").select("way_id", "seq", "node_id", F.lag("node_id").over(ordered).alias("src"), "segment").where("src is not null")
     length = known.groupBy("way_id", "segment").agg(F.sum("leg").alias("dist_m"))
     e = ends.join(length, ["way_id", "segment"]).join(nodes.select(F.col("node_id").alias("src")), "src").join(nodes.select("node_id"), "node_id")
-    e = e.join(ways.select("way_id", "highway", "oneway", "maxheight", "maxweight", "access"), "way_id")
-    e = e.select("way_id", "segment", "src", F.col("node_id").alias("dst"), "dist_m", "highway", "oneway", limit_tag(F.col("maxheight")).alias("maxheight"), limit_tag(F.col("maxweight")).alias("maxweight"), "access")
+    more = [c for c in ("maxwidth", "maxlength", "hgv") if c in ways.columns]
+    e = e.join(ways.select("way_id", "highway", "oneway", "maxheight", "maxweight", "access", *more), "way_id")
+    e = e.select("way_id", "segment", "src", F.col("node_id").alias("dst"), "dist_m", "highway", "oneway", limit_tag(F.col("maxheight")).alias("maxheight"), limit_tag(F.col("maxweight")).alias("maxweight"), "access", *[F.col(c) if c == "hgv" else limit_tag(F.col(c)).alias(c) for c in more])
     back = e.where(~F.coalesce(F.col("oneway").isin("yes", "true", "1"), F.lit(False))).select("way_id", "segment", F.col("dst").alias("src"), F.col("src").alias("dst"), *e.columns[4:])
     return e.withColumn("reverse", F.lit(0)).unionByName(back.withColumn("reverse", F.lit(1)))
 
 
 def profile_edges(edges: DataFrame) -> DataFrame:
-    """Edges by profile that may use them, with seconds. At a limit means blocked; no limit means free."""
+    """Edges by profile that may use them, with seconds. At a limit means blocked; no limit means free. hgv=no blocks all but the car."""
     spark = edges.sparkSession
-    p = spark.createDataFrame(list(PROFILES), "profile string, height double, width double, weight double, top_kmh double")
+    p = spark.createDataFrame(list(PROFILES), "profile string, height double, width double, weight double, top_kmh double, length double")
     free = lambda limit, own: F.coalesce(F.col(own) < F.col(limit), F.lit(True))
     ok = ~F.coalesce(F.col("access").isin("no", "private"), F.lit(False)) & free("maxheight", "height") & free("maxweight", "weight")
+    for limit, own in (("maxwidth", "width"), ("maxlength", "length")):
+        ok = ok & free(limit, own) if limit in edges.columns else ok
+    if "hgv" in edges.columns:
+        ok = ok & ~((F.col("profile") != "car") & F.coalesce(F.col("hgv") == "no", F.lit(False)))
     return edges.crossJoin(F.broadcast(p)).where(ok).withColumn("seconds", F.col("dist_m") / (F.least(base_speed(F.col("highway")), F.col("top_kmh")) / 3.6))
 
 
@@ -60,20 +66,25 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame, size: float = 0.01) -
     return p.join(v, ["cy", "cx"]).groupBy("point_id").agg(F.min(F.struct(F.round(d2, 12).alias("d2"), "node_id")).alias("b")).select("point_id", "b.node_id")
 
 
-def nearest_way(facilities: DataFrame, nodes: DataFrame, ways: DataFrame, refs: DataFrame, radius: float = 60.0) -> DataFrame:
+def nearest_way(facilities: DataFrame, nodes: DataFrame, ways: DataFrame, refs: DataFrame, radius: float = 60.0, single_points: bool = False) -> DataFrame:
     """Each facility's nearest routable way within radius metres (strictly), ties by way id.
 
     A segment is sent to every cell that its box, widened by the radius, touches: none is missed between its ends.
+    A way with one known point has no segment; with single_points it counts too, by ground distance.
     """
     size = 0.01
     w = Window.partitionBy("way_id").orderBy("seq")
     s = refs.join(routable(ways).select("way_id"), "way_id").join(nodes, "node_id")
-    s = s.select("way_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2")).where("lat2 is not null")
+    s = s.select("way_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2"), (F.count("*").over(Window.partitionBy("way_id")) == 1).alias("single"))
+    if single_points:
+        s = s.withColumns({"lat2": F.when(F.col("single"), F.col("lat1")).otherwise(F.col("lat2")), "lon2": F.when(F.col("single"), F.col("lon1")).otherwise(F.col("lon2"))})
+    s = s.where("lat2 is not null")
     pad = radius / 80000.0
     span = lambda a, b: F.sequence(cell(F.least(a, b) - pad, size), cell(F.greatest(a, b) + pad, size))
     s = s.withColumn("cy", F.explode(span("lat1", "lat2"))).withColumn("cx", F.explode(span("lon1", "lon2")))
     f = facilities.select("facility_id", "lat", "lon", cell(F.col("lat"), size).alias("cy"), cell(F.col("lon"), size).alias("cx"))
     d = point_segment_m(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    d = F.when(F.col("single"), haversine_m(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"))).otherwise(d)
     j = s.join(f, ["cy", "cx"]).withColumn("d", F.round(d, 6)).where(F.col("d") < radius)
     return j.groupBy("facility_id").agg(F.min(F.struct("d", "way_id")).alias("b")).select("facility_id", "b.way_id", F.col("b.d").alias("distance_m"))
 
@@ -211,6 +222,11 @@ def compare_profiles(edges: DataFrame, key: str = "highway") -> DataFrame:
     return profile_edges(edges).groupBy(key).pivot("profile", [p[0] for p in PROFILES]).agg(F.sum("seconds"))
 
 
+def compare_routes(routes: DataFrame) -> DataFrame:
+    """One row for each request_id of route_profiles: minutes and km by profile side by side, null where there is no route."""
+    return routes.groupBy("request_id").pivot("profile", [p[0] for p in PROFILES]).agg(F.first("minutes", True).alias("minutes"), F.first("km", True).alias("km"))
+
+
 def shortest_paths(sources: DataFrame, edges: DataFrame, bans: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(source, node, seconds, ways) of the cheapest paths that make no banned turn: exact, or of at most max_hops edges.
 

@@ -42,12 +42,16 @@ def to_video_pts(events: DataFrame, anchors: DataFrame, by: list[str], on: str =
 
 
 def qr_resolve(reads: DataFrame, by: str = "session_id", carry_ns: int = 200_000_000) -> DataFrame:
-    """Decoded values carry on for up to 200 ms of capture time: ok, qr_stale or qr_missing."""
+    """Decoded values carry on for up to 200 ms of capture time: ok, qr_stale or qr_missing.
+
+    Where either capture time is unknown, a step of seq counts as 33,333,333 ns; without that too nothing is carried.
+    """
     w = Window.partitionBy(by).orderBy("seq")
-    seen = F.last(F.when(F.col("decode_success"), F.struct("source_timestamp_ns", "capture_timestamp_ns")), ignorenulls=True).over(w)
+    got = F.coalesce(F.col("decode_success") & F.col("source_timestamp_ns").isNotNull(), F.lit(False))
+    seen = F.last(F.when(got, F.struct("source_timestamp_ns", "capture_timestamp_ns", "seq")), ignorenulls=True).over(w)
     df = reads.withColumn("held", seen)
-    fresh = F.greatest(F.lit(0), F.col("capture_timestamp_ns") - F.col("held.capture_timestamp_ns")) <= carry_ns
-    status = F.when(F.col("decode_success"), "ok").when(F.col("held").isNotNull() & fresh, "qr_stale").otherwise("qr_missing")
+    age = F.coalesce(F.col("capture_timestamp_ns") - F.col("held.capture_timestamp_ns"), (F.col("seq") - F.col("held.seq")) * 33_333_333)
+    status = F.when(got, "ok").when(age <= carry_ns, "qr_stale").otherwise("qr_missing")
     df = df.withColumn("status", status)
     return df.withColumn("resolved_ns", F.when(F.col("status") != "qr_missing", F.col("held.source_timestamp_ns"))).drop("held")
 
