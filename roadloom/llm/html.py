@@ -11,11 +11,19 @@ from pyspark.sql import functions as F
 
 from roadloom.llm.common import chunks, pick
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = {t: re.compile(rf"</{t}\s*/?>|\Z", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
-HIDDEN = set("head script style template noscript iframe object svg math datalist audio video canvas noembed noframes select".split())
+RAW = {t: re.compile(rf"</{t}(?=[ \t\n\r\f/>])[^>]*>?|\Z", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
+HIDDEN = set("head script style template noscript iframe object datalist audio video canvas noembed noframes annotation annotation-xml mphantom".split())
+#: Parts of a drawing that are not drawn themselves; of the others, text and foreignObject hold what is read.
+UNDRAWN = set("title desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+#: Elements of svg and math whose content is HTML again, and HTML tags that end an open svg or math.
+POINTS = set("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = set("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol
+p pre ruby s small span strong strike sub sup table tt u ul var""".split())
+#: Formulas whose parts stand apart, so that a half is no 12.
+APART = set("mfrac msub msup msubsup mroot munder mover munderover mmultiscripts mtable mtr mtd".split())
 BLOCK = set("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody
 tfoot thead tr td th ul caption""".split())
@@ -52,6 +60,16 @@ def build(source: str) -> Node:
     """The tree. Tags that the author left out are implied; stray end tags are ignored; anything open ends with the page."""
     root = Node("#root", {})
     stack, at = [root], 0
+    drawings = re.search("<(?:svg|math)", source, re.I) is not None
+
+    def foreign(inside=False):
+        """svg or math, if a tag here belongs to it (inside: if the open element itself does), or else an empty text."""
+        for i in range(len(stack) - 1, 0, -1) if drawings else ():
+            if (tag := stack[i].tag) in ("svg", "math"):
+                return tag
+            if tag in POINTS and not (inside and i == len(stack) - 1):
+                break
+        return ""
 
     def end_within(tags, bounds):
         for i in range(len(stack) - 1, 0, -1):
@@ -73,6 +91,12 @@ def build(source: str) -> Node:
         if lt < 0:
             put(entities.unescape(source[at:]))
             break
+        if source.startswith("<![CDATA[", lt) and foreign(True):
+            put(entities.unescape(source[at:lt]))
+            end = source.find("]]>", lt)
+            put(source[lt + 9 : end if end >= 0 else len(source)])
+            at = end + 3 if end >= 0 else len(source)
+            continue
         m = TOKEN.match(source, lt)
         if not m:
             put(entities.unescape(source[at : lt + 1]))
@@ -94,6 +118,11 @@ def build(source: str) -> Node:
             extra = (m[3] if m[2] else m[5]) or ""
             if stack[-1].tag == "head" and tag not in HEAD_ONLY:
                 stack.pop()
+            if (kind := foreign()) and tag in BREAKOUT:
+                while stack[-1].tag not in ("svg", "math"):
+                    stack.pop()
+                stack.pop()
+                kind = ""
             if tag in P_ENDERS:
                 end_within({"p"}, {"table", "td", "th", "button", "object"})
             if tag in IMPLIED:
@@ -104,12 +133,14 @@ def build(source: str) -> Node:
             if tag[0] == "h" and tag[1:].isdigit() and stack[-1].tag[0] == "h" and stack[-1].tag[1:].isdigit():
                 stack.pop()
             stack[-1].kids.append(node := Node(tag, attributes(extra) if extra.strip(" /") else {}))
-            if tag in RAW:
+            if kind == "svg" and (tag in UNDRAWN or node.attrs.get("display") == "none" or node.attrs.get("visibility") in ("hidden", "collapse")):
+                node.attrs["hidden"] = ""
+            if tag in RAW and not kind:
                 stop = RAW[tag].search(source, at)
                 raw = source[at : stop.start()]
                 node.kids.append(entities.unescape(raw) if tag in ("textarea", "title") else raw)
                 at = stop.end()
-            elif tag not in VOID and not (extra.endswith("/") and tag not in BLOCK and tag in ("path", "circle", "rect", "line", "use", "g", "svg")):
+            elif tag not in VOID and not (extra.endswith("/") and (kind or tag in ("svg", "math"))):
                 stack.append(node)
     return root
 
@@ -119,6 +150,45 @@ def visible(node: Node) -> bool:
     return node.tag not in HIDDEN and not (a and ("hidden" in a or UNSEEN.search(a.get("style", "")) or node.tag == "input" and a.get("type", "").lower() == "hidden"))
 
 
+def drawn(svg: Node) -> list[Node | str]:
+    """The texts of a drawing that are shown, in their order, with white space between them."""
+    out, todo = [" "], svg.kids[::-1]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str) or not visible(n):
+            continue
+        if n.tag in ("text", "foreignobject"):
+            out += [n, " "]
+        else:
+            todo += n.kids[::-1]
+    return out
+
+
+def options(select: Node) -> tuple[bool, list[str]]:
+    """Whether a select is a list box, and the options that it shows: all, or else the chosen one, by default the first that isn't disabled."""
+    found, todo = [], [(k, False) for k in reversed(select.kids)]
+    while todo:
+        n, off = todo.pop()
+        if isinstance(n, str):
+            continue
+        off = off or n.tag in ("option", "optgroup") and "disabled" in n.attrs
+        if n.tag != "option":
+            todo += [(k, off) for k in reversed(n.kids)]
+            continue
+        parts, inner = [], n.kids[::-1]
+        while inner:
+            k = inner.pop()
+            if isinstance(k, str):
+                parts.append(k)
+            elif k.tag not in ("script", "style", "template"):
+                inner += k.kids[::-1]
+        found.append((n.attrs.get("label") or WHITE.sub(" ", "".join(parts)).strip(), "selected" in n.attrs, off, visible(n)))
+    size = select.attrs.get("size", "")
+    if "multiple" in select.attrs or size.isdigit() and len(size) < 9 and int(size) > 1:
+        return True, [text for text, _, _, seen in found if seen]
+    return False, ([x[0] for x in found if x[1]][-1:] or [x[0] for x in found if not x[2]][:1])
+
+
 class Writer:
     """Lines of text; white space collapses, blank lines stand between spaced blocks."""
 
@@ -186,7 +256,10 @@ def grid(rows: list[list[tuple[str, int]]]) -> list[str]:
 
 
 def render(source: str) -> str:
-    """All visible text of a page. Lists get marks, table cells are aligned, pre keeps its lines, alt stands for images."""
+    """All visible text of a page. Lists get marks, table cells are aligned, pre keeps its lines, alt stands for images.
+
+    Of a drawing its texts are given, of a formula its symbols, of a select the option that it shows or, as a list box, all.
+    """
     out = Writer()
     writers, tables, lists, pre = [out], [], [], 0
     todo: list[tuple] = [(build(source), 0)]
@@ -222,6 +295,15 @@ def render(source: str) -> str:
                 continue
             if tag == "wbr":
                 continue
+            if tag == "select":
+                box, texts = options(node)
+                for x in texts:
+                    if box:
+                        w.end_line()
+                    w.text(x)
+                if box:
+                    w.end_line()
+                continue
             if tag == "table":
                 w.end_line(True)
                 tables.append({"rows": [], "caption": [], "bare": True})
@@ -252,8 +334,9 @@ def render(source: str) -> str:
                 pre += 1
             elif tag == "q":
                 w.text('"')
+            kids = drawn(node) if tag == "svg" else [x for k in node.kids for x in (k, " ")] if tag in APART else node.kids
             todo.append((node, 1))
-            todo += [(k, 0) for k in reversed(node.kids)]
+            todo += [(k, 0) for k in reversed(kids)]
             continue
         if tag in ("td", "th", "caption") and tables:
             lists.pop()
