@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import materialize
+from roadloom.llm.components import components
 
 #: Common words of English, German, French and Spanish that anchor a signature.
 ANCHORS = """the of and to in is was for that with by as on at this it an are be or from
 der die das und zu den von mit sich des auf als im dem ein nicht
 le la les de des et du est un une dans que qui par pour pas sur
 el los las del y en se por con una su para al lo como""".split()
-#: Most bucket rows that are broadcast: 16 bytes each, 8 MB.
-MOST_BUCKETS = 500_000
+#: Most ranges of doc_id, a power of two.
+MOST_BUCKETS = 4096
 
 
 def _factored(words) -> str:
@@ -54,16 +55,28 @@ def fingerprint(sigs: Column) -> Column:
     return F.array_join(F.transform(sigs, lambda s: F.hex(s)), "")
 
 
+def ranges(docs: DataFrame) -> Column:
+    """The number of doc_id's range; null for a null one. Bounds are quantiles, so ranges hold about as many rows each.
+
+    The bounds are found by halving; they only need to be in order, so rounded ones part the rows as well.
+    """
+    n = docs.agg(F.count("doc_id")).first()[0]
+    steps = [1]
+    while 2 * steps[0] < min(MOST_BUCKETS, n // 128):
+        steps.insert(0, 2 * steps[0])
+    many = 2 * steps[0]
+    bounds = docs.agg(F.percentile_approx("doc_id", [i / many for i in range(1, many)], 20 * many)).first()[0] or [0]
+    halve = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.element_at(F.lit(bounds), at + step) <= F.col("doc_id"), at + step).otherwise(at))
+    return F.when(F.col("doc_id").isNotNull(), halve).cast("long")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, sigs and those of the next document by doc_id (next_text, next_sigs; after the last, the first).
 
     Documents are dealt once by ranges of doc_id; the first document of each range is also sent to the range before it.
-    The table of ranges has at most MOST_BUCKETS rows, so it can be broadcast at any input size.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    s = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("doc_id").alias("n")).first()
-    low, width = s.a or 0, max(1, -(-((s.b or 0) - (s.a or 0) + 1) // min(MOST_BUCKETS, max(1, -(-s.n // 256)))))
-    bucket = F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long")
+    bucket = ranges(docs)
     firsts = docs.where("doc_id is not null").groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("first_id"))
     order = Window.partitionBy().orderBy("bucket")
     ends = Window.partitionBy().orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -112,3 +125,22 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - 1e-9)).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
     full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("sigs").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("sigs").alias("sb")), "b")
     return full.select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= least)
+
+
+def near_members(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """doc_id, class_id, copies, n_links, component_id for every row of docs with a doc_id, beside the pairs of near_duplicates.
+
+    class_id is the smallest doc_id with an equal signature set, copies the number of rows that have it; n_links counts the
+    other rows with likeness >= least, exact copies too; component_id is the smallest doc_id that links lead to.
+    """
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    key = F.sha2(fingerprint(F.col("sigs")).cast("binary"), 256)
+    rows = materialize(add_signatures(docs, F.coalesce("text", F.lit("")), "sigs").select("doc_id", key.alias("key")))
+    classes = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")))
+    pairs = materialize(near_duplicates(docs, least).select("a", "b"))
+    both = pairs.union(pairs.select("b", "a")).toDF("class_id", "other")
+    links = both.join(classes.select(F.col("class_id").alias("other"), "copies"), "other").groupBy("class_id").agg(F.sum("copies").alias("links"))
+    part = components(pairs).select(F.col("node").alias("class_id"), "component")
+    known = classes.join(links, "class_id", "left").join(part, "class_id", "left")
+    known = known.select("key", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
+    return rows.join(known, "key").drop("key")
