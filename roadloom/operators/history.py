@@ -202,3 +202,9 @@ def vision_diagnostics(events: DataFrame) -> DataFrame:
     """Detections by class: count, confidences at the quarters (exact), nearest distance."""
     q = [F.expr(f"percentile(confidence, {p})").alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)]
     return events.groupBy("class_name").agg(F.count("*").alias("events"), *q, F.min("distance_m").alias("nearest_m"))
+
+
+def replay_sessions(events: DataFrame, start_ns: int, end_ns: int, at: str = "capture_timestamp_ns", by: str = "session_id") -> DataFrame:
+    """Rows of every session from start_ns to end_ns (both included) after its first capture, with that offset as offset_ns."""
+    first = F.min(at).over(Window.partitionBy(by))
+    return events.withColumn("offset_ns", F.col(at) - first).where(F.col("offset_ns").between(start_ns, end_ns))

@@ -242,6 +242,11 @@ def replay_events(v):
     return d.select("detection_event_id", "frame_id", "class_name")
 
 
+@query("with o as (select *, capture_timestamp_ns - min(capture_timestamp_ns) over (partition by session_id) as offset_ns from detection_event) select session_id, detection_event_id, frame_id, class_name, offset_ns from o where offset_ns between 3000000000 and 9000000000", "detection_event")
+def replay_events_by_session(v):
+    return h.replay_sessions(v("detection_event"), 3_000_000_000, 9_000_000_000).select("session_id", "detection_event_id", "frame_id", "class_name", "offset_ns")
+
+
 @query("""with e as (select *, row_number() over (partition by trip_id order by recorded_at, position_id) as a, row_number() over (partition by trip_id order by recorded_at desc, position_id desc) as b from vehicle_position)
 select t.trip_id, t.trip_status, x.lat as origin_lat, x.lng as origin_lng, y.lat as destination_lat, y.lng as destination_lng from trip t left join e x on x.trip_id = t.trip_id and x.a = 1 left join e y on y.trip_id = t.trip_id and y.b = 1""", "trip", "vehicle_position")
 def trip_detail(v):
