@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.geo import cell, haversine_m, point_segment_m
 from roadloom.functions.scalars import BASE_KMH, base_speed, limit_tag
+from roadloom.sources.scratch import materialize
 
 #: Vehicle profiles: height m, width m, weight t, top km/h, length m; the car has no limits.
 PROFILES = (("car", None, None, None, 100.0, None), ("truck_small", 3.0, 2.0, 8.0, 90.0, 5.0), ("truck_semi", 4.0, 2.5, 40.0, 80.0, 18.0), ("truck_special", 4.5, 3.5, 60.0, 60.0, 20.0))
@@ -102,13 +103,14 @@ def shortest_routes(sources: DataFrame, edges: DataFrame, by: tuple[str, ...] =
     way = (F.col("way_id") if "way_id" in edges.columns else F.lit(None)).cast("long").alias("way_id")
     dist = (F.col("dist_m") if "dist_m" in edges.columns else F.lit(None)).cast("double").alias("dist_m")
     e = edges.where("seconds >= 0").select(*on, "src", "dst", way, F.struct("seconds", dist).alias("w"))
-    e = e.groupBy(*on, "src", "dst", *(["way_id"] if last else [])).agg(F.min(F.struct("w", *([] if last else ["way_id"]))).alias("x")).select(*on, "src", "dst", "way_id" if last else "x.way_id", "x.w").localCheckpoint()
+    e = e.groupBy(*on, "src", "dst", *(["way_id"] if last else [])).agg(F.min(F.struct("w", *([] if last else ["way_id"]))).alias("x"))
+    e = materialize(e.select(*on, "src", "dst", "way_id" if last else "x.way_id", "x.w"))
     none = F.lit(None).cast("long").alias("last_way")
     path = [F.array().cast("array<bigint>").alias("ways")] if ways else []
     m = F.struct(F.lit(0.0).alias("seconds"), F.lit(0.0).alias("dist_m"), F.lit(0).alias("hops"), *path)
-    best = sources.select(*on, F.col("node_id").alias("source"), F.col("node_id").alias("node"), *([none] if last else []), m.alias("m")).distinct().localCheckpoint()
+    best = materialize(sources.select(*on, F.col("node_id").alias("source"), F.col("node_id").alias("node"), *([none] if last else []), m.alias("m")).distinct())
     front = best
-    b = bans.select(F.col("from_way").alias("last_way"), F.col("via_node").alias("src"), F.col("to_way").alias("way_id")).distinct().localCheckpoint() if last else None
+    b = materialize(bans.select(F.col("from_way").alias("last_way"), F.col("via_node").alias("src"), F.col("to_way").alias("way_id")).distinct()) if last else None
     while not front.isEmpty():
         step = front.withColumnRenamed("node", "src").join(e, [*on, "src"])
         if last:
@@ -120,7 +122,7 @@ def shortest_routes(sources: DataFrame, edges: DataFrame, by: tuple[str, ...] =
             step = step.where(F.col("n.seconds") <= most_s)
         j = best.join(step.groupBy(*state).agg(F.min("n").alias("n")), state, "full_outer")
         better = F.col("n").isNotNull() & (F.col("m").isNull() | (F.col("n") < F.col("m")))
-        best = j.select(*state, F.when(better, F.col("n")).otherwise(F.col("m")).alias("m"), better.alias("new")).localCheckpoint()
+        best = materialize(j.select(*state, F.when(better, F.col("n")).otherwise(F.col("m")).alias("m"), better.alias("new")))
         front = best.where("new").drop("new")
         if goals is not None:
             reached = best.groupBy(*on, "source", "node").agg(F.min("m.seconds").alias("s"))
@@ -284,7 +286,7 @@ def route_profiles(requests: DataFrame, nodes: DataFrame, edges: DataFrame, bans
     spark = edges.sparkSession
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
     names = spark.createDataFrame([(p[0],) for p in PROFILES], "profile string")
-    r = snap_requests(requests, nodes.join(ends, "node_id", "left_semi")).crossJoin(F.broadcast(names)).localCheckpoint()
+    r = materialize(snap_requests(requests, nodes.join(ends, "node_id", "left_semi")).crossJoin(F.broadcast(names)))
     od = r.where("origin is not null and goal is not null")
     goals = od.select("profile", F.col("origin").alias("source"), F.col("goal").alias("node")).distinct()
     t = shortest_routes(od.select("profile", F.col("origin").alias("node_id")).distinct(), profile_edges(edges), ("profile",), goals, bans)
