@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OWN_DIRS: dict[str, str] = {}
+from roadloom.sources.scratch import materialize, shared_dir  # noqa: F401 (for the other modules here)
 
 #: Bytes that end a word: space and \t \n \v \f \r.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -18,23 +17,6 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where it is unset."""
-    app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = _OWN_DIRS.setdefault(app, tempfile.mkdtemp(prefix="spark-roadloom-"))
-    return f"{base.rstrip('/')}/roadloom/{app}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column, end to end, and the n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -62,6 +44,27 @@ def chunks(batches, column: str = "text", most: int = 1 << 18):
             at = to
 
 
+def _trim() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), after which the Python worker, which is kept for later tasks, holds no freed memory."""
+
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return df.mapInArrow(held, schema)
+
+
 def pick(batch, *names):
     return [batch.column(batch.schema.get_field_index(n)) for n in names]
 
@@ -183,7 +186,7 @@ def without(docs: DataFrame, hits: np.ndarray) -> DataFrame:
             out = batch.filter(pa.array(~table[batch.column(2).to_numpy()]))
             yield out.select(["doc_id", "text"])
 
-    return rows.mapInArrow(run, "doc_id long, text string")
+    return map_batches(rows, run, "doc_id long, text string")
 
 
 def packed(docs: DataFrame, hits: np.ndarray) -> DataFrame:
@@ -198,8 +201,47 @@ def packed(docs: DataFrame, hits: np.ndarray) -> DataFrame:
             blobs = [codec.compress(data[a:b].tobytes(), asbytes=True) if b > a else b"" for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(blobs, pa.binary())], ["doc_id", "size", "z"])
 
-    return rows.mapInArrow(run, "doc_id long, size long, z binary")
+    return map_batches(rows, run, "doc_id long, size long, z binary")
 
 
 def unpacked(blob: bytes, size: int) -> bytes:
     return pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
+#: Bits of one row of a bit table, and its most rows (16 MB in all).
+ROW_OF_BITS, MOST_ROWS = 1 << 15, 4096
+
+
+def bit_table(ids: DataFrame, column: str) -> DataFrame:
+    """(bucket, bits, rows): a bit for the hash of each id, 16 bits an id, never above 16 MB whatever the input; other ids may hit by chance."""
+    rows = min(MOST_ROWS, 1 << max(0, (16 * ids.count() // ROW_OF_BITS).bit_length()))
+    h = F.pmod(F.xxhash64(column), F.lit(rows * ROW_OF_BITS))
+    at = ids.select(F.shiftright(h, 15).alias("bucket"), (h % ROW_OF_BITS).alias("bit"))
+    return materialize(at.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))).withColumn("rows", F.lit(rows))
+
+
+def with_hits(df: DataFrame, table: DataFrame, column: str, name: str = "hit__") -> DataFrame:
+    """df with whether the bit table hits the column: a broadcast of at most 16 MB, no shuffle and no Python."""
+    rows = table.select("rows").limit(1).collect()
+    h = F.pmod(F.xxhash64(column), F.lit((rows[0][0] if rows else 1) * ROW_OF_BITS))
+    keyed = df.withColumns({"bucket__": F.shiftright(h, 15), "bit__": h % ROW_OF_BITS})
+    bits = F.broadcast(table.select(F.col("bucket").alias("bucket__"), F.col("bits").alias("bits__")))
+    byte = F.conv(F.hex(F.substring("bits__", (F.shiftright("bit__", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col("bit__") % 8).cast("int")) == 1, F.lit(False))
+    return keyed.join(bits, "bucket__", "left").withColumn(name, hit).drop("bucket__", "bit__", "bits__")
+
+
+#: Keys with this share of all rows or more are heavy: there are at most as many as its inverse.
+HEAVY = 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], count: str) -> DataFrame:
+    """rows with the columns of table (one row a key, `count`: how many of rows have it); rows without a key there go.
+
+    Keys that hold a thousandth of the rows or more, at most 1000 of them, are broadcast, so that no task gets all rows
+    of a very common key; the others are joined by key. Both tables should be written ones, as they are read twice.
+    """
+    least = rows.count() / HEAVY
+    heavy, light = table.where(F.col(count) >= least), table.where(F.col(count) < least)
+    keys = F.broadcast(heavy.select(*on))
+    return rows.join(F.broadcast(heavy), on).unionByName(rows.join(keys, on, "left_anti").join(light, on))
