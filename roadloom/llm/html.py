@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import chunks, pick
+from roadloom.llm.common import chunks, map_batches, pick
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -38,7 +38,10 @@ IMPLIED = {
     "body": ({"head"}, {"html"}),
 }
 HEAD_ONLY = set("base basefont bgsound link meta title style script noscript template head".split())
-UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+#: Columns and rows that a cell may span, as browsers have it, and the width up to which columns are padded.
+MOST_COLUMNS, MOST_ROWS, ALIGNED = 1000, 65534, 60
 WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -146,8 +149,20 @@ def build(source: str) -> Node:
 
 
 def visible(node: Node) -> bool:
+    """Whether the element and what it holds takes part in the page. visibility: hidden is another thing: a child may undo it."""
     a = node.attrs
-    return node.tag not in HIDDEN and not (a and ("hidden" in a or UNSEEN.search(a.get("style", "")) or node.tag == "input" and a.get("type", "").lower() == "hidden"))
+    return node.tag not in HIDDEN and not (node.tag == "dialog" and "open" not in a) and not (a and ("hidden" in a or UNSEEN.search(a.get("style", "")) or node.tag == "input" and a.get("type", "").lower() == "hidden"))
+
+
+def shown(node: Node, before: bool) -> bool:
+    """Whether text of the element is seen: its own visibility, or else that of what it stands in."""
+    own = VISIBILITY.search(node.attrs.get("style", "")) if node.attrs else None
+    return before if own is None or own[1].lower() == "inherit" else own[1].lower() not in ("hidden", "collapse")
+
+
+def unfolded(details: Node) -> list[Node | str]:
+    """What a details element shows: all if it is open, or else its first summary."""
+    return details.kids if "open" in details.attrs else [k for k in details.kids if isinstance(k, Node) and k.tag == "summary"][:1]
 
 
 def drawn(svg: Node) -> list[Node | str]:
@@ -235,24 +250,51 @@ class Writer:
         return "\n".join(self.lines)
 
 
-def grid(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of (text, columns) as lines with aligned columns, two spaces between them."""
+def grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of (lines, columns, rows) as lines with aligned columns, two spaces between them.
+
+    A cell of several lines makes its row as high. A cell that spans rows leaves its columns empty below. Columns are as
+    wide as their widest line of up to ALIGNED characters, so padding stays in proportion to the number of cells; longer
+    lines stand whole and push what follows.
+    """
+    placed: list[list[tuple[int, list[str], int]]] = []
     widths: list[int] = []
+    below: dict[int, int] = {}  # rows that a column is still taken
     for row in rows:
-        c = 0
-        for text, span in row:
-            widths += [0] * (c + span - len(widths))
+        c, out = 0, []
+        new: dict[int, int] = {}
+        for lines, span, down in row:
+            while below.get(c, 0) > 0:
+                c += 1
+            out.append((c, lines, span))
+            if len(widths) < c + span:
+                widths += [0] * (c + span - len(widths))
             if span == 1:
-                widths[c] = max(widths[c], len(text))
+                widths[c] = max([widths[c], *[len(x) for x in lines if len(x) <= ALIGNED]])
+            if down > 1:
+                new |= {k: down for k in range(c, c + span)}
             c += span
-    out = []
-    for row in rows:
-        c, parts = 0, []
-        for text, span in row:
-            parts.append(text.ljust(sum(widths[c : c + span]) + 2 * (span - 1)))
-            c += span
-        out.append("  ".join(parts).rstrip())
-    return out
+        below = {k: n - 1 for k, n in (below | new).items() if n > 1}
+        placed.append(out)
+    starts = [0]
+    for w in widths:
+        starts.append(starts[-1] + w + 2)
+    lines_out = []
+    for row in placed:
+        for i in range(max((len(lines) for _, lines, _ in row), default=0)):
+            line, used = [], 0
+            for c, lines, _ in row:
+                if i < len(lines) and lines[i]:
+                    pad = max(starts[c] - used, 2 if used else 0)
+                    line.append(" " * pad + lines[i])
+                    used += pad + len(lines[i])
+            lines_out.append("".join(line).rstrip())
+    return lines_out
+
+
+def _number(node: Node, name: str, most: int) -> int:
+    s = node.attrs.get(name, "1").strip()
+    return max(1, min(most, int(s))) if s.isdigit() and len(s) < 9 else 1
 
 
 def render(source: str) -> str:
@@ -261,12 +303,14 @@ def render(source: str) -> str:
     Of a drawing its texts are given, of a formula its symbols, of a select the option that it shows or, as a list box, all.
     """
     out = Writer()
-    writers, tables, lists, pre = [out], [], [], 0
+    writers, tables, lists, pre, seen = [out], [], [], 0, [True]
     todo: list[tuple] = [(build(source), 0)]
     while todo:
         node, phase = todo.pop()
         w = writers[-1]
         if isinstance(node, str):
+            if not seen[-1]:
+                continue
             if pre:
                 first, *rest = node.replace("\r\n", "\n").split("\n")
                 w.now.append(first)
@@ -283,6 +327,8 @@ def render(source: str) -> str:
             if tag == "br":
                 w.br()
                 continue
+            if tag in ("img", "input", "select") and not shown(node, seen[-1]):
+                continue
             if tag == "img":
                 w.text(node.attrs.get("alt", ""))
                 continue
@@ -312,6 +358,7 @@ def render(source: str) -> str:
             elif tag in ("td", "th", "caption") and tables:
                 writers.append(Writer())
                 tables[-1]["bare"] = False
+                seen.append(shown(node, seen[-1]))
                 todo.append((node, 1))
                 todo += [(k, 0) for k in reversed(node.kids)]
                 lists.append(None)
@@ -334,26 +381,28 @@ def render(source: str) -> str:
                 pre += 1
             elif tag == "q":
                 w.text('"')
-            kids = drawn(node) if tag == "svg" else [x for k in node.kids for x in (k, " ")] if tag in APART else node.kids
+            seen.append(shown(node, seen[-1]))
+            kids = drawn(node) if tag == "svg" else unfolded(node) if tag == "details" else [x for k in node.kids for x in (k, " ")] if tag in APART else node.kids
             todo.append((node, 1))
             todo += [(k, 0) for k in reversed(kids)]
             continue
+        seen.pop()
         if tag in ("td", "th", "caption") and tables:
             lists.pop()
-            text = " ".join(WHITE.split(writers.pop().done())).strip()
+            lines = writers.pop().done().split("\n")
             tables[-1]["bare"] = True
             if tag == "caption":
-                tables[-1]["caption"].append(text)
+                tables[-1]["caption"] += lines
             else:
                 if not tables[-1]["rows"]:
                     tables[-1]["rows"].append([])
-                span = node.attrs.get("colspan", "1")
-                tables[-1]["rows"][-1].append((text, max(1, min(100, int(span))) if span.isdigit() else 1))
+                tables[-1]["rows"][-1].append((lines, _number(node, "colspan", MOST_COLUMNS), _number(node, "rowspan", MOST_ROWS)))
             continue
         if tag == "table":
             t = tables.pop()
             w.end_line()
-            for x in [*t["caption"], *grid([r for r in t["rows"] if any(c for c, _ in r)])]:
+            rows = [r for r in t["rows"] if any(any(c[0]) or c[2] > 1 for c in r)]
+            for x in [*t["caption"], *grid(rows)]:
                 if x:
                     w.line(x)
             w.gap = True
@@ -389,4 +438,4 @@ def extract_text(pages: DataFrame, key: str = "page_id", source: str = "html") -
             yield pa.RecordBatch.from_arrays([ids, pa.array([render(x) if x else "" for x in pages_.to_pylist()], pa.string())], [key, "text"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(F.col(key).alias("k"), F.col(source).alias("html")).mapInArrow(run, f"{key} {kind}, text string")
+    return map_batches(pages.select(F.col(key).alias("k"), F.col(source).alias("html")), run, f"{key} {kind}, text string")
