@@ -4,22 +4,32 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import HashCache, Roll, bytes_of, chunks, mix, pick, word_spans
+from roadloom.llm.common import bytes_of, chunks, map_batches, materialize, pick
 
-#: Bounds of the training sample: rows, and words of a row (spread evenly over the whole text).
-SAMPLE_ROWS, SAMPLE_WORDS = 1500, 200
-_CACHES: dict = {}
+#: Bounds of the training sample: rows of each label, and places drawn from each row (anywhere in the whole text).
+SAMPLE_ROWS, DRAWS = 400, 24
+#: Bytes that the network labels at a time, and bytes that it reads before and behind them.
+SEGMENT, CONTEXT = 240, 16
+#: Bytes of a training window.
+TRAINED = 48
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def _half_tanh(x):
+    """The logistic function of x, in place."""
+    np.tanh(np.multiply(x, np.float32(0.5), out=x), out=x)
+    x += np.float32(1)
+    x *= np.float32(0.5)
+    return x
 
 
 class BiGRU:
-    """Reads a word's bytes both ways; every byte position gets class probabilities from both states."""
+    """Reads bytes both ways, across spaces; every byte position gets class probabilities from both states.
+
+    Arrays are (features, batch), so that each step works on whole rows. Byte 0 stands outside a text.
+    """
 
     def __init__(self, classes: list[str], hidden: int = 8, seed: int = 0):
         r = np.random.default_rng(seed)
@@ -27,141 +37,140 @@ class BiGRU:
         self.classes, self.h = classes, h
         self.p = {}
         for d in "fb":
-            self.p |= {f"x{d}": r.normal(0, 0.3, (256, 3 * h)), f"u{d}": r.normal(0, h**-0.5, (h, 3 * h)), f"c{d}": np.zeros(3 * h)}
-        self.p |= {"o": r.normal(0, 0.3, (2 * h, k)), "ob": np.zeros(k)}
+            self.p |= {f"x{d}": r.normal(0, 0.3, (3 * h, 256)), f"u{d}": r.normal(0, h**-0.5, (3 * h, h)), f"c{d}": np.zeros((3 * h, 1))}
+        self.p |= {"o": r.normal(0, 0.3, (k, 2 * h)), "ob": np.zeros((k, 1))}
         self.p = {n: v.astype(np.float32) for n, v in self.p.items()}
 
-    def _run(self, x, mask, d, keep):
-        """x: (T, B) bytes in reading order. States (T, B, h), and what the way back needs."""
+    def _run(self, x, d, keep):
+        """x: (T, B) bytes in reading order. States (T, h, B), and what the way back needs."""
         h, u = self.h, self.p[f"u{d}"]
         table = self.p[f"x{d}"] + self.p[f"c{d}"]
-        s = np.zeros((x.shape[1], h), np.float32)
-        states, notes = np.zeros((*x.shape, h), np.float32), []
+        s = np.zeros((h, x.shape[1]), table.dtype)
+        states, notes = np.empty((len(x), h, x.shape[1]), table.dtype), []
         for t in range(len(x)):
-            a, g = table[x[t]], s @ u
-            zr = _sigmoid(a[:, : 2 * h] + g[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            n = np.tanh(a[:, 2 * h :] + r * g[:, 2 * h :])
-            new = n + z * (s - n)
-            if mask is not None:
-                new = np.where(mask[t][:, None], new, s)
+            a, g = np.take(table, x[t], axis=1), u @ s
+            zr = _half_tanh(a[: 2 * h] + g[: 2 * h])
+            z, r = zr[:h], zr[h:]
+            n = np.tanh(a[2 * h :] + r * g[2 * h :])
             if keep:
-                notes.append((s, z, r, n, g[:, 2 * h :]))
-            states[t] = s = new
+                notes.append((s, z, r, n, g[2 * h :]))
+            s = np.add(n, z * (s - n), out=states[t])
         return states, notes
 
-    def positions(self, x, mask=None, keep=False):
-        """Class probabilities of each position: (T, B, k)."""
-        f, fn = self._run(x, mask, "f", keep)
-        b, bn = self._run(x[::-1], None if mask is None else mask[::-1], "b", keep)
-        both = np.concatenate([f, b[::-1]], axis=2)
-        logit = both @ self.p["o"] + self.p["ob"]
-        e = np.exp(logit - logit.max(axis=2, keepdims=True))
-        prob = e / e.sum(axis=2, keepdims=True)
+    def positions(self, x, keep=False):
+        """Class probabilities of each position: (T, k, B)."""
+        f, fn = self._run(x, "f", keep)
+        b, bn = self._run(x[::-1], "b", keep)
+        both = np.concatenate([f, b[::-1]], axis=1)
+        logit = self.p["o"] @ both + self.p["ob"]
+        logit -= logit.max(axis=1, keepdims=True)
+        prob = np.exp(logit, out=logit)
+        prob /= prob.sum(axis=1, keepdims=True)
         return (prob, both, fn, bn) if keep else prob
 
     def gradients(self, x, mask, y):
-        """Backpropagation through time of the mean cross-entropy over positions."""
-        prob, both, fn, bn = self.positions(x, mask, keep=True)
-        h, n = self.h, mask.sum()
-        loss = -np.log(prob[:, np.arange(len(y)), y] + 1e-9)[mask].sum() / n
+        """Backpropagation through time of the mean cross-entropy over the positions of mask (T, B)."""
+        prob, both, fn, bn = self.positions(x, keep=True)
+        h, n, cols = self.h, mask.sum(), np.arange(len(y))
+        loss = -np.log(prob[:, y, cols] + 1e-9)[mask].sum() / n
         d = prob.copy()
-        d[:, np.arange(len(y)), y] -= 1
-        d *= mask[:, :, None] / np.float32(n)
-        g = {"o": np.tensordot(both, d, ((0, 1), (0, 1))), "ob": d.sum((0, 1))}
-        ds = d @ self.p["o"].T
-        for way, notes, xs, ms, out in (("f", fn, x, mask, ds[:, :, :h]), ("b", bn, x[::-1], mask[::-1], ds[::-1, :, h:])):
-            gx, gu, gc, u = np.zeros_like(self.p[f"x{way}"]), np.zeros_like(self.p[f"u{way}"]), np.zeros_like(self.p[f"c{way}"]), self.p[f"u{way}"]
-            carry = np.zeros((x.shape[1], h), np.float32)
+        d[:, y, cols] -= 1
+        d *= mask[:, None, :] / np.float32(n)
+        g = {"o": np.einsum("tkb,tjb->kj", d, both, optimize=True), "ob": d.sum((0, 2))[:, None]}
+        ds = self.p["o"].T @ d
+        for way, notes, xs, out in (("f", fn, x, ds[:, :h]), ("b", bn, x[::-1], ds[::-1, h:])):
+            gx, gu, u = np.zeros((256, 3 * h), np.float32), np.zeros_like(self.p[f"u{way}"]), self.p[f"u{way}"]
+            carry = np.zeros((h, x.shape[1]), np.float32)
             for t in range(len(xs) - 1, -1, -1):
                 s, z, r, c, gn = notes[t]
-                m = ms[t][:, None]
                 dh = out[t] + carry
-                step = np.where(m, dh, 0)
-                dn = step * (1 - z) * (1 - c * c)
-                dz = step * (s - c) * z * (1 - z)
+                dn = dh * (1 - z) * (1 - c * c)
+                dz = dh * (s - c) * z * (1 - z)
                 dr = dn * gn * r * (1 - r)
-                pre = np.concatenate([dz, dr, dn], axis=1)
-                rec = np.concatenate([dz, dr, dn * r], axis=1)
-                np.add.at(gx, xs[t], pre)
-                gu += s.T @ rec
-                gc += pre.sum(0)
-                carry = np.where(m, step * z, dh) + rec @ u.T
-            g |= {f"x{way}": gx, f"u{way}": gu, f"c{way}": gc}
+                pre = np.concatenate([dz, dr, dn])
+                rec = np.concatenate([dz, dr, dn * r])
+                np.add.at(gx, xs[t], pre.T)
+                gu += rec @ s.T
+                carry = dh * z + u.T @ rec
+            g |= {f"x{way}": gx.T, f"u{way}": gu, f"c{way}": gx.sum(0)[:, None]}
         return loss, g
 
-    def fit(self, words: list[bytes], y: np.ndarray, steps: int = 300, batch: int = 512, rate: float = 0.02, seed: int = 1, width: int = 16):
-        """Adam over random batches of words; longer ones are trained by their first and last `width` bytes."""
+    def fit(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, steps: int = 300, batch: int = 128, rate: float = 0.02, seed: int = 1):
+        """Adam over random batches of windows: x and mask (T, N), y (N)."""
         r, m, v = np.random.default_rng(seed), {}, {}
         for step in range(1, steps + 1):
-            at = r.integers(0, len(words), batch)
-            some = [words[i] if len(words[i]) <= width else words[i][:width] if r.random() < 0.5 else words[i][-width:] for i in at]
-            x, mask = np.zeros((width, batch), np.uint8), np.zeros((width, batch), bool)
-            for j, w in enumerate(some):
-                x[: len(w), j] = np.frombuffer(w, np.uint8)
-                mask[: len(w), j] = True
-            _, g = self.gradients(x, mask, y[at])
+            at = r.integers(0, len(y), batch)
+            _, g = self.gradients(x[:, at], mask[:, at], y[at])
             lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             for n, d in g.items():
                 m[n] = 0.9 * m.get(n, 0) + 0.1 * d
                 v[n] = 0.99 * v.get(n, 0) + 0.01 * d * d
-                self.p[n] -= (lr * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                self.p[n] = (self.p[n] - lr * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def word_sums(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int = 64) -> np.ndarray:
-        """Per word, class probabilities summed over its byte positions; words over `window` bytes are read in windows."""
-        out = np.zeros((len(starts), len(self.classes)), np.float32)
-        owner, a, b = np.arange(len(starts)), starts, ends
-        if (long := ends - starts > window).any():
-            parts = [(i, s, min(s + window, ends[i])) for i in np.flatnonzero(long) for s in range(starts[i], ends[i], window)]
-            extra = np.array(parts, np.int64)
-            owner, a, b = np.concatenate([owner[~long], extra[:, 0]]), np.concatenate([a[~long], extra[:, 1]]), np.concatenate([b[~long], extra[:, 2]])
-        sizes = b - a
-        order = np.argsort(sizes, kind="stable")
-        edges = np.flatnonzero(np.diff(sizes[order])) + 1
-        for group in np.split(order, edges):
-            if not len(group):
-                continue
-            size = int(sizes[group[0]])
-            for part in np.array_split(group, -(-len(group) // 4096)):
-                x = data[a[part][None, :] + np.arange(size)[:, None]]
-                np.add.at(out, owner[part], self.positions(x).sum(0))
+    def sums(self, data: np.ndarray, offsets: np.ndarray, most: int = 512) -> np.ndarray:
+        """(texts, classes): probabilities summed over all byte positions of each text.
+
+        Every text is read in segments of SEGMENT bytes with CONTEXT bytes on both sides, whatever its length or characters.
+        """
+        size = np.diff(offsets)
+        many = -(-size // SEGMENT)
+        doc = np.repeat(np.arange(len(size)), many)
+        start = offsets[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * SEGMENT
+        out = np.zeros((len(size), len(self.classes)))
+        for a in range(0, len(doc), most):
+            own, first, last = start[a : a + most], offsets[doc[a : a + most]], offsets[doc[a : a + most] + 1]
+            place = own[None, :] + np.arange(-CONTEXT, min(SEGMENT, int((last - own).max())) + CONTEXT)[:, None]
+            inside = (place >= first) & (place < last)
+            x = np.where(inside, data[np.clip(place, 0, len(data) - 1)], 0)
+            inside[:CONTEXT] = inside[CONTEXT + SEGMENT :] = False
+            np.add.at(out, doc[a : a + most], np.einsum("tkb,tb->bk", self.positions(x), inside.astype(np.float32)))
         return out
 
 
-def train(docs: DataFrame, rows: int = SAMPLE_ROWS, words: int = SAMPLE_WORDS, steps: int = 300, hidden: int = 8) -> BiGRU | None:
-    """Fit on at most `rows` labelled rows (those with the smallest hash of doc_id), `words` words each; None without labels."""
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """lang, text, h of at most `rows` labelled rows of every label: those with the smallest hash of doc_id.
+
+    Counts by label and 20 bits of the hash give the bound of each label first, so rows beyond it are never sorted.
+    """
+    labelled = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"))
+    b = F.shiftright("h", 44)
+    sizes = labelled.groupBy("lang", b.alias("b")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = sizes.withColumn("before", before).where(F.col("before") < rows).groupBy("lang").agg(F.max("b").alias("last"))
+    last = materialize(last)
+    near = labelled.join(F.broadcast(last) if last.count() <= 10_000 else last, "lang").where(b <= F.col("last"))
+    return near.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("i") <= rows).select("lang", "text", "h")
+
 
-    def some(batches):
+def train(docs: DataFrame, rows: int = SAMPLE_ROWS, draws: int = DRAWS, steps: int = 300, hidden: int = 8) -> BiGRU | None:
+    """Fit on at most `rows` labelled rows of every label; None without labels.
+
+    Each step needs windows at random places: they are drawn where the rows lie, `draws` from each, anywhere in the whole
+    text, so the driver gets rows * draws windows of TRAINED bytes for a label.
+    """
+
+    def draw(batches):
         for batch in chunks(batches):
             data, offsets = bytes_of(batch.column(batch.schema.get_field_index("text")))
-            starts, ends, first = word_spans(data, offsets)
             picked = []
-            for i in range(batch.num_rows):
-                at = np.unique(np.linspace(first[i], first[i + 1] - 1, min(words, first[i + 1] - first[i])).astype(np.int64)) if first[i + 1] > first[i] else []
-                picked.append(b"\n".join(data[starts[j] : min(ends[j], starts[j] + 64)].tobytes() for j in at))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("lang")), pa.array(picked, pa.binary())], ["lang", "words"])
-
-    labelled = docs.where("lang is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    # at most 65,536 counts by the top bits of the hash; rows beyond the bound never leave their task
-    sizes = labelled.groupBy(F.shiftright("h", 48).alias("b")).agg(F.count("*").alias("n")).orderBy("b").toArrow()
-    total = np.cumsum(sizes.column("n").to_numpy())
-    enough = int(np.searchsorted(total, 4 * rows))
-
-    def take(df: DataFrame) -> list:
-        return df.where("text is not null").orderBy("h", "lang", "text").limit(rows).select("lang", "text").mapInArrow(some, "lang string, words binary").collect()
-
-    bounded = enough < len(total)
-    got = take(labelled.where(F.shiftright("h", 48) <= sizes.column("b")[enough].as_py()) if bounded else labelled)
-    if bounded and len(got) < rows:  # most texts below the bound are null
-        got = take(labelled)
+            for a, b, h in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(batch.schema.get_field_index("h")).to_pylist()):
+                at = np.random.default_rng(h % 2**63).integers(a, max(a, b - TRAINED) + 1, draws if b > a else 0)
+                picked.append([data[i : min(b, i + TRAINED)].tobytes() for i in at.tolist()])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("lang")), pa.array(picked, pa.list_(pa.binary()))], ["lang", "windows"])
+
+    got = map_batches(sample(docs, rows), draw, "lang string, windows array<binary>").collect()
     classes = sorted({r.lang for r in got})
     if not classes:
         return None
-    pairs = [(w, classes.index(r.lang)) for r in sorted(got, key=lambda r: (r.lang, r.words)) for w in bytes(r.words).split(b"\n") if w]
+    pairs = sorted((r.lang, bytes(w)) for r in got for w in r.windows)
     model = BiGRU(classes, hidden)
     if len(classes) > 1 and pairs:
-        model.fit([w for w, _ in pairs], np.array([c for _, c in pairs]), steps)
+        x, mask = np.zeros((TRAINED, len(pairs)), np.uint8), np.zeros((TRAINED, len(pairs)), bool)
+        for j, (_, w) in enumerate(pairs):
+            x[: len(w), j] = np.frombuffer(w, np.uint8)
+            mask[: len(w), j] = True
+        model.fit(x, mask, np.array([classes.index(c) for c, _ in pairs]), steps)
     return model
 
 
@@ -169,9 +178,9 @@ def predict(docs: DataFrame, model: BiGRU | None, keep: bool = False) -> DataFra
     """doc_id (keep: all columns), lang_pred, score for every row: the class with the largest mean probability over all byte positions.
 
     und with score 0 if the text is null or has no letter, or nothing could be learned. The text alone decides, whole.
-    A word's positions depend on its bytes only, so each distinct word is read once and its sum kept by hash.
+    Columns of docs that are named lang_pred or score are replaced; repeated rows repeat; an empty table gives no rows.
     """
-    names = docs.columns if keep else ["doc_id"]
+    names = [n for n in docs.columns if n not in ("lang_pred", "score")] if keep else ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast((model.classes, model.p) if model else None)
 
     def run(batches):
@@ -180,31 +189,12 @@ def predict(docs: DataFrame, model: BiGRU | None, keep: bool = False) -> DataFra
                 yield pa.RecordBatch.from_arrays([*pick(batch, *names), pa.array(["und"] * batch.num_rows, pa.string()), pa.array([0.0] * batch.num_rows)], [*names, "lang_pred", "score"])
             return
         classes, weights = shared.value
-        net = BiGRU(classes, len(weights["uf"]))
+        net = BiGRU(classes, weights["uf"].shape[1])
         net.p = weights
-        mark = int(mix(np.frombuffer(b"".join(v.tobytes() for v in weights.values()), np.uint32).astype(np.uint64)).sum())
-        if mark not in _CACHES:
-            _CACHES.clear()
-            _CACHES[mark] = HashCache(len(classes), np.float32), Roll(11)
-        cache, roll = _CACHES[mark]
-        for batch in chunks(batches, most=1 << 19):
+        for batch in chunks(batches, most=1 << 17):
             texts = batch.column(batch.schema.get_field_index("text"))
             data, offsets = bytes_of(texts)
-            starts, ends, first = word_spans(data, offsets)
-            sums = np.zeros((len(starts), len(classes)), np.float32)
-            if len(starts):
-                keys = roll.spans(roll.sums(data), starts, ends)
-                distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
-                if len(cache.keys) + len(distinct) > cache.most:
-                    cache.clear()
-                _, known = cache.find(distinct)
-                if not known.all():
-                    new = at[~known]
-                    cache.add(distinct[~known], net.word_sums(data, starts[new], ends[new]))
-                sums = cache.values[cache.find(distinct)[0][back]]
-            upto = np.concatenate([np.zeros((1, len(classes))), np.cumsum(sums, axis=0, dtype=np.float64)])
-            width = np.concatenate([[0], np.cumsum(ends - starts)])
-            pooled = (upto[first[1:]] - upto[first[:-1]]) / np.maximum(1, width[first[1:]] - width[first[:-1]])[:, None]
+            pooled = net.sums(data, offsets) / np.maximum(1, np.diff(offsets))[:, None]
             best, score = pooled.argmax(1), pooled.max(1)
             letter = [t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -213,4 +203,4 @@ def predict(docs: DataFrame, model: BiGRU | None, keep: bool = False) -> DataFra
             )
 
     schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return map_batches(docs.select(*dict.fromkeys([*names, "text"])), run, f"{schema}, lang_pred string, score double")
