@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import materialize, pick
+from roadloom.llm.common import map_batches, materialize, pick
 from roadloom.llm.components import components
 
 #: Bounds: rows that the centres are fitted on, cells, cells a vector is put in, vectors of a block.
@@ -17,7 +17,10 @@ SAMPLE_ROWS, MOST_CELLS, PROBES, BLOCK = 16_384, 4096, 4, 1024
 
 
 def _rows(column) -> list[np.ndarray | None]:
-    """float64 vectors; None where null, empty, zero, or with null or non-finite components."""
+    """Unit vectors in float64; None where null, empty, zero, or with null or non-finite components.
+
+    The largest component is divided out first, so that no square is too large or too small for a number.
+    """
     out = []
     for x in column:
         v = None
@@ -25,6 +28,9 @@ def _rows(column) -> list[np.ndarray | None]:
             v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
             if not np.isfinite(v).all() or not v.any():
                 v = None
+            else:
+                v = v / np.abs(v).max()
+                v = v / np.linalg.norm(v)
         out.append(v)
     return out
 
@@ -45,7 +51,7 @@ def fit_cells(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 0) -> np.n
 def near_vectors(vectors: DataFrame, least: float = 0.95, sample_rows: int = SAMPLE_ROWS, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (columns vec_id, embedding).
 
-    Equal vectors are one class and counted, not paired. Each class goes to the `probes` cells with the nearest centres;
+    Vectors that are equal but for their length are one class and counted, not paired. Each class goes to the `probes` cells with the nearest centres;
     a cell is cut into blocks, and each pair of blocks is one small matrix product. A pair that shares several cells
     counts in the first only. Blocks return, for each vector, how many it links with, and a forest of links: never pairs.
     Vectors that are null, zero or hold null or non-finite components link with nothing; vectors of other lengths are
@@ -57,10 +63,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, sample_rows: int = SAM
     def digests(batches):
         for batch in batches:
             ids, emb = pick(batch, "vec_id", "embedding")
-            keys = [None if v is None else hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).digest() for v in _rows(emb)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), emb], ["vec_id", "digest", "embedding"])
+            units = _rows(emb)
+            keys = [None if v is None else hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).digest() for v in units]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(units, pa.list_(pa.float64()))], ["vec_id", "digest", "embedding"])
 
-    rows = materialize(vectors.mapInArrow(digests, "vec_id long, digest binary, embedding array<double>"))
+    rows = materialize(map_batches(vectors, digests, "vec_id long, digest binary, embedding array<double>"))
     classes = materialize(rows.where("digest is not null and vec_id is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     reps = rows.join(classes, (rows.digest == classes.digest) & (rows.vec_id == classes.rep)).select("rep", "copies", rows.digest, "embedding").dropDuplicates(["digest"])
     reps = materialize(reps.select("rep", "copies", "embedding", F.size("embedding").alias("dim")))
@@ -70,7 +77,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, sample_rows: int = SAM
         count = reps.where(F.col("dim") == dims[0]).count()
         sample = reps.where(F.col("dim") == dims[0]).orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("embedding").toArrow()
         x = sample.column(0).combine_chunks().values.to_numpy().reshape(-1, dims[0])
-        centres = fit_cells(x / np.linalg.norm(x, axis=1, keepdims=True), int(min(MOST_CELLS, max(4, count // 256))))
+        centres = fit_cells(x, int(min(MOST_CELLS, max(4, count // 256))))
     shared = spark.sparkContext.broadcast(centres)
 
     def assign(batches):
@@ -85,7 +92,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, sample_rows: int = SAM
                     cells.append(sorted(np.argpartition(-score, min(probes, len(score)) - 1)[:probes].tolist()))
             yield pa.RecordBatch.from_arrays([*pick(batch, "rep", "copies", "embedding"), pa.array(cells, pa.list_(pa.int32()))], ["rep", "copies", "embedding", "cells"])
 
-    placed = materialize(reps.mapInArrow(assign, "rep long, copies long, embedding array<double>, cells array<int>"))
+    placed = materialize(map_batches(reps, assign, "rep long, copies long, embedding array<double>, cells array<int>"))
     spread = placed.withColumn("cell", F.explode("cells"))
     blocks = spread.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     spread = spread.join(blocks, "cell").withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
@@ -97,7 +104,6 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, sample_rows: int = SAM
         rep, copies, mine = (t.column(n).to_numpy() for n in ("rep", "copies", "mine"))
         flat = t.column("embedding").combine_chunks()
         x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
         cells = t.column("cells").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1)
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
@@ -141,14 +147,13 @@ def recall(vectors: DataFrame, least: float = 0.95, every: int = 50, **options)
     """(links found, links there are) of the rows whose vec_id is divisible by `every`, against all rows by brute force."""
     found = near_vectors(vectors, least, **options).where(F.col("vec_id") % every == 0).agg(F.sum("n_links")).first()[0] or 0
     queries = vectors.where(F.col("vec_id") % every == 0).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).toPandas()
-    q = np.array([v for v in queries.embedding if v is not None and len(v)])
-    q = q / np.linalg.norm(q, axis=1, keepdims=True)
+    q = np.array([v for v in _rows(pa.array(queries.embedding, pa.list_(pa.float64()))) if v is not None])
     shared = vectors.sparkSession.sparkContext.broadcast(q)
 
     def count(batches):
         for batch in batches:
             x = [v for v in _rows(batch.column(0)) if v is not None]
-            x = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True) if x else np.zeros((0, shared.value.shape[1]))
+            x = np.array(x) if x else np.zeros((0, shared.value.shape[1]))
             yield pa.RecordBatch.from_arrays([pa.array([int((x @ shared.value.T >= least).sum())])], ["n"])
 
     there = vectors.select(F.col("embedding").cast("array<double>")).mapInArrow(count, "n long").agg(F.sum("n")).first()[0]
