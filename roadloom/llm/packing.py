@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import HashCache, Roll, chunks, materialize, pick
+from roadloom.llm.common import HashCache, Roll, chunks, map_batches, materialize, pick
 
 #: Code points below this are split with numpy; a text with others goes to the tokenizer whole.
 SIMPLE = 0x250
@@ -31,24 +31,25 @@ def _classes() -> np.ndarray:
 
 
 class PieceTokenizer:
-    """Ids of whole texts by the byte-level BPE of `folder`/byte_bpe_50k.
+    """Ids of whole texts by the byte-level BPE byte_bpe_50k, from `folder` or else where public_tokenizers has it.
 
     Texts of simple code points are split with numpy by the vocabulary's own pattern, and each distinct piece is
     encoded once (as text repeats words, that is a small part); the others are encoded by the tokenizer directly.
     """
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str | None = None):
         import tiktoken
-        from public_tokenizers import PATTERN
+        from public_tokenizers import PATTERN, path
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(f"{folder}/byte_bpe_50k.json")
-        with open(f"{folder}/byte_bpe_50k.tiktoken", "rb") as f:
+        place = (lambda name: f"{folder}/{name}") if folder else path
+        self.whole = Tokenizer.from_file(place("byte_bpe_50k.json"))
+        with open(place("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.kind, self.roll = _classes(), Roll(7, size=SIMPLE + 1)
-        self.cache, self.flat, self.used = HashCache(2, np.int64), np.zeros(1 << 16, np.uint32), 0
+        self.cache, self.flat, self.used = HashCache(2, np.int64, 300_000), np.zeros(1 << 16, np.uint32), 0
 
     def _pieces(self, cp: np.ndarray) -> np.ndarray:
         """Start places of the pieces, and of the edges between texts (code SIMPLE)."""
@@ -119,14 +120,14 @@ class PieceTokenizer:
         return out
 
 
-def tokenizer(folder: str) -> PieceTokenizer:
+def tokenizer(folder: str | None) -> PieceTokenizer:
     """One per Python worker."""
     if folder not in _WORKERS:
         _WORKERS[folder] = PieceTokenizer(folder)
     return _WORKERS[folder]
 
 
-def cut_pieces(docs: DataFrame, folder: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, folder: str | None = None, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32[, ids], pid: texts longer than capacity are cut, the first piece is the rest."""
 
     def run(batches):
@@ -152,7 +153,7 @@ def cut_pieces(docs: DataFrame, folder: str, capacity: int = 1024, end_id: int =
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "pid"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long{', ids array<int>' if keep_ids else ''}, pid int")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long{', ids array<int>' if keep_ids else ''}, pid int")
 
 
 def plan_bins(counts: dict[int, int], capacity: int, max_docs: int, max_cost: float, weights=(1.0, 0.05, 0.05), rule: str = "norm") -> tuple[np.ndarray, int]:
@@ -202,7 +203,7 @@ def plan_bins(counts: dict[int, int], capacity: int, max_docs: int, max_cost: fl
     return np.array(rows, np.int64).reshape(-1, 5), bins
 
 
-def pack(docs: DataFrame, folder: str, capacity: int = 1024, max_docs: int | None = None, max_cost: float | None = None, end_id: int = 2, keep_ids: bool = False, rule: str = "norm") -> DataFrame:
+def pack(docs: DataFrame, folder: str | None = None, capacity: int = 1024, max_docs: int | None = None, max_cost: float | None = None, end_id: int = 2, keep_ids: bool = False, rule: str = "norm") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset for all docs.
 
     Null and empty texts are one piece of the end id alone; repeated rows are packed each; an empty table gives no rows;
@@ -232,4 +233,4 @@ def pack(docs: DataFrame, folder: str, capacity: int = 1024, max_docs: int | Non
     ranked = pieces.join(offsets, ["pid", "length"]).withColumn("rank", F.col("base") + local).drop("base")
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "rank")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long{', ids array<int>' if keep_ids else ''}, sequence_id long, offset long")
+    return map_batches(ranked, place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long{', ids array<int>' if keep_ids else ''}, sequence_id long, offset long")

@@ -18,8 +18,8 @@ from roadloom.llm.secrets import KINDS, find_secrets
 from roadloom.llm.spotsigs import edited_likeness
 from roadloom.llm.vectors import near_vectors
 
-#: The folder of the public vocabularies.
-TOKENIZERS = "/opt/tokenizers"
+#: The folder of the public vocabularies; None: where their package lies on each machine.
+TOKENIZERS = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
