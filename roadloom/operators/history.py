@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.functions.geo import cell, haversine_m, point_segment_m
+from roadloom.functions.geo import EARTH_M, cell, haversine_m, point_segment_m
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -17,13 +15,22 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"best.{c}").alias(c) for c in rest])
 
 
-def _near(points: DataFrame, centers: DataFrame, radius: float, lat0: float = 60.0) -> DataFrame:
-    """points x centers within radius metres, by cells; centers has center_id, center_lat, center_lng."""
+def _near(points: DataFrame, centers: DataFrame, radius: float) -> DataFrame:
+    """points x centers within radius metres, by cells; centers has center_id, center_lat, center_lng.
+
+    Bands of latitude are cut into as many cells as are about a radius wide there, around the whole circle, so that none
+    is missed near a pole or across the 180th degree. A centre is sent to the cells that its own reach in degrees touches.
+    """
     size = radius / 111000.0
-    wide = size / max(0.05, abs(math.cos(math.radians(lat0))))
-    around = centers.withColumn("cy", F.explode(F.sequence(cell(F.col("center_lat"), size) - 1, cell(F.col("center_lat"), size) + 1))).withColumn(
-        "cx", F.explode(F.sequence(cell(F.col("center_lng"), wide) - 1, cell(F.col("center_lng"), wide) + 1)))
-    keyed = points.withColumn("cy", cell(F.col("lat"), size)).withColumn("cx", cell(F.col("lng"), wide))
+    far = F.least(F.lit(90.0), F.greatest(F.abs(F.col("cy") * size), F.abs((F.col("cy") + 1) * size)))
+    cells = F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(far)) / size)).cast("long")
+    column = lambda lng: F.floor((lng + 180) / 360 * cells).cast("long")
+    around = centers.withColumn("cy", F.explode(F.sequence(cell(F.col("center_lat"), size) - 1, cell(F.col("center_lat"), size) + 1)))
+    s = F.sin(F.lit(radius / EARTH_M)) / F.cos(F.radians("center_lat"))
+    reach = F.when((s >= 0) & (s < 1), F.degrees(F.asin(s)) * 1.000001).otherwise(180.0)
+    first, last = column(F.col("center_lng") - reach), column(F.col("center_lng") + reach)
+    around = around.withColumn("cx", F.explode(F.array_distinct(F.transform(F.sequence(first, F.least(last, first + cells - 1)), lambda c: F.pmod(c, cells)))))
+    keyed = points.where("lat is not null and lng is not null").withColumn("cy", cell(F.col("lat"), size)).withColumn("cx", F.pmod(column(F.col("lng")), cells))
     d = haversine_m(F.col("center_lat"), F.col("center_lng"), F.col("lat"), F.col("lng"))
     return keyed.join(around, ["cy", "cx"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius).drop("cy", "cx")
 

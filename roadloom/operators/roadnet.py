@@ -6,56 +6,92 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import cell, haversine_m, point_segment_m
+from roadloom.functions.media import limit_tags, tag_is
 from roadloom.functions.scalars import BASE_KMH, base_speed, limit_tag
 from roadloom.sources.scratch import materialize
 
-#: Vehicle profiles: height m, width m, weight t, top km/h, length m; the car has no limits.
-PROFILES = (("car", None, None, None, 100.0, None), ("truck_small", 3.0, 2.0, 8.0, 90.0, 5.0), ("truck_semi", 4.0, 2.5, 40.0, 80.0, 18.0), ("truck_special", 4.5, 3.5, 60.0, 60.0, 20.0))
+#: Vehicle profiles with height m, width m, weight t, top km/h, length m; the car has no limits.
+PROFILES = (
+    ("car", None, None, None, 100.0, None),
+    ("truck_small", 2.5, 1.9, 3.5, 100.0, 5.0),
+    ("truck_semi", 4.0, 2.5, 40.0, 80.0, 18.0),
+    ("truck_special", 4.5, 3.0, 40.0, 70.0, 20.0),
+)
+#: Columns of a way that may close it.
+LIMITS = ("maxheight", "maxwidth", "maxweight", "maxlength")
 
 
 def routable(ways: DataFrame) -> DataFrame:
     return ways.where(F.col("highway").isin(*BASE_KMH))
 
 
+def way_points(nodes: DataFrame, ways: DataFrame, refs: DataFrame) -> DataFrame:
+    """(way_id, seq, node_id, lat, lon, vertex) of the known nodes of routable ways, vertex: an end of its way, or a node
+    that routable ways refer to twice or more."""
+    w = Window.partitionBy("way_id").orderBy("seq")
+    r = refs.select("way_id", "seq", "node_id").join(routable(ways).select("way_id"), "way_id")
+    known = nodes.select("node_id", "lat", "lon").join(r.groupBy("node_id").agg((F.count("*") >= 2).alias("shared")), "node_id")
+    r = r.withColumn("end", F.lag("seq").over(w).isNull() | F.lead("seq").over(w).isNull())
+    return r.join(known, "node_id").select("way_id", "seq", "node_id", "lat", "lon", (F.col("end") | F.col("shared")).alias("vertex"))
+
+
+def _tags(ways: DataFrame, c: str):
+    """A column of the ways as it goes on edges: limits as numbers, the least one of a list."""
+    several = dict(ways.dtypes)[c].startswith("array")
+    return (limit_tags if several else limit_tag)(F.col(c)).alias(c) if c in LIMITS else F.col(c)
+
+
 def build_edges(nodes: DataFrame, ways: DataFrame, refs: DataFrame) -> DataFrame:
     """Directed edges between vertices (way ends, and nodes referenced twice or more by routable ways).
 
-    Length is the sum of legs over the known nodes of a segment; a reverse edge follows unless the way is one-way.
-    Of the restrictions, maxwidth, maxlength and hgv are taken where the ways have these columns.
+    Length is the sum of legs over the known nodes of a segment; unknown nodes are skipped, and a way begins at its first
+    node or, if that is unknown, at its next vertex. A reverse edge follows unless the way is one-way. Restrictions are
+    taken where the ways have their columns. Coordinates are joined once; all that follows lies in the way's partition.
     """
-    r = refs.join(routable(ways).select("way_id"), "way_id")
-    ordered = Window.partitionBy("way_id").orderBy("seq")
-    shared = r.groupBy("node_id").agg((F.count("*") >= 2).alias("shared"))
-    r = r.join(shared, "node_id").withColumn("end", F.lag("seq").over(ordered).isNull() | F.lead("seq").over(ordered).isNull())
-    r = r.withColumn("vertex", (F.col("end") | F.col("shared")).cast("int"))
-    r = r.withColumn("segment", F.sum("vertex").over(ordered) - F.col("vertex"))  # a vertex ends its segment; the next begins at it
-    known = r.join(nodes, "node_id").withColumn("plat", F.lag("lat").over(ordered)).withColumn("plon", F.lag("lon").over(ordered))
-    known = known.withColumn("leg", F.coalesce(haversine_m(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon")), F.lit(0.0)))
-    ends = r.where("vertex = 1").select("way_id", "seq", "node_id", F.lag("node_id").over(ordered).alias("src"), "segment").where("src is not null")
-    length = known.groupBy("way_id", "segment").agg(F.sum("leg").alias("dist_m"))
-    e = ends.join(length, ["way_id", "segment"]).join(nodes.select(F.col("node_id").alias("src")), "src").join(nodes.select("node_id"), "node_id")
-    more = [c for c in ("maxwidth", "maxlength", "hgv") if c in ways.columns]
-    e = e.join(ways.select("way_id", "highway", "oneway", "maxheight", "maxweight", "access", *more), "way_id")
-    e = e.select("way_id", "segment", "src", F.col("node_id").alias("dst"), "dist_m", "highway", "oneway", limit_tag(F.col("maxheight")).alias("maxheight"), limit_tag(F.col("maxweight")).alias("maxweight"), "access", *[F.col(c) if c == "hgv" else limit_tag(F.col(c)).alias(c) for c in more])
+    w = Window.partitionBy("way_id").orderBy("seq")
+    leg = F.coalesce(haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")), F.lit(0.0))
+    p = way_points(nodes, ways, refs).withColumn("leg", leg).withColumn("along", F.sum("leg").over(w)).where("vertex")
+    e = p.select("way_id", F.lag("node_id").over(w).alias("src"), F.col("node_id").alias("dst"), (F.row_number().over(w) - 1).alias("segment"), (F.col("along") - F.lag("along").over(w)).alias("dist_m")).where("src is not null")
+    more = [c for c in (*LIMITS, "hgv", "access") if c in ways.columns]
+    e = e.join(routable(ways).select("way_id", "highway", "oneway", *[_tags(ways, c) for c in more]), "way_id")
+    e = e.select("way_id", "segment", "src", "dst", "dist_m", "highway", "oneway", *more)
     back = e.where(~F.coalesce(F.col("oneway").isin("yes", "true", "1"), F.lit(False))).select("way_id", "segment", F.col("dst").alias("src"), F.col("src").alias("dst"), *e.columns[4:])
     return e.withColumn("reverse", F.lit(0)).unionByName(back.withColumn("reverse", F.lit(1)))
 
 
+def edge_points(nodes: DataFrame, ways: DataFrame, refs: DataFrame) -> DataFrame:
+    """(way_id, segment, seq, lat, lon): the geometry of build_edges, a vertex under the segments on both of its sides."""
+    w = Window.partitionBy("way_id").orderBy("seq")
+    p = way_points(nodes, ways, refs).withColumn("n", F.sum(F.col("vertex").cast("int")).over(w))
+    segment = F.explode(F.when(F.col("vertex"), F.array(F.col("n") - 1, F.col("n"))).otherwise(F.array("n"))).alias("segment")
+    s = p.select("way_id", segment, "seq", "lat", "lon", "n", F.max("n").over(Window.partitionBy("way_id")).alias("most"))
+    return s.where("segment > 0 and segment < most").drop("n", "most")
+
+
+def _is(edges: DataFrame, c: str, *values: str):
+    """Whether a tag, or any element of a list of them, is one of the values."""
+    if c not in edges.columns:
+        return F.lit(False)
+    return tag_is(F.col(c), *values) if dict(edges.dtypes)[c].startswith("array") else F.coalesce(F.col(c).isin(*values), F.lit(False))
+
+
 def profile_edges(edges: DataFrame) -> DataFrame:
-    """Edges by profile that may use them, with seconds. At a limit means blocked; no limit means free. hgv=no blocks all but the car."""
+    """Edges by profile that may use them, with seconds.
+
+    access=no or private closes an edge to all; of the rest the car may use any. At a limit of height, width, weight or
+    length means blocked, no limit means free, and hgv=no blocks all but the car.
+    """
     spark = edges.sparkSession
     p = spark.createDataFrame(list(PROFILES), "profile string, height double, width double, weight double, top_kmh double, length double")
-    free = lambda limit, own: F.coalesce(F.col(own) < F.col(limit), F.lit(True))
-    ok = ~F.coalesce(F.col("access").isin("no", "private"), F.lit(False)) & free("maxheight", "height") & free("maxweight", "weight")
-    for limit, own in (("maxwidth", "width"), ("maxlength", "length")):
-        ok = ok & free(limit, own) if limit in edges.columns else ok
-    if "hgv" in edges.columns:
-        ok = ok & ~((F.col("profile") != "car") & F.coalesce(F.col("hgv") == "no", F.lit(False)))
+    ok = ~_is(edges, "access", "no", "private") & ~((F.col("profile") != "car") & _is(edges, "hgv", "no"))
+    for limit, own in zip(LIMITS, ("height", "width", "weight", "length")):
+        ok = ok & F.coalesce(F.col(own) < F.col(limit), F.lit(True)) if limit in edges.columns else ok
     return edges.crossJoin(F.broadcast(p)).where(ok).withColumn("seconds", F.col("dist_m") / (F.least(base_speed(F.col("highway")), F.col("top_kmh")) / 3.6))
 
 
 def coverage(ways: DataFrame) -> DataFrame:
-    tagged = F.col("maxheight").isNotNull() | F.col("maxweight").isNotNull()
+    """Routable ways of each class, and those with any restriction."""
+    tagged = F.coalesce(*[F.col(c).cast("string") for c in (*LIMITS, "hgv", "access") if c in ways.columns]).isNotNull()
     return routable(ways).groupBy("highway").agg(F.count("*").alias("ways"), F.count_if(tagged).alias("tagged"))
 
 
@@ -82,11 +118,11 @@ def nearest_way(facilities: DataFrame, nodes: DataFrame, ways: DataFrame, refs:
     s = s.where("lat2 is not null")
     pad = radius / 80000.0
     span = lambda a, b: F.sequence(cell(F.least(a, b) - pad, size), cell(F.greatest(a, b) + pad, size))
-    s = s.withColumn("cy", F.explode(span("lat1", "lat2"))).withColumn("cx", F.explode(span("lon1", "lon2")))
+    s = s.withColumn("cy", F.explode(span("lat1", "lat2"))).withColumn("cx", F.explode(span("lon1", "lon2")))  # a row at a time: nothing is kept but what meets a facility
     f = facilities.select("facility_id", "lat", "lon", cell(F.col("lat"), size).alias("cy"), cell(F.col("lon"), size).alias("cx"))
     d = point_segment_m(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     d = F.when(F.col("single"), haversine_m(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"))).otherwise(d)
-    j = s.join(f, ["cy", "cx"]).withColumn("d", F.round(d, 6)).where(F.col("d") < radius)
+    j = s.join(f, ["cy", "cx"]).withColumn("d", d).where(F.col("d") < radius).withColumn("d", F.round("d", 6))
     return j.groupBy("facility_id").agg(F.min(F.struct("d", "way_id")).alias("b")).select("facility_id", "b.way_id", F.col("b.d").alias("distance_m"))
 
 
@@ -250,17 +286,19 @@ def shortest_paths(sources: DataFrame, edges: DataFrame, bans: DataFrame, max_ho
 def route_snapped(requests: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     """request_id, status, minutes of requests (request_id, origin, goal: vertices or null) over one profile's edges.
 
-    Statuses: no_road_near (an end has no vertex), no_route_for_profile (none at all, or none within max_hops edges), ok.
+    Statuses: no_road_near (an end has no vertex), no_route_for_profile (none at all), ok. With max_hops only routes of so
+    many edges are looked for, and where there is none the status is no_route_within_hops.
     """
     starts = requests.where("origin is not null").select(F.col("origin").alias("node_id")).distinct()
     goals = requests.where("origin is not null and goal is not null").select(F.col("origin").alias("source"), F.col("goal").alias("node"))
     t = shortest_times(starts, edges, max_hops, goals).withColumnsRenamed({"source": "origin", "node": "goal"})
     j = requests.join(t, ["origin", "goal"], "left")
-    return j.select("request_id", _status().alias("status"), F.round(F.col("seconds") / 60, 2).alias("minutes"))
+    none = "no_route_for_profile" if max_hops is None else "no_route_within_hops"
+    return j.select("request_id", _status(none).alias("status"), F.round(F.col("seconds") / 60, 2).alias("minutes"))
 
 
-def _status():
-    return F.when(F.col("origin").isNull() | F.col("goal").isNull(), "no_road_near").when(F.col("seconds").isNull(), "no_route_for_profile").otherwise("ok")
+def _status(none: str = "no_route_for_profile"):
+    return F.when(F.col("origin").isNull() | F.col("goal").isNull(), "no_road_near").when(F.col("seconds").isNull(), none).otherwise("ok")
 
 
 def snap_requests(requests: DataFrame, vertices: DataFrame) -> DataFrame:

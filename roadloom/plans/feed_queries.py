@@ -9,7 +9,7 @@ from roadloom.operators import feeds as fd
 from roadloom.operators import history as h
 from roadloom.operators import roadnet as road
 from roadloom.operators import timeseries as ts
-from roadloom.plans.queries import _CENTERS, _EDGES, _LAST, _MEASURED, _NEAR, _NEARWAY, _SPEED, _centers, hav, query, r6
+from roadloom.plans.queries import _CENTERS, _EDGES, _LAST, _MAY, _MEASURED, _NEAR, _NEARWAY, _PROFILES, _SPEED, _centers, hav, query, r6
 
 _LINE = "upper(regexp_replace(line_no, '[ ]+', '', 'g'))"
 _DIR = f"""w as (select *, {_LINE} as line, max(stop_index) over (partition by payload_id, line_no) as route_count,
@@ -177,7 +177,7 @@ def turn_ban_report(v):
     return road.turn_report(v("relation"), v("relation_member"), _ways(v))
 
 
-_FAC = f"""{_NEARWAY}, nw as (select facility_id, way_id, d from (select *, row_number() over (partition by facility_id order by d, way_id) as rn from m where d < 60) q where rn = 1),
+_FAC = f"""{_NEARWAY}, nw as (select facility_id, way_id, round(d, 6) as d from (select *, row_number() over (partition by facility_id order by round(d, 6), way_id) as rn from m where d < 60) q where rn = 1),
 fo as (select nw.way_id, nw.facility_id, d, case when height_m between 1.5 and 6 then height_m end as maxheight, case when width_m between 1.5 and 30 then width_m end as maxwidth from nw join facility f on f.facility_id = nw.facility_id)"""
 
 
@@ -207,10 +207,11 @@ def override_map(v):
     return o.select("way_id", "by_hand", r6("lat").alias("lat"), r6("lon").alias("lon"))
 
 
-@query(f"with {_EDGES} select highway, round(sum(dist_m / (least({_SPEED}, 100.0) / 3.6)), 3) as car, round(sum(case when coalesce(4.0 < maxheight, true) and coalesce(40.0 < maxweight, true) then dist_m / (least({_SPEED}, 80.0) / 3.6) end), 3) as truck_semi from a where access is null or access not in ('no', 'private') group by highway", "osm_way_ref", "osm_way", "osm_node")
+@query(f"""with {_EDGES}, t as (select highway, profile, sum(dist_m / (least({_SPEED}, top) / 3.6)) as s from a, {_PROFILES} where {_MAY} group by 1, 2)
+select highway, {", ".join(f"round(max(case when profile = '{p}' then s end), 3) as {p}" for p in ("car", "truck_small", "truck_semi", "truck_special"))} from t group by highway""", "osm_way_ref", "osm_way", "osm_node")
 def profile_comparison(v):
     e = road.build_edges(v("osm_node"), v("osm_way"), v("osm_way_ref"))
-    return road.compare_profiles(e).select("highway", F.round("car", 3).alias("car"), F.round("truck_semi", 3).alias("truck_semi"))
+    return road.compare_profiles(e).select("highway", *[F.round(p[0], 3).alias(p[0]) for p in road.PROFILES])
 
 
 @query(f"""with {_EDGES}, w as (select src, dst, way_id, min(dist_m / ({_SPEED} / 3.6)) as w from a group by 1, 2, 3),

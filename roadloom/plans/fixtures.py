@@ -65,11 +65,14 @@ select p_partkey as node_id, 35.0 + ((p_partkey * 7919) % 3000) / 10000.0e0 as l
 select l_orderkey as way_id, l_linenumber as seq, min(l_partkey) as node_id from lineitem group by l_orderkey, l_linenumber""",
     "osm_way": """
 select o_orderkey as way_id,
-  case o_orderpriority when '1-URGENT' then 'motorway' when '2-HIGH' then 'primary' when '3-MEDIUM' then 'residential' when '4-NOT SPECIFIED' then 'service' else 'footway' end as highway,
+  case when o_orderkey % 31 = 0 then 'track' else case o_orderpriority when '1-URGENT' then 'motorway' when '2-HIGH' then 'primary' when '3-MEDIUM' then 'residential' when '4-NOT SPECIFIED' then 'service' else 'footway' end end as highway,
   case when o_orderkey % 4 = 0 then 'yes' end as oneway,
   case when o_orderkey % 10 = 0 then '3.5 m' when o_orderkey % 10 = 1 then '4.5' end as maxheight,
   case when o_orderkey % 9 = 0 then '40t' end as maxweight,
-  case when o_orderkey % 50 = 0 then 'private' end as access from orders""",
+  case when o_orderkey % 12 = 0 then '2.5 m' when o_orderkey % 12 = 5 then '3.3' when o_orderkey % 37 = 0 then '1.8m' end as maxwidth,
+  case when o_orderkey % 14 = 0 then '18' when o_orderkey % 14 = 3 then '19.5 m' end as maxlength,
+  case when o_orderkey % 17 = 0 then 'no' when o_orderkey % 17 = 1 then 'destination' end as hgv,
+  case when o_orderkey % 50 = 0 then 'private' when o_orderkey % 50 = 7 then 'destination' end as access from orders""",
     "turn_ban": """
 select distinct a.way_id as from_way, a.node_id as via_node, b.way_id as to_way from osm_way_ref a
 join osm_way_ref b on a.node_id = b.node_id and a.way_id <> b.way_id where (a.way_id * 7 + b.way_id) % 97 = 0""",

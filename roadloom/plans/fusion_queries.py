@@ -129,7 +129,7 @@ _OD = "od as (select s_suppkey as request_id, s_suppkey as a, case when s_suppke
 
 @query(f"""with {_EDGES}, {_OD}, w as (select src, dst, min(dist_m / ({_SPEED} / 3.6)) as w from a group by 1, 2), z as (select distinct a as source, a as node, 0.0e0 as c from od), h1 as (select source, node, min(c) as c from (select * from z union all select source, dst, c + w from z join w on src = node) q group by 1, 2),
 h2 as (select source, node, min(c) as c from (select * from h1 union all select source, dst, c + w from h1 join w on src = node) q group by 1, 2)
-select request_id, case when od.b is null then 'no_road_near' when c is null then 'no_route_for_profile' else 'ok' end as status, round(c / 60, 2) as minutes from od left join h2 on h2.source = od.a and h2.node = od.b""", "osm_way_ref", "osm_way", "osm_node")
+select request_id, case when od.b is null then 'no_road_near' when c is null then 'no_route_within_hops' else 'ok' end as status, round(c / 60, 2) as minutes from od left join h2 on h2.source = od.a and h2.node = od.b""", "osm_way_ref", "osm_way", "osm_node")
 def route_requests(v):
     e = road.build_edges(v("osm_node"), v("osm_way"), v("osm_way_ref")).withColumn("seconds", F.col("dist_m") / (scalars.base_speed(F.col("highway")) / 3.6))
     od = v("supplier").select(F.col("s_suppkey").alias("request_id"), F.col("s_suppkey").alias("origin"), F.when(F.col("s_suppkey") % 10 != 0, F.col("s_suppkey") + 1).alias("goal"))

@@ -219,10 +219,10 @@ _NEARWAY = f"""s as (select r.way_id, lat as lat1, lon as lon1, lead(lat) over w
 k as (select facility_id, way_id, cos(radians((lat1 + lat2) / 2)) * 111320.0 as k, lat, lon, lat1, lon1, lat2, lon2 from s join facility f on lat2 is not null and f.lat between least(lat1, lat2) - 0.002 and greatest(lat1, lat2) + 0.002 and f.lon between least(lon1, lon2) - 0.002 and greatest(lon1, lon2) + 0.002),
 x as (select *, (lon2 - lon1) * k as dx, (lat2 - lat1) * 111320.0 as dy, (lon - lon1) * k as px, (lat - lat1) * 111320.0 as py from k),
 t as (select *, case when dx * dx + dy * dy > 0 then greatest(0.0, least(1.0, (px * dx + py * dy) / (dx * dx + dy * dy))) else 0.0 end as t from x),
-m as (select facility_id, way_id, round({_SEG}, 6) as d from t)"""
+m as (select facility_id, way_id, {_SEG} as d from t)"""
 
 
-@query(f"with {_NEARWAY} select facility_id, way_id, d as distance_m from (select *, row_number() over (partition by facility_id order by d, way_id) as rn from m where d < 60) q where rn = 1", "osm_way_ref", "osm_way", "osm_node", "facility")
+@query(f"with {_NEARWAY} select facility_id, way_id, round(d, 6) as distance_m from (select *, row_number() over (partition by facility_id order by round(d, 6), way_id) as rn from m where d < 60) q where rn = 1", "osm_way_ref", "osm_way", "osm_node", "facility")
 def nearest_way(v):
     return road.nearest_way(v("facility"), v("osm_node"), v("osm_way"), v("osm_way_ref"))
 
@@ -234,21 +234,26 @@ g as (select *, sum(vx) over (partition by way_id order by seq) - vx as segment
 n as (select g.*, {hav('lag(lat) over w', 'lag(lon) over w', 'lat', 'lon')} as leg from g join osm_node o on o.node_id = g.node_id window w as (partition by way_id order by seq)),
 d as (select way_id, segment, sum(coalesce(leg, 0)) as dist_m from n group by way_id, segment),
 e as (select way_id, segment, node_id as dst, lag(node_id) over (partition by way_id order by seq) as src from g where vx = 1),
-f as (select e.way_id, e.segment, src, dst, dist_m, highway, oneway, access, try_cast(replace(split_part(maxheight, ' ', 1), 'm', '') as double) as maxheight, try_cast(replace(maxweight, 't', '') as double) as maxweight from e join d on d.way_id = e.way_id and d.segment = e.segment join osm_way y on y.way_id = e.way_id where src is not null and src in (select node_id from osm_node) and dst in (select node_id from osm_node)),
-a as (select way_id, segment, src, dst, dist_m, highway, access, maxheight, maxweight, 0 as reverse from f union all select way_id, segment, dst, src, dist_m, highway, access, maxheight, maxweight, 1 from f where oneway is null or oneway not in ('yes', 'true', '1'))"""
+f as (select e.way_id, e.segment, src, dst, dist_m, highway, oneway, access, try_cast(replace(split_part(maxheight, ' ', 1), 'm', '') as double) as maxheight, try_cast(replace(maxweight, 't', '') as double) as maxweight, try_cast(replace(split_part(maxwidth, ' ', 1), 'm', '') as double) as maxwidth, try_cast(replace(split_part(maxlength, ' ', 1), 'm', '') as double) as maxlength, hgv from e join d on d.way_id = e.way_id and d.segment = e.segment join osm_way y on y.way_id = e.way_id where src is not null and src in (select node_id from osm_node) and dst in (select node_id from osm_node)),
+a as (select way_id, segment, src, dst, dist_m, highway, access, maxheight, maxweight, maxwidth, maxlength, hgv, 0 as reverse from f union all select way_id, segment, dst, src, dist_m, highway, access, maxheight, maxweight, maxwidth, maxlength, hgv, 1 from f where oneway is null or oneway not in ('yes', 'true', '1'))"""
 
 
-@query(f"with {_EDGES} select way_id, cast(segment as bigint) as segment, src, dst, round(dist_m, 5) as dist_m, maxheight, maxweight, reverse from a", "osm_way_ref", "osm_way", "osm_node")
+@query(f"with {_EDGES} select way_id, cast(segment as bigint) as segment, src, dst, round(dist_m, 5) as dist_m, maxheight, maxweight, maxwidth, maxlength, hgv, access, reverse from a", "osm_way_ref", "osm_way", "osm_node")
 def road_edges(v):
     e = road.build_edges(v("osm_node"), v("osm_way"), v("osm_way_ref"))
-    return e.select("way_id", F.col("segment").cast("long").alias("segment"), "src", "dst", F.round("dist_m", 5).alias("dist_m"), "maxheight", "maxweight", "reverse")
+    return e.select("way_id", F.col("segment").cast("long").alias("segment"), "src", "dst", F.round("dist_m", 5).alias("dist_m"), "maxheight", "maxweight", "maxwidth", "maxlength", "hgv", "access", "reverse")
 
 
-_PROFILES = "(values ('car', null, null, 100.0), ('truck_small', 3.0, 8.0, 90.0), ('truck_semi', 4.0, 40.0, 80.0), ('truck_special', 4.5, 60.0, 60.0)) p(profile, height, weight, top)"
-_SPEED = "case highway " + " ".join(f"when '{k}' then {v}.0" for k, v in scalars.BASE_KMH.items()) + " else 30.0 end"
+_PROFILES = """(values ('car', null, null, null, 100.0, null), ('truck_small', 2.5, 1.9, 3.5, 100.0, 5.0), ('truck_semi', 4.0, 2.5, 40.0, 80.0, 18.0), ('truck_special', 4.5, 3.0, 40.0, 70.0, 20.0)) p(profile, height, width, weight, top, length)"""
+_SPEED = """case highway when 'motorway' then 100.0 when 'motorway_link' then 60.0 when 'trunk' then 80.0 when 'trunk_link' then 50.0 when 'primary' then 60.0 when 'primary_link' then 40.0
+when 'secondary' then 50.0 when 'secondary_link' then 35.0 when 'tertiary' then 40.0 when 'tertiary_link' then 30.0 when 'unclassified' then 30.0 when 'residential' then 25.0
+when 'living_street' then 15.0 when 'service' then 15.0 when 'track' then 15.0 else 30.0 end"""
+#: Whether profile p may use an edge of a.
+_MAY = """(access is null or access not in ('no', 'private')) and (profile = 'car' or ((maxheight is null or height < maxheight) and (maxwidth is null or width < maxwidth)
+and (maxweight is null or weight < maxweight) and (maxlength is null or length < maxlength) and coalesce(hgv, '') <> 'no'))"""
 
 
-@query(f"with {_EDGES} select profile, highway, count(*) as edges, round(sum(dist_m / (least({_SPEED}, top) / 3.6)), 3) as seconds from a, {_PROFILES} where (access is null or access not in ('no', 'private')) and coalesce(height < maxheight, true) and coalesce(weight < maxweight, true) group by profile, highway", "osm_way_ref", "osm_way", "osm_node")
+@query(f"with {_EDGES} select profile, highway, count(*) as edges, round(sum(dist_m / (least({_SPEED}, top) / 3.6)), 3) as seconds from a, {_PROFILES} where {_MAY} group by profile, highway", "osm_way_ref", "osm_way", "osm_node")
 def profile_edges(v):
     e = road.profile_edges(road.build_edges(v("osm_node"), v("osm_way"), v("osm_way_ref")))
     return e.groupBy("profile", "highway").agg(F.count("*").alias("edges"), F.round(F.sum("seconds"), 3).alias("seconds"))
@@ -260,7 +265,7 @@ def shortest_times_two_hops(v):
     return road.shortest_times(v("supplier").select(F.col("s_suppkey").alias("node_id")), e, 2).select("source", "node", F.round("seconds", 5).alias("seconds"))
 
 
-@query(f"select highway, count(*) as ways, sum(case when maxheight is not null or maxweight is not null then 1 else 0 end)::bigint as tagged from osm_way where highway in {_WAYS} group by highway", "osm_way")
+@query(f"select highway, count(*) as ways, sum(case when coalesce(maxheight, maxweight, maxwidth, maxlength, hgv, access) is not null then 1 else 0 end)::bigint as tagged from osm_way where highway in {_WAYS} group by highway", "osm_way")
 def restriction_coverage(v):
     return road.coverage(v("osm_way"))
 

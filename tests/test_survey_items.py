@@ -9,7 +9,7 @@ def test_all_restrictions_close_edges(spark):
     ways = spark.createDataFrame([(i, "primary", "yes", None, None, None, *t) for i, *t in tags], "way_id long, highway string, oneway string, maxheight string, maxweight string, access string, maxwidth string, maxlength string, hgv string")
     refs = spark.createDataFrame([(i, s, s) for i in range(1, 6) for s in (1, 2)], "way_id long, seq int, node_id long")
     got = {(r.profile, r.way_id) for r in roadnet.profile_edges(roadnet.build_edges(nodes, ways, refs)).collect()}
-    assert got == {("car", i) for i in range(1, 6)} | {("truck_small", i) for i in (1, 2, 3)} | {("truck_semi", i) for i in (1, 2)} | {("truck_special", 1)}
+    assert got == {("car", i) for i in range(1, 6)} | {("truck_small", i) for i in (1, 2, 3, 5)} | {("truck_semi", i) for i in (1, 2)} | {("truck_special", 1)}
 
 
 def test_routes_by_profile_side_by_side(spark):
