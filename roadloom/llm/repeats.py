@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import Roll, bytes_of, chunks, id_filter, materialize, mix, packed, pick, unpacked, without
+from roadloom.llm.common import Roll, bytes_of, chunks, id_filter, map_batches, materialize, mix, packed, pick, unpacked, without
 
 #: Bytes of an anchor string.
 GRAM = 100
@@ -90,24 +90,31 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                     ["doc_id", "first", "last", "p", "anchor", "span"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, first int, last int, p int, anchor long, span long")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, first int, last int, p int, anchor long, span long")
 
 
-def _ask(docs: DataFrame, requests: DataFrame, run, schema: str) -> DataFrame:
-    """run(id, bytes, list of requests) -> arrays, for each document of requests (doc_id and a struct column `ask`)."""
+def _ask(docs: DataFrame, requests: DataFrame, run, schema: str, most: int = 1 << 17) -> DataFrame:
+    """run(roll, sums of the bytes, requests) -> arrays, for each document of requests (doc_id and a struct column `ask`
+    with lo and hi). Requests are answered some at a time, so that about `most` places are expanded at once."""
     lists = requests.groupBy("doc_id").agg(F.collect_list("ask").alias("asks")).withColumnRenamed("doc_id", "id_")
     joined = packed(docs, id_filter(lists, "id_")).join(lists, F.col("doc_id") == F.col("id_")).drop("id_")
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def each(batches):
+        roll = Roll(5)
         for batch in batches:
             for i in range(batch.num_rows):
                 doc, size, z = (batch.column(c)[i].as_py() for c in range(3))
                 asks = batch.column(3)[i].values
-                arrays = run(np.frombuffer(unpacked(z, size), np.uint8), {f.name: asks.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(asks.type)})
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(arrays[0]), doc)), *map(pa.array, arrays)], names)
+                asks = {f.name: asks.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k, f in enumerate(asks.type)}
+                sums = roll.sums(np.frombuffer(unpacked(z, size), np.uint8))
+                upto = np.cumsum(asks["hi"] - asks["lo"] + 1)
+                cuts = np.flatnonzero(np.diff(upto // most)) + 1
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(upto)]):
+                    arrays = run(roll, sums, {n: v[a:b] for n, v in asks.items()})
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(arrays[0]), doc)), *map(pa.array, arrays)], names)
 
-    return joined.mapInArrow(each, schema)
+    return map_batches(joined, each, schema)
 
 
 def repeated_windows(docs: DataFrame, length: int = 400, block: int = 16) -> DataFrame:
@@ -120,12 +127,10 @@ def repeated_windows(docs: DataFrame, length: int = 400, block: int = 16) -> Dat
     whole = some.join(groups.where("c > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("doc_id", F.col("first").alias("lo"), F.col("last").alias("hi"))
 
     split = groups.groupBy("anchor").agg(F.min("c").alias("least"), F.count("*").alias("n")).where("least = 1 and n > 1").select("anchor")
-    asks = groups.join(split, "anchor", "left_semi").select("one.doc_id", F.struct("one.first", "one.last", "one.p", F.least("c", F.lit(2)).alias("c")).alias("ask"))
+    asks = groups.join(split, "anchor", "left_semi").select("one.doc_id", F.struct(F.col("one.first").alias("lo"), F.col("one.last").alias("hi"), "one.p", F.least("c", F.lit(2)).alias("c")).alias("ask"))
 
-    def cut(data, ask):
-        roll = Roll(5)
-        sums = roll.sums(data)
-        first, last, p, c = (ask[n].astype(np.int64) for n in ("first", "last", "p", "c"))
+    def cut(roll, sums, ask):
+        first, last, p, c = (ask[n] for n in ("lo", "hi", "p", "c"))
         top = -(-(length - GRAM) // block) * block  # start - p + top is at least 0
         b0, b1 = (first - p + top) // block, (last - p + top) // block
         many = b1 - b0 + 1
@@ -144,10 +149,8 @@ def repeated_windows(docs: DataFrame, length: int = 400, block: int = 16) -> Dat
     split = unions.groupBy("core").agg(F.min("c").alias("least"), F.count("*").alias("n")).where("least = 1 and n > 1").select("core")
     asks = unions.join(split, "core", "left_semi").select("one.doc_id", F.struct("one.lo", "one.hi", F.least("c", F.lit(2)).alias("c")).alias("ask"))
 
-    def windows(data, ask):
-        roll = Roll(5)
-        sums = roll.sums(data)
-        lo, hi, c = (ask[n].astype(np.int64) for n in ("lo", "hi", "c"))
+    def windows(roll, sums, ask):
+        lo, hi, c = (ask[n] for n in ("lo", "hi", "c"))
         many = hi - lo + 1
         i = np.repeat(np.arange(len(lo)), many)
         at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + lo[i]
@@ -209,8 +212,8 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
             if rows:
                 yield batch_of(batch.column(0), rows)
 
-    changed = packed(docs, hits).join(lists, F.col("doc_id") == F.col("id_"), "left").drop("id_").mapInArrow(cut, schema)
-    return without(docs, hits).mapInArrow(whole, schema).unionByName(changed)
+    changed = packed(docs, hits).join(lists, F.col("doc_id") == F.col("id_"), "left").drop("id_")
+    return map_batches(without(docs, hits), whole, schema).unionByName(map_batches(changed, cut, schema))
 
 
 def suffix_array(data: bytes) -> np.ndarray:
@@ -279,4 +282,4 @@ def drop_later_copies(docs: DataFrame, length: int = 400) -> DataFrame:
                 out.append(t)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, text string")
