@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import Roll, bytes_of, chunks, id_filter, materialize, mix, packed, pick, unpacked, word_spans
+from roadloom.llm.common import Roll, bytes_of, chunks, id_filter, map_batches, materialize, mix, packed, pick, unpacked, word_spans
 from roadloom.llm.components import components
 
 #: Counts of the corpus table (2**18 of 4 bytes, 1 MB) and the rows it is dealt in.
@@ -74,7 +74,7 @@ def _counts(docs: DataFrame, k: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], ["i", "part"])
 
     out = np.zeros(size, np.uint32)
-    for r in docs.select("text").mapInArrow(count, "i int, part binary").groupBy("i").applyInArrow(add, "i int, part binary").collect():
+    for r in map_batches(docs.select("text"), count, "i int, part binary").groupBy("i").applyInArrow(add, "i int, part binary").collect():
         out[r.i * per : (r.i + 1) * per] = np.frombuffer(bytes(r.part), "<u4")
     return out
 
@@ -117,7 +117,7 @@ def near_groups(docs: DataFrame, k: int = 5, least: tuple[int, int] = (4, 5)) ->
                 window.append(s[order].tobytes())
             yield pa.RecordBatch.from_arrays([*pick(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(window, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "n", "digest", "window", "counts"])
 
-    rows = materialize(docs.mapInArrow(heads, "doc_id long, n long, digest binary, window binary, counts binary"))
+    rows = materialize(map_batches(docs, heads, "doc_id long, n long, digest binary, window binary, counts binary"))
     classes = materialize(rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
 
     def spread(batches):
@@ -130,7 +130,7 @@ def near_groups(docs: DataFrame, k: int = 5, least: tuple[int, int] = (4, 5)) ->
             yield pa.RecordBatch.from_arrays([pa.array(data.view(np.int64)), batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(many)), pa.array(n), pa.array(place)], ["pivot", "doc", "n", "place"])
 
     one = rows.join(classes, (rows.digest == classes.digest) & (rows.doc_id == classes.rep))
-    entries = one.select("window", "doc_id", "n").mapInArrow(spread, "pivot long, doc long, n long, place long")
+    entries = map_batches(one.select("window", "doc_id", "n"), spread, "pivot long, doc long, n long, place long")
     regions = entries.groupBy("pivot").agg(F.count("*").alias("c"), F.min(F.struct("place", "doc", "n")).alias("center")).where("c > 1").select("pivot", "center")
     members = materialize(entries.join(regions, "pivot"))
     counts = materialize(one.select(F.col("doc_id").alias("id"), "n", "counts").join(members.select(F.col("doc").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]))
@@ -169,7 +169,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part, k, roll)], pa.binary())], ["id", "s"])
 
     texts = packed(docs, id_filter(ids, "doc")).join(ids, F.col("doc_id") == F.col("doc"), "left_semi")
-    return materialize(texts.mapInArrow(run, "id long, s binary").dropDuplicates(["id"]))
+    return materialize(map_batches(texts, run, "id long, s binary").dropDuplicates(["id"]))
 
 
 def _links(docs: DataFrame, pairs: DataFrame, counts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -183,7 +183,7 @@ def _links(docs: DataFrame, pairs: DataFrame, counts: DataFrame, k: int, num: in
                 na, nb = (c.to_numpy() for c in pick(batch, "na", "nb"))
                 yield batch.filter(pa.array(np.abs(ca - cb).sum(1) * (num + den) <= (den - num) * (na + nb))).select(["a", "b"])
 
-    close = materialize(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(near, "a long, b long"))
+    close = materialize(map_batches(pairs.join(of("a"), "a").join(of("b"), "b"), near, "a long, b long"))
     sets = _sets(docs, close.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), k)
 
     def compare(batches):
@@ -198,4 +198,4 @@ def _links(docs: DataFrame, pairs: DataFrame, counts: DataFrame, k: int, num: in
             yield batch.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
 
     full = close.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    return full.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+    return map_batches(full.select("a", "b", "sa", "sb"), compare, "a long, b long")

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import chunks, pick
+from roadloom.llm.common import chunks, map_batches, pick
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}", re.A)
@@ -181,7 +181,7 @@ def find_secrets(docs: DataFrame, least: float = 10.0, words=tuple(WORDS), text:
             yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))], ["doc_id", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:int,end:int>>")
+    return map_batches(docs.select("doc_id", F.col(text).alias("text")), run, f"doc_id {kind}, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
@@ -207,7 +207,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
             texts = [cut(t, [{"start": a, "end": b} for a, b, _ in scan(t, cost, cost_args["least"])]) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, "text", pa.array(texts, pa.string()))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return map_batches(docs.select(*names), run, docs.schema)
 
 
 def sha256_of(spans: list[tuple[int, int, str]]) -> str:
