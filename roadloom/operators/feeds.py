@@ -133,11 +133,31 @@ def trace_at(ticks: DataFrame, trace: DataFrame, by: str = "trace_time_s") -> Da
     return df.select("row.*", *[lerp(F.col(f"lo.{c}"), F.col(f"hi.{c}"), F.coalesce(ratio, F.lit(0.0))).alias(f"trace_{c}") for c in cols])
 
 
-def feed_status(items: DataFrame, trace: DataFrame) -> DataFrame:
-    """Each line: its vehicle, samples, last time, and whether a trace is ready."""
+def feed_status(items: DataFrame, trace: DataFrame, now: Column | None = None, stale_s: float = 15.0) -> DataFrame:
+    """Each line: its vehicle, samples, last time, and whether a trace is ready; with `now` also its state and a warning.
+
+    waiting: no vehicle was ever seen; live: its last fix is at most stale_s old; interpolated: older, but the line has a
+    trace; hidden: it has none. The warning says why a line is not live, or that its vehicle is not in the last payload.
+    """
     lines = items.groupBy(norm_line(F.col("line_no")).alias("line_no")).agg(F.count("*").alias("samples"), F.count("vehicle_no").alias("vehicle_rows"), F.max("gps_time").alias("last_at"))
     ready = trace.select("line_no").distinct().withColumn("history_ready", F.lit(True))
-    return lines.join(select_vehicle(items), "line_no", "left").join(ready, "line_no", "left").withColumn("history_ready", F.coalesce("history_ready", F.lit(False)))
+    out = lines.join(select_vehicle(items), "line_no", "left").join(ready, "line_no", "left").withColumn("history_ready", F.coalesce("history_ready", F.lit(False)))
+    if now is None:
+        return out
+    own = items.select(norm_line(F.col("line_no")).alias("line_no"), "vehicle_no", "payload_id", "gps_time").join(out.select("line_no", F.col("vehicle_no").alias("chosen")), "line_no")
+    mine = F.col("vehicle_no") == F.col("chosen")
+    seen = own.groupBy("line_no").agg(F.max(F.when(mine, F.col("gps_time"))).alias("fix_at"), F.max("payload_id").alias("newest"), F.max(F.when(mine, F.col("payload_id"))).alias("held"))
+    out = out.join(seen, "line_no", "left")
+    age = (micros(now) - micros("fix_at")) / 1e6
+    state = F.when(F.col("fix_at").isNull(), "waiting").when(age <= stale_s, "live").when(F.col("history_ready"), "interpolated").otherwise("hidden")
+    warning = F.when(F.col("state") == "hidden", "no collected route history").when(F.col("fix_at").isNotNull() & (F.col("held") < F.col("newest")), "selected vehicle absent")
+    return out.withColumn("state", state).withColumn("warning", warning).drop("fix_at", "newest", "held")
+
+
+def feed_overview(status: DataFrame) -> DataFrame:
+    """One row of feed_status: samples, lines, those with a trace, and lines by state."""
+    states = [F.count_if(F.col("state") == s).alias(s) for s in ("waiting", "live", "interpolated", "hidden")]
+    return status.agg(F.coalesce(F.sum("samples"), F.lit(0)).alias("samples"), F.count("*").alias("lines"), F.count_if("history_ready").alias("history_lines"), *states, F.count("warning").alias("warnings"))
 
 
 def to_observation(df: DataFrame) -> DataFrame:

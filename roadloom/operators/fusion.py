@@ -49,7 +49,8 @@ def fuse_positions(fixes: DataFrame, trace: DataFrame, tick_s: float = 1.0, stal
     fixes: fix_id (unique), line_no, direction, lat, lng, observed_at of one vehicle a line, repeats dropped. Up to stale_s
     after a fix the line is live. Then, if the fix lies within align_m of its trace, it moves along the trace from the
     first tick that was stale; otherwise it is hidden and gives no row. A fix that ends an interpolation is blended in
-    over blend_s, to its place on the trace where that is near enough. Ticks end after_s behind the last fix of a line.
+    over blend_s, to its place on the trace where that is near enough; the ticks after the one that ends the blend show the
+    fix itself. Ticks end after_s behind the last fix of a line.
     """
     near = project_to_trace(fixes.select("fix_id", "line_no", "direction", "lat", "lng"), trace)
     near = near.where(F.col("distance_m") <= align_m).select("fix_id", "trace_direction", F.col("trace_time_s").alias("s"), "trace_lat", "trace_lng")
@@ -72,7 +73,8 @@ def fuse_positions(fixes: DataFrame, trace: DataFrame, tick_s: float = 1.0, stal
     ticks = ticks.withColumn("age", F.col("tick") - F.col("t"))
     blended, live = F.col("from_lat").isNotNull(), F.col("age") <= stale_s
     r = F.least(F.lit(1.0), F.col("age") / blend_s)
-    pos = lambda c: F.when(~blended, F.col(c)).otherwise(F.col(f"from_{c}") + (F.col(f"goal_{c}") - F.col(f"from_{c}")) * r)
+    blending = blended & (F.col("age") < blend_s + tick_s)  # the tick that ends the blend shows its goal
+    pos = lambda c: F.when(~blending, F.col(c)).otherwise(F.col(f"from_{c}") + (F.col(f"goal_{c}") - F.col(f"from_{c}")) * r)
     out = ("line_no", "tick", "fix_id", "state", "lat", "lng", F.round("age", 1).alias("live_age_s"), "past_end")
     fresh = ticks.where(live).withColumn("state", F.when(blended & (F.col("age") < blend_s), "reconciling").otherwise("live"))
     fresh = fresh.withColumn("lat_", pos("lat")).withColumn("lng_", pos("lng")).withColumn("lat", F.col("lat_")).withColumn("lng", F.col("lng_")).withColumn("past_end", F.lit(False))

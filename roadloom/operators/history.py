@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from roadloom.functions.geo import EARTH_M, cell, haversine_m, point_segment_m
 
 
+#: Of approximate percentiles: ranks are right within one in so many rows, and a summary holds about as many numbers.
+ACCURACY = 100_000
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by `order`: one partial aggregate, no sort. Name a unique column last in order."""
     rest = [c for c in df.columns if c not in keys]
@@ -56,19 +60,36 @@ def trip_distance(positions: DataFrame) -> DataFrame:
     return legs(positions).groupBy("trip_id").agg(F.coalesce(F.sum("leg_m"), F.lit(0.0)).alias("distance_m"), F.count("*").alias("points"))
 
 
-def route_segments(points: DataFrame) -> DataFrame:
-    """(trip_id, route_id, seg, lat1, lon1, lat2, lon2) of the current routes."""
-    w = Window.partitionBy("route_id").orderBy("seq")
-    df = points.where("is_current").select("trip_id", "route_id", F.col("seq").alias("seg"), F.col("lat").alias("lat1"), F.col("lng").alias("lon1"), F.lead("lat").over(w).alias("lat2"), F.lead("lng").over(w).alias("lon2"))
-    return df.where("lat2 is not null")
+def route_lines(points: DataFrame) -> DataFrame:
+    """(trip_id, route_id, line): the points of each route in order; a route has at most some thousand. One of a single point is none."""
+    line = F.array_sort(F.collect_list(F.struct("seq", "lat", "lng")))
+    return points.groupBy("trip_id", *[c for c in ("route_id",) if c in points.columns]).agg(line.alias("line")).where("size(line) > 1")
+
+
+def line_distance_m(lat: Column, lng: Column, line: str = "line") -> Column:
+    """Metres to the nearest segment of a line: the exact foot."""
+
+    def leg(i: Column) -> Column:
+        a, b = F.element_at(line, i), F.element_at(line, i + 1)
+        return point_segment_m(lat, lng, a.lat, a.lng, b.lat, b.lng)
+
+    return F.array_min(F.transform(F.sequence(F.lit(1), F.size(line) - 1), leg))
 
 
 def measured(positions: DataFrame, routes: DataFrame) -> DataFrame:
-    """Positions with metres to the current route of their trip: the exact foot on the nearest segment."""
-    d = point_segment_m(F.col("lat"), F.col("lng"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    joined = positions.join(route_segments(routes), "trip_id").withColumn("d", d)
-    keep = [c for c in positions.columns if c not in ("trip_id", "position_id")]
-    return joined.groupBy("trip_id", "position_id", "route_id").agg(F.min("d").alias("distance_m"), *[F.first(c).alias(c) for c in keep])
+    """Positions with metres to the current route of their trip: one join on the trip, nothing is dealt out again by position."""
+    joined = positions.join(route_lines(routes.where("is_current")), "trip_id")
+    return joined.withColumn("distance_m", line_distance_m(F.col("lat"), F.col("lng"))).drop("line")
+
+
+def measured_on(requests: DataFrame, positions: DataFrame, routes: DataFrame) -> DataFrame:
+    """requests (vehicle_id, trip_id, route_id, position_id, ..) with metres from the position to that very route.
+
+    A request gives a row only if the position is of that vehicle and trip, the route of that trip, and it has a line.
+    """
+    p = positions.select("position_id", "vehicle_id", "trip_id", "lat", "lng")
+    j = requests.join(p, ["position_id", "vehicle_id", "trip_id"]).join(route_lines(routes), ["trip_id", "route_id"])
+    return j.select(*requests.columns, line_distance_m(F.col("lat"), F.col("lng")).alias("distance_m"))
 
 
 def deviations(positions: DataFrame, routes: DataFrame, threshold: float) -> DataFrame:
@@ -80,12 +101,18 @@ def current_deviation(positions: DataFrame, routes: DataFrame) -> DataFrame:
     return measured(latest(positions, ["trip_id"], ["recorded_at", "position_id"]), routes)
 
 
-def deviation_episodes(positions: DataFrame, routes: DataFrame, threshold: float) -> DataFrame:
-    """Consecutive positions off the route as one row: start, end, samples, largest distance."""
+def deviation_episodes(positions: DataFrame, routes: DataFrame, threshold: float, cooldown_s: float = 0.0) -> DataFrame:
+    """Consecutive positions off the route as one row: start, end, samples, largest distance.
+
+    A position that is off again within cooldown_s after the last one that was belongs to the same episode.
+    """
     w = Window.partitionBy("trip_id").orderBy("recorded_at", "position_id")
     off = (F.col("distance_m") >= threshold).alias("off")
     df = measured(positions, routes).select("trip_id", "position_id", "recorded_at", "distance_m", off)
-    df = df.withColumn("island", F.sum(F.when(F.col("off") & ~F.coalesce(F.lag("off").over(w), F.lit(False)), 1).otherwise(0)).over(w))
+    at = F.unix_micros(F.col("recorded_at").cast("timestamp"))
+    before = F.last(F.when(F.col("off"), at), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    again = F.coalesce(F.lag("off").over(w), F.lit(False)) | F.coalesce(at - before <= F.lit(int(cooldown_s * 1_000_000)), F.lit(False))
+    df = df.withColumn("island", F.sum(F.when(F.col("off") & ~again, 1).otherwise(0)).over(w))
     return df.where("off").groupBy("trip_id", "island").agg(F.min("recorded_at").alias("started_at"), F.max("recorded_at").alias("ended_at"), F.count("*").alias("samples"), F.max("distance_m").alias("max_m"))
 
 
@@ -183,10 +210,10 @@ def dashboard_with_routes(positions: DataFrame, alerts: DataFrame, events: DataF
 
 
 def alert_latency(alerts: DataFrame) -> DataFrame:
-    """By type and severity: alerts in each state, and the median and 90 % of whole seconds until acknowledged."""
+    """By type and severity: alerts in each state, and the median and 90 % of whole seconds until acknowledged (from a bounded summary)."""
     s = F.unix_seconds(F.col("acknowledged_at").cast("timestamp")) - F.unix_seconds(F.col("created_at").cast("timestamp"))
     states = [F.count_if(F.col("alert_status") == x.upper()).alias(x) for x in ("unconfirmed", "acknowledged", "resolved")]
-    waits = [F.expr(f"percentile(wait_s, {p})").alias(n) for n, p in (("median_s", 0.5), ("p90_s", 0.9))]
+    waits = [F.percentile_approx("wait_s", p, ACCURACY).alias(n) for n, p in (("median_s", 0.5), ("p90_s", 0.9))]
     return alerts.withColumn("wait_s", s).groupBy("alert_type", "severity").agg(*states, *waits)
 
 
@@ -195,9 +222,10 @@ def replay_bundle(start: Column, end: Column, on: str = "capture_timestamp_ns",
     return {name: between(df, on, start, end, on) for name, df in tables.items()}
 
 
-def in_box(df: DataFrame, box: tuple[float, float, float, float], lon: str = "lng") -> DataFrame:
-    """Rows in (south, west, north, east), borders included."""
-    return df.where(F.col("lat").between(box[0], box[2]) & F.col(lon).between(box[1], box[3]))
+def in_box(df: DataFrame, box: tuple[float, float, float, float], lon: str = "lng", order: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
+    """Rows in (south, west, north, east), borders included; with a limit (the map asks for 500) the first of them in order."""
+    rows = df.where(F.col("lat").between(box[0], box[2]) & F.col(lon).between(box[1], box[3]))
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
 
 
 def enrich(df: DataFrame, dim: DataFrame, key: str, how: str = "left") -> DataFrame:
@@ -206,11 +234,37 @@ def enrich(df: DataFrame, dim: DataFrame, key: str, how: str = "left") -> DataFr
 
 
 def vision_diagnostics(events: DataFrame) -> DataFrame:
-    """Detections by class: count, confidences at the quarters (exact), nearest distance."""
-    q = [F.expr(f"percentile(confidence, {p})").alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)]
+    """Detections by class: count, confidences at the quarters (from a bounded summary), nearest distance."""
+    q = [F.percentile_approx("confidence", p, ACCURACY).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)]
     return events.groupBy("class_name").agg(F.count("*").alias("events"), *q, F.min("distance_m").alias("nearest_m"))
 
 
+def inference_diagnostics(frames: DataFrame, by: tuple[str, ...] = ("model_version",)) -> DataFrame:
+    """Frames by model version: count, inferred ones, and the median, 90 % and 99 % of their latency in milliseconds."""
+    q = [F.percentile_approx("latency_ms", p, ACCURACY).alias(n) for n, p in (("median_ms", 0.5), ("p90_ms", 0.9), ("p99_ms", 0.99))]
+    return frames.groupBy(*by).agg(F.count("*").alias("frames"), F.count("latency_ms").alias("inferred"), *q, F.max("latency_ms").alias("worst_ms"))
+
+
+def severity_counts(alerts: DataFrame, events: DataFrame) -> DataFrame:
+    """Alerts by severity and the class of the detection that caused them; other causes have a null class."""
+    j = alerts.join(events.select("detection_event_id", "class_name"), "detection_event_id", "left")
+    return j.groupBy("severity", "class_name").agg(F.count("*").alias("alerts"))
+
+
+def fleet_stats(positions: DataFrame, events: DataFrame, deviated: DataFrame, trips: DataFrame, warning: float = 5.0) -> DataFrame:
+    """By vehicle: risk events, their mean distance, deviations, their mean distance, metres driven, completed trips.
+
+    deviated: rows of `deviations`. Each side is summed by vehicle before they meet; a vehicle of any of them has a row.
+    """
+    risk = events.where(F.col("distance_m") < warning).groupBy("vehicle_id").agg(F.count("*").alias("risk_events"), F.avg("distance_m").alias("mean_risk_m"))
+    off = deviated.groupBy("vehicle_id").agg(F.count("*").alias("deviations"), F.avg("distance_m").alias("mean_deviation_m"))
+    driven = legs(positions).groupBy("vehicle_id").agg(F.coalesce(F.sum("leg_m"), F.lit(0.0)).alias("driven_m"))
+    done = trips.groupBy("vehicle_id").agg(F.count_if(F.col("trip_status") == "COMPLETED").alias("completed_trips"))
+    j = driven.join(done, "vehicle_id", "full_outer").join(risk, "vehicle_id", "full_outer").join(off, "vehicle_id", "full_outer")
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("risk_events", "deviations", "completed_trips")}
+    return j.withColumns(zero)
+
+
 def replay_sessions(events: DataFrame, start_ns: int, end_ns: int, at: str = "capture_timestamp_ns", by: str = "session_id") -> DataFrame:
     """Rows of every session from start_ns to end_ns (both included) after its first capture, with that offset as offset_ns."""
     first = F.min(at).over(Window.partitionBy(by))

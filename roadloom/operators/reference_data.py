@@ -70,11 +70,15 @@ def heatmap(points: DataFrame, size: float) -> DataFrame:
     return points.groupBy(F.floor(F.col("lat") / size).alias("cy"), F.floor(F.col("lng") / size).alias("cx")).agg(F.count("*").alias("n"), F.avg("speed_kmh").alias("mean_kmh"))
 
 
-def build_alerts(events: DataFrame, trips: DataFrame) -> DataFrame:
-    """Alerts of near objects and of completed trips: one cause each."""
+def build_alerts(events: DataFrame, trips: DataFrame, deviated: DataFrame, critical_m: float = 1000.0) -> DataFrame:
+    """Alerts of near objects, of routes left and of completed trips: one cause each, of which cause_id is the id.
+
+    deviated: vehicle_id, deviation_id, distance_m of positions at or over the threshold (operator `deviations`).
+    """
+    off = deviated.select("vehicle_id", F.col("deviation_id").alias("cause_id"), F.lit("ROUTE_DEVIATION").alias("alert_type"), F.when(F.col("distance_m") >= critical_m, "CRITICAL").otherwise("WARNING").alias("severity"))
     near = events.where("distance_m < 5").select("vehicle_id", F.col("detection_event_id").alias("cause_id"), F.lit("OBJECT_PROXIMITY").alias("alert_type"), F.when(F.col("distance_m") < 2, "CRITICAL").otherwise("WARNING").alias("severity"))
     done = trips.where("trip_status = 'COMPLETED'").select("vehicle_id", F.col("trip_id").alias("cause_id"), F.lit("TRIP_COMPLETED").alias("alert_type"), F.lit("INFO").alias("severity"))
-    return near.unionByName(done)
+    return near.unionByName(off).unionByName(done)
 
 
 def check_table(df: DataFrame, key: str, rules: dict[str, str], unique: list[str] | None = None, parents: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:

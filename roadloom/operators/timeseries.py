@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.sources.scratch import materialize
+
 
 def nearest_asof(left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str, tolerance: int, bucket: int | None = None) -> DataFrame:
     """left with the right columns nearest in time, within tolerance; a tie takes the earlier sample; else nulls.
@@ -112,7 +114,9 @@ def pair_events(frames: DataFrame, events: DataFrame, tolerance: int = 250_000_0
     """event_id, frame_seq, exact: one frame for an event, by equal media time, else the nearest free one in tolerance.
 
     frames: session_id, frame_seq, media_ts, received; events: session_id, event_id, media_ts, received, latency (taken
-    off when not negative). Nearest pairs are mutual: an event's nearest free frame whose nearest event it is.
+    off when not negative). Nearest pairs are mutual: an event's nearest free frame whose nearest event it is. Rounds go on
+    among the events and frames that are left until no pair is added, so an event takes its next frame where the
+    nearest is another's.
     """
     hit = events.alias("e").join(frames.alias("f"), (F.col("e.session_id") == F.col("f.session_id")) & (F.col("e.media_ts") == F.col("f.media_ts")))
     exact = hit.groupBy("e.session_id", "f.frame_seq").agg(F.min("e.event_id").alias("event_id")).groupBy("session_id", "event_id").agg(F.min("frame_seq").alias("frame_seq"))
@@ -122,18 +126,39 @@ def pair_events(frames: DataFrame, events: DataFrame, tolerance: int = 250_000_0
     f = free_f.select("session_id", "frame_seq", F.col("received").alias("f_at"), slot(F.col("received")).alias("slot"))
     e = free_e.select("session_id", "event_id", "at", F.explode(F.sequence(slot(F.col("at")) - 1, slot(F.col("at")) + 1)).alias("slot"))
     near = e.join(f, ["session_id", "slot"]).withColumn("d", F.abs(F.col("at") - F.col("f_at"))).where(F.col("d") <= tolerance)
+    near = materialize(near.select("session_id", "event_id", "frame_seq", "d"))
     of_event = F.row_number().over(Window.partitionBy("session_id", "event_id").orderBy("d", "frame_seq"))
     of_frame = F.row_number().over(Window.partitionBy("session_id", "frame_seq").orderBy("d", "event_id"))
-    near = near.withColumn("re", of_event).withColumn("rf", of_frame).where("re = 1 and rf = 1")
-    return exact.select("session_id", "event_id", "frame_seq", F.lit(True).alias("exact")).unionByName(near.select("session_id", "event_id", "frame_seq", F.lit(False).alias("exact")))
+    pairs = exact.select("session_id", "event_id", "frame_seq", F.lit(True).alias("exact"))
+    while not near.isEmpty():
+        new = materialize(near.withColumn("re", of_event).withColumn("rf", of_frame).where("re = 1 and rf = 1").select("session_id", "event_id", "frame_seq"))
+        pairs = pairs.unionByName(new.withColumn("exact", F.lit(False)))
+        near = near.join(new.select("session_id", "event_id"), ["session_id", "event_id"], "left_anti").join(new.select("session_id", "frame_seq"), ["session_id", "frame_seq"], "left_anti")
+        near = materialize(near)
+    return pairs
+
 
+def conflate(frames: DataFrame, slot_ns: int, by: str = "session_id", seq: str = "frame_seq", time: str = "source_timestamp_ns", items: str | None = None, dropped: tuple[str, ...] = ("distance_m",)) -> DataFrame:
+    """The newest frame of each inference slot is kept; others are skipped and carry the last kept frame before them.
 
-def conflate(frames: DataFrame, slot_ns: int, by: str = "session_id", seq: str = "frame_seq", time: str = "source_timestamp_ns") -> DataFrame:
-    """The newest frame of each inference slot is kept; others are skipped and carry the last kept frame before them."""
+    items: an array of structs, what was found in a frame. A skipped frame shows those of the frame it carries (none
+    before the first), with the fields `dropped` null, as a distance holds for its own frame only.
+    """
     newest = F.row_number().over(Window.partitionBy(by, "slot").orderBy(F.desc(time), F.desc(seq)))
     df = frames.withColumn("slot", F.floor(F.col(time) / slot_ns).cast("long")).withColumn("skipped", newest > 1)
     w = Window.partitionBy(by).orderBy(time, seq)
-    return df.withColumn("result_seq", F.last(F.when(~F.col("skipped"), F.col(seq)), ignorenulls=True).over(w))
+    df = df.withColumn("result_seq", F.last(F.when(~F.col("skipped"), F.col(seq)), ignorenulls=True).over(w))
+    if items is None:
+        return df
+    kind = {f.name: f.dataType for f in frames.schema[items].dataType.elementType.fields}
+
+    def bare(x: Column) -> Column:
+        for c in dropped:
+            x = x.withField(c, F.lit(None).cast(kind[c])) if c in kind else x
+        return x
+
+    kept = F.last(F.when(~F.col("skipped"), F.coalesce(F.col(items), F.array().cast(frames.schema[items].dataType))), ignorenulls=True).over(w)
+    return df.withColumn(items, F.when(F.col("skipped"), F.transform(kept, bare)).otherwise(F.col(items)))
 
 
 def qr_report(reads: DataFrame, joined: DataFrame, by: str = "session_id") -> DataFrame:

@@ -132,10 +132,16 @@ def keyframe_before(v):
 _PAIR = """f as (select session_id, frame_seq, source_timestamp_ns as m, source_timestamp_ns + 5000000 as r from frame_item), e as (select session_id, seq as event_id, coalesce(source_timestamp_ns, -1) as m, capture_timestamp_ns + (seq % 9) * 40000000 - case when seq % 3 > 0 then 20000000 else 0 end as tm from qr_read),
 x as (select session_id, event_id, min(frame_seq) as frame_seq from (select e.session_id, f.frame_seq, min(e.event_id) as event_id from e join f on e.session_id = f.session_id and e.m = f.m group by 1, 2) q group by 1, 2),
 ff as (select * from f where frame_seq not in (select frame_seq from x)), fe as (select * from e where event_id not in (select event_id from x)),
-nr as (select fe.session_id, event_id, frame_seq, row_number() over (partition by fe.session_id, event_id order by abs(tm - r), frame_seq) as a, row_number() over (partition by fe.session_id, frame_seq order by abs(tm - r), event_id) as b from fe join ff on fe.session_id = ff.session_id and abs(tm - r) <= 250000000)"""
+c1 as (select fe.session_id, event_id, frame_seq, abs(tm - r) as d from fe join ff on fe.session_id = ff.session_id and abs(tm - r) <= 250000000)"""
+#: Rounds of the pairing in SQL; the data need fewer.
+_ROUNDS = 8
+_PAIR += "".join(f""",
+n{i} as (select * from (select *, row_number() over (partition by session_id, event_id order by d, frame_seq) as a, row_number() over (partition by session_id, frame_seq order by d, event_id) as b from c{i}) q where a = 1 and b = 1),
+c{i + 1} as (select * from c{i} where event_id not in (select event_id from n{i}) and frame_seq not in (select frame_seq from n{i}))""" for i in range(1, _ROUNDS + 1))
+_PAIRED = "select event_id, frame_seq, true as exact from x" + "".join(f" union all select event_id, frame_seq, false from n{i}" for i in range(1, _ROUNDS + 1))
 
 
-@query(f"with {_PAIR} select event_id, frame_seq, true as exact from x union all select event_id, frame_seq, false from nr where a = 1 and b = 1", "frame_item", "qr_read")
+@query(f"with {_PAIR} {_PAIRED}", "frame_item", "qr_read")
 def event_frames(v):
     f = v("frame_item").selectExpr("session_id", "frame_seq", "source_timestamp_ns as media_ts", "source_timestamp_ns + 5000000 as received")
     e = v("qr_read").selectExpr("session_id", "seq as event_id", "coalesce(source_timestamp_ns, -1) as media_ts", "capture_timestamp_ns + (seq % 9) * 40000000 as received", "case when seq % 3 > 0 then 20000000 else -1 end as latency")
@@ -265,7 +271,7 @@ def dashboard(v):
     return h.dashboard(v("vehicle_position"), v("alert"), v("detection_event"))
 
 
-@query("select class_name, count(*) as events, round(quantile_cont(confidence, 0.25), 6) as p25, round(quantile_cont(confidence, 0.5), 6) as p50, round(quantile_cont(confidence, 0.75), 6) as p75, min(distance_m) as nearest_m from detection_event group by 1", "detection_event")
+@query("select class_name, count(*) as events, quantile_disc(confidence, 0.25) as p25, quantile_disc(confidence, 0.5) as p50, quantile_disc(confidence, 0.75) as p75, min(distance_m) as nearest_m from detection_event group by 1", "detection_event")
 def vision_diagnostics(v):
     return h.vision_diagnostics(v("detection_event")).select("class_name", "events", *[r6(c).alias(c) for c in ("p25", "p50", "p75")], "nearest_m")
 

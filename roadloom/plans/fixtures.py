@@ -109,6 +109,8 @@ select concat('L', cast(user_id % 20 as string)) as line_no, case user_id % 3 wh
     "feed_fix": """
 select event_id as fix_id, concat('L', cast(user_id % 25 as string)) as line_no, case event_id % 3 when 0 then 'outbound' when 1 then 'inbound' else 'full_route' end as direction,
   35.0 + ((event_id * 6151) % 3000) / 10000.0e0 as lat, 128.8 + ((event_id * 9973) % 4000) / 10000.0e0 as lng, ts as observed_at from events where event_type = 'view'""",
+    "live_fix": """
+select fix_id, line_no, direction, 'B1' as vehicle_no, fix_id as payload_id, lat, lng, timestamp '2024-01-01 00:00:00' + fix_id * interval '3' second as observed_at from feed_fix""",
     "relation": """
 select o_orderkey as rel_id, case o_orderkey % 7 when 0 then 'only_left_turn' when 1 then 'no_u_turn' when 2 then 'no_left_turn' when 3 then 'other' else 'no_right_turn' end as restriction from orders""",
     "relation_member": """
@@ -148,4 +150,6 @@ def with_views(sql: str, *names: str) -> str:
     """sql behind the views it reads, as common table expressions."""
     ctes = ",\n".join(f"{v} as ({VIEWS[v].strip()})" for v in needed(*names))
     body = sql.strip()
+    if not ctes:
+        return body
     return f"with {ctes},\n{body[5:]}" if body.lower().startswith("with ") else f"with {ctes}\n{body}"

@@ -15,21 +15,21 @@ from roadloom.plans.queries import _EDGES, _LAST, _LEGS, _MEASURED, _NEARWAY, _S
 
 _FUSED = f"""{_PROJ}, np as (select fix_id, s, lat as plat, lng as plng from (select *, row_number() over (partition by fix_id order by distance_m, s1) as rn from pj) q where rn = 1 and distance_m <= 3000),
 fx as (select pk.fix_id, line_no, pk.lat, pk.lng, td, epoch_us(observed_at) / 1e6 as t, s, plat, plng from pk left join np on np.fix_id = pk.fix_id),
-fg as (select *, (floor((t + 15) / 907.1234567e0) + 1) * 907.1234567e0 as b, lead(t) over w as nt, lag(t) over w as pt, lag(s) over w as ps, lag(td) over w as ptd, (ceil(t / 907.1234567e0) - 1) * 907.1234567e0 as before from fx window w as (partition by line_no order by t, fix_id)),
-fk as (select *, unnest(range(cast(ceil(t / 907.1234567e0) as bigint), cast(case when nt is null then floor((t + 60) / 907.1234567e0) + 1 else ceil(nt / 907.1234567e0) end as bigint))) * 907.1234567e0 as tick from fg),
+fg as (select *, (floor((t + 15) / 1.0e0) + 1) * 1.0e0 as b, lead(t) over w as nt, lag(t) over w as pt, lag(s) over w as ps, lag(td) over w as ptd, (ceil(t / 1.0e0) - 1) * 1.0e0 as before from fx window w as (partition by line_no order by t, fix_id)),
+fk as (select *, unnest(range(cast(ceil(t / 1.0e0) as bigint), cast(case when nt is null then floor((t + 60) / 1.0e0) + 1 else ceil(nt / 1.0e0) end as bigint))) * 1.0e0 as tick from fg),
 rq as (select fix_id, line_no, td as direction, tick, s + tick - b as c from fk where tick - t > 15 and s is not null
-union all select fix_id, line_no, ptd, null, ps + before - ((floor((pt + 15) / 907.1234567e0) + 1) * 907.1234567e0) from fg where t - pt >= 3 and ps is not null and before >= (floor((pt + 15) / 907.1234567e0) + 1) * 907.1234567e0),
+union all select fix_id, line_no, ptd, null, ps + before - ((floor((pt + 15) / 1.0e0) + 1) * 1.0e0) from fg where t - pt >= 3 and ps is not null and before >= (floor((pt + 15) / 1.0e0) + 1) * 1.0e0),
 t2 as (select line_no, direction, s, lat, lng, lead(s) over w as s2, lead(lat) over w as lat2, lead(lng) over w as lng2 from tr window w as (partition by line_no, direction order by s)),
 pl as (select rq.*, s2 is null and c > s as past_end, case when s2 is null then lat else lat + (lat2 - lat) * (c - s) / (s2 - s) end as plat, case when s2 is null then lng else lng + (lng2 - lng) * (c - s) / (s2 - s) end as plng from rq asof join t2 on rq.line_no = t2.line_no and rq.direction = t2.direction and rq.c >= t2.s),
 bl as (select fk.*, h.plat as flat, h.plng as flng, coalesce(fk.plat, fk.lat) as glat, coalesce(fk.plng, fk.lng) as glng, least(1.0, (fk.tick - t) / 3) as r from fk left join pl h on h.fix_id = fk.fix_id and h.tick is null where fk.tick - t <= 15),
-fo as (select line_no, tick, fix_id, case when flat is not null and tick - t < 3 then 'reconciling' else 'live' end as state, case when flat is null then lat else flat + (glat - flat) * r end as lat, case when flat is null then lng else flng + (glng - flng) * r end as lng, tick - t as age, false as past_end from bl
+fo as (select line_no, tick, fix_id, case when flat is not null and tick - t < 3 then 'reconciling' else 'live' end as state, case when flat is null or tick - t >= 4 then lat else flat + (glat - flat) * r end as lat, case when flat is null or tick - t >= 4 then lng else flng + (glng - flng) * r end as lng, tick - t as age, false as past_end from bl
 union all select fk.line_no, fk.tick, fk.fix_id, 'interpolated', pl.plat, pl.plng, fk.tick - t, past_end from fk join pl on pl.fix_id = fk.fix_id and pl.tick = fk.tick)"""
 
 
-@query(f"with {_FUSED} select line_no, cast(floor(tick) as bigint) as tick, fix_id, state, cast(round(lat * 1000000) as bigint) as lat_e6, cast(round(lng * 1000000) as bigint) as lng_e6, past_end from fo", "feed_fix", "trace_point")
+@query(f"with {_FUSED.replace('feed_fix', 'live_fix')} select line_no, cast(tick as bigint) as tick, fix_id, state, cast(round(lat * 123456.789e0) as bigint) as lat_u, cast(round(lng * 123456.789e0) as bigint) as lng_u, past_end from fo", "live_fix", "trace_point")
 def fused_positions(v):
-    f = fusion.fuse_positions(v("feed_fix"), _trace(v), tick_s=907.1234567, align_m=3000.0)
-    return f.select("line_no", F.floor("tick").cast("long").alias("tick"), "fix_id", "state", *[F.round(F.col(c) * 1000000).cast("long").alias(f"{c}_e6") for c in ("lat", "lng")], "past_end")
+    f = fusion.fuse_positions(v("live_fix"), _trace(v), align_m=3000.0)
+    return f.select("line_no", F.col("tick").cast("long").alias("tick"), "fix_id", "state", *[F.round(F.col(c) * 123456.789).cast("long").alias(f"{c}_u") for c in ("lat", "lng")], "past_end")
 
 
 @query("""select f.frame_seq, d.detection_event_id, round(x1 * 1280 / 640 * 1920, 6) as x1, round(y2 * 720 / 360 * 1080, 6) as y2 from frame_item f
@@ -90,22 +90,37 @@ def geocoded_rows(v):
 _PAGES = """pg as (select cast(floor(cast(bstopid as bigint) / 100.0e0) as bigint) as asked, cast(floor(cast(bstopid as bigint) / 100.0e0) as bigint) + case when cast(bstopid as bigint) between 300 and 399 then 1 else 0 end as page, case when cast(bstopid as bigint) % 211 = 0 then ' ' else bstopid end as stop_id, cast(cast(bstopid as bigint) % 1900 as string) as payload from catalog_stop)"""
 
 
-@query(f"""with {_PAGES}, a as (select asked, count(*) as n, bool_and(page = asked) as ok, string_agg(payload, ',' order by payload) as digest from pg group by 1)
-select (select count(*) from pg) as rows, (select count(*) from pg) as total, cast(0 as bigint) as empty_pages, (select count(*) from a where not ok) as misnumbered_pages, (select count(*) - count(distinct digest) from a) as repeated_pages, (select count(*) - count(distinct payload) from pg) as overlapping_rows,
-(select count(*) from pg where trim(stop_id) = '') as blank_ids, false as complete""", "catalog_stop")
+_CHECKED = """a as (select asked, count(payload) as n, bool_and(page = asked) as ok, string_agg(payload, ',' order by payload) as digest, min(total) as lo, max(total) as hi from pg group by 1),
+k as (select coalesce(sum(n), 0) as rows, max(hi) as total, count(case when n = 0 then 1 end) as empty_pages, count(case when not ok then 1 end) as misnumbered_pages, count(digest) - count(distinct digest) as repeated_pages, min(lo) as lo from a),
+o as (select count(payload) - count(distinct payload) as overlapping_rows, count(case when payload is not null and coalesce(trim(stop_id), '') = '' then 1 end) as blank_ids from pg)
+select cast(rows as bigint) as rows, total, empty_pages, misnumbered_pages, repeated_pages, overlapping_rows, blank_ids, empty_pages + misnumbered_pages + repeated_pages + overlapping_rows + blank_ids = 0 and lo = total and rows = total as complete from k, o"""
+
+
+@query(f"""with {_PAGES.replace('pg as (select', 'pq as (select')}, pg as (select *, (select count(*) from pq) as total from pq union all select 999999, 999999, null, null, (select count(*) from pq)), {_CHECKED}""", "catalog_stop")
 def catalog_check(v):
+    """A catalogue with faults of each kind, an empty page among them."""
     n = F.col("bstopid").cast("long")
     c = v("catalog_stop")
     asked = F.floor(n / 100)
     pages = c.select(asked.alias("asked_page"), (asked + F.when(n.between(300, 399), 1).otherwise(0)).alias("page"), F.when(n % 211 == 0, " ").otherwise(F.col("bstopid")).alias("stop_id"), (n % 1900).cast("string").alias("payload"))
-    return fac.check_catalog(pages.crossJoin(F.broadcast(c.agg(F.count("*").alias("total")))))
+    total = F.broadcast(c.agg(F.count("*").alias("total")))
+    none = v("catalog_stop").sparkSession.createDataFrame([(999_999, 999_999, None, None)], "asked_page long, page long, stop_id string, payload string")
+    return fac.check_catalog(pages.unionByName(none).crossJoin(total))
+
+
+@query(f"""with pg as (select cast(floor(cast(bstopid as bigint) / 100.0e0) as bigint) as asked, cast(floor(cast(bstopid as bigint) / 100.0e0) as bigint) as page, bstopid as stop_id, bstopid as payload, (select count(*) from catalog_stop) as total from catalog_stop), {_CHECKED}""", "catalog_stop")
+def catalog_check_whole(v):
+    """The same catalogue as it is: complete."""
+    page = F.floor(F.col("bstopid").cast("long") / 100)
+    pages = v("catalog_stop").select(page.alias("asked_page"), page.alias("page"), F.col("bstopid").alias("stop_id"), F.col("bstopid").alias("payload"))
+    return fac.check_catalog(pages.crossJoin(F.broadcast(v("catalog_stop").agg(F.count("*").alias("total")))))
 
 
 @query("""with w as (select *, case when alert_status <> 'UNCONFIRMED' then alert_id % 600 end as s from alert)
-select alert_type, severity, count(case when alert_status = 'UNCONFIRMED' then 1 end) as unconfirmed, count(case when alert_status = 'ACKNOWLEDGED' then 1 end) as acknowledged, count(case when alert_status = 'RESOLVED' then 1 end) as resolved, round(quantile_cont(s, 0.5), 6) as median_s, round(quantile_cont(s, 0.9), 6) as p90_s from w group by 1, 2""", "alert")
+select alert_type, severity, count(case when alert_status = 'UNCONFIRMED' then 1 end) as unconfirmed, count(case when alert_status = 'ACKNOWLEDGED' then 1 end) as acknowledged, count(case when alert_status = 'RESOLVED' then 1 end) as resolved, quantile_disc(s, 0.5) as median_s, quantile_disc(s, 0.9) as p90_s from w group by 1, 2""", "alert")
 def alert_latency(v):
     a = v("alert").withColumn("acknowledged_at", F.when(F.col("alert_status") != "UNCONFIRMED", F.col("created_at") + F.make_dt_interval(secs=F.col("alert_id") % 600)))
-    return h.alert_latency(a).withColumns({"median_s": r6("median_s"), "p90_s": r6("p90_s")})
+    return h.alert_latency(a)
 
 
 @query(f"""with {_LEGS}, td as (select trip_id, coalesce(sum(leg_m), 0) as m from g group by 1), rl as (select trip_id, sum({hav('plat', 'plng', 'lat', 'lng')}) as planned from (select *, lag(lat) over w as plat, lag(lng) over w as plng from route_point where is_current window w as (partition by route_id order by seq)) q group by 1),
@@ -117,11 +132,12 @@ def dashboard_with_routes(v):
     return d.withColumn("mean_progress", r6("mean_progress"))
 
 
-@query("select trip_id, vehicle_id, started_at, trip_status from trip", "trip")
+@query("select trip_id, vehicle_id, started_at, trip_status, count(*) over () as rows, 1001 as first_id, 1000 + count(*) over () as last_id, count(*) over () as ids from trip", "trip")
 def appended_trips(v):
-    """Trips as new rows with ids of their own; the ids themselves are any numbers without gaps."""
+    """Trips as new rows with ids of their own: any numbers, but distinct ones without gaps from 1001."""
     t = fac.append_rows(v("trip").withColumnRenamed("trip_id", "from_trip"), "trip_id", 1000, "from_trip")
-    return t.select(F.col("from_trip").alias("trip_id"), "vehicle_id", "started_at", "trip_status")
+    ids = t.agg(F.count("*").alias("rows"), F.min("trip_id").alias("first_id"), F.max("trip_id").alias("last_id"), F.countDistinct("trip_id").alias("ids"))
+    return t.select(F.col("from_trip").alias("trip_id"), "vehicle_id", "started_at", "trip_status").crossJoin(F.broadcast(ids))
 
 
 _OD = "od as (select s_suppkey as request_id, s_suppkey as a, case when s_suppkey % 10 = 0 then null else s_suppkey + 1 end as b from supplier)"

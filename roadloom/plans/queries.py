@@ -308,9 +308,12 @@ def heatmap(v):
     return ref.heatmap(v("vehicle_position"), 0.02).withColumn("mean_kmh", r6("mean_kmh"))
 
 
-@query("select vehicle_id, detection_event_id as cause_id, 'OBJECT_PROXIMITY' as alert_type, case when distance_m < 2 then 'CRITICAL' else 'WARNING' end as severity from detection_event where distance_m < 5 union all select vehicle_id, trip_id, 'TRIP_COMPLETED', 'INFO' from trip where trip_status = 'COMPLETED'", "detection_event", "trip")
+@query(f"""with {_MEASURED} select vehicle_id, detection_event_id as cause_id, 'OBJECT_PROXIMITY' as alert_type, case when distance_m < 2 then 'CRITICAL' else 'WARNING' end as severity from detection_event where distance_m < 5
+union all select vehicle_id, trip_id, 'TRIP_COMPLETED', 'INFO' from trip where trip_status = 'COMPLETED'
+union all select p.vehicle_id, m.position_id, 'ROUTE_DEVIATION', case when distance_m >= 1000 then 'CRITICAL' else 'WARNING' end from m join vehicle_position p on p.position_id = m.position_id where distance_m >= 500""", "detection_event", "trip", "vehicle_position", "route_point")
 def alerts(v):
-    return ref.build_alerts(v("detection_event"), v("trip"))
+    off = h.deviations(v("vehicle_position"), v("route_point"), 500.0).withColumn("deviation_id", F.col("position_id"))
+    return ref.build_alerts(v("detection_event"), v("trip"), off)
 
 
 @query("""select 'severity' as rule, cast(alert_id as string) as key from alert where not coalesce(severity in ('INFO', 'CRITICAL'), false)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,17 +35,110 @@ def read_samples(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").csv(pattern)
 
 
+def _typed(spark: SparkSession, pattern: str, columns: dict[str, str]) -> DataFrame:
+    """Columns of CSV files by name, whatever their order; text that is no value of the type is null."""
+    raw = spark.read.option("header", True).csv(pattern)
+    return raw.select(*[(F.trim(c).try_cast(t) if c in raw.columns else F.lit(None).cast(t)).alias(c) for c, t in columns.items()])
+
+
+def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row of a JSON object; no row where the file is missing."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+INTRINSICS = "width int, height int, fx double, fy double, cx double, cy double"
+CALIBRATION = "camera_height_m double, camera_pitch_offset_deg double, camera_roll_offset_deg double, camera_yaw_offset_deg double, min_distance_m double, max_distance_m double"
+
+
+def read_recording(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """frames, imu, intrinsics and calibration of a recording: its frame_*.csv and imu_*.csv as tables, its JSON files as rows.
+
+    Rows without one of the numbers they need are dropped; a missing calibration file gives an empty table, and the camera
+    bounds that it leaves out are 0.1 and 200 m, its offsets 0.
+    """
+    frames = _typed(spark, f"{folder}/frame_*.csv", {"frame_index": "bigint", "timestamp_ns": "bigint"}).dropna()
+    imu = _typed(spark, f"{folder}/imu_*.csv", {"timestamp_ns": "bigint", "pitch_deg": "double", "roll_deg": "double", "yaw_deg": "double", "accuracy": "int"})
+    calibration = _document(spark, f"{folder}/monocular_calibration.json", CALIBRATION)
+    offsets = {c: F.coalesce(c, F.lit(0.0)) for c in ("camera_pitch_offset_deg", "camera_roll_offset_deg", "camera_yaw_offset_deg")}
+    bounds = {"min_distance_m": F.coalesce("min_distance_m", F.lit(0.1)), "max_distance_m": F.coalesce("max_distance_m", F.lit(200.0))}
+    return {
+        "frames": frames,
+        "imu": imu.dropna(subset=["timestamp_ns", "pitch_deg", "roll_deg", "yaw_deg"]),
+        "intrinsics": _document(spark, f"{folder}/intrinsics.json", INTRINSICS),
+        "calibration": calibration.where("camera_height_m is not null").withColumns(offsets | bounds),
+    }
+
+
+def read_qr_log(spark: SparkSession, path: str) -> DataFrame:
+    """seq, capture_timestamp_ns, source_timestamp_ns, decode_success of a log of decoded reads; a value counts only where the read succeeded."""
+    raw = _typed(spark, path, {"decode_success": "string", "decoded_value": "bigint", "capture_ts_elapsed_ns": "bigint", "capture_index": "bigint"})
+    ok = F.coalesce(F.lower("decode_success") == "true", F.lit(False))
+    value = F.when(ok, F.col("decoded_value"))
+    return raw.select(F.col("capture_index").alias("seq"), F.col("capture_ts_elapsed_ns").alias("capture_timestamp_ns"), value.alias("source_timestamp_ns"), (ok & value.isNotNull()).alias("decode_success"))
+
+
+_POINT = "lat double, lng double"
+_MADE = "created_at timestamp"
+#: The operational tables and their columns; a point is two numbers.
+TABLES = {
+    "platform_account": f"user_id bigint, login_id string, password_hash string, user_name string, role string, is_active boolean, {_MADE}, updated_at timestamp",
+    "vehicle": f"vehicle_id bigint, vehicle_code string, plate_number string, vehicle_name string, vehicle_source string, external_id string, max_load_kg decimal(10,2), height_m decimal(5,2), width_m decimal(5,2), length_m decimal(5,2), vehicle_status string, stream_url string, camera_height_m decimal(5,3), camera_pitch_deg decimal(6,2), camera_roll_deg decimal(6,2), camera_yaw_deg decimal(6,2), focal_length_mm decimal(6,2), sensor_width_mm decimal(6,2), is_active boolean, {_MADE}, updated_at timestamp",
+    "driver": f"driver_id bigint, driver_name string, phone string, license_number string, driver_status string, {_MADE}, updated_at timestamp",
+    "trip": f"trip_id bigint, vehicle_id bigint, driver_id bigint, origin_name string, origin_address string, origin_lat double, origin_lng double, destination_name string, destination_address string, destination_lat double, destination_lng double, trip_status string, planned_start_at timestamp, started_at timestamp, ended_at timestamp, actual_distance_m int, ai_summary string, ai_summary_generated_at timestamp, {_MADE}, updated_at timestamp",
+    "trip_video": f"trip_video_id bigint, trip_id bigint, video_url string, start_frame_id bigint, end_frame_id bigint, started_at timestamp, ended_at timestamp, fps decimal(5,2), duration_sec int, {_MADE}",
+    "route": f"route_id bigint, trip_id bigint, route_version int, route_type string, route_source string, source_metadata string, distance_m int, duration_sec int, encoded_polyline string, route_geojson string, route_line array<struct<lat:double,lng:double>>, is_current boolean, {_MADE}",
+    "vehicle_position": f"position_id bigint, vehicle_id bigint, trip_id bigint, {_POINT}, speed_kmh decimal(6,2), heading_deg decimal(6,2), recorded_at timestamp, telemetry_source string",
+    "route_deviation": f"deviation_id bigint, vehicle_id bigint, trip_id bigint, route_id bigint, deviation_distance_m decimal(10,2), {_POINT}, detected_at timestamp, resolved_at timestamp, recalculated_route_id bigint, {_MADE}",
+    "object_class": "class_id bigint, model_class_id int, class_name string, display_name string, warning_distance_m decimal(6,2), is_alert_target boolean, is_active boolean",
+    "detection_event": f"detection_event_id bigint, frame_id bigint, vehicle_id bigint, vehicle_code string, trip_id bigint, class_id bigint, class_name string, display_name string, confidence decimal(5,4), distance_m decimal(8,2), warning_distance_m decimal(8,2), risk_level string, {_POINT}, bbox_x1 decimal(10,4), bbox_y1 decimal(10,4), bbox_x2 decimal(10,4), bbox_y2 decimal(10,4), pitch_at_capture_deg decimal(6,3), roll_at_capture_deg decimal(6,3), telemetry_source string, detected_at timestamp, {_MADE}",
+    "event_image": f"event_image_id bigint, detection_event_id bigint, image_url string, thumbnail_url string, captured_at timestamp, {_MADE}",
+    "alert": f"alert_id bigint, vehicle_id bigint, detection_event_id bigint, route_deviation_id bigint, trip_id bigint, alert_type string, severity string, alert_message string, operator_note string, alert_status string, acknowledged_by bigint, acknowledged_at timestamp, resolved_at timestamp, {_MADE}",
+    "transport_goal": f"goal_id bigint, goal_code string, destination_name string, destination_address string, destination_lat double, destination_lng double, cargo_weight_kg decimal(10,2), priority string, target_eta timestamp, goal_status string, assigned_vehicle_id bigint, assigned_trip_id bigint, completed_at timestamp, {_MADE}, updated_at timestamp",
+}
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table under its declared schema (columns that its files lack are null), or as it lies where none is declared."""
+    reader = spark.read.schema(TABLES[name]) if name in TABLES else spark.read
+    return reader.parquet(f"{folder}/{name}.parquet")
+
+
+_ROUNDED = {"latitude": 7, "longitude": 7, "speed_kmh": 2}
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """With the sinks' rounding: 7 digits for coordinates, 2 for speed."""
+    return df.withColumns({c: F.round(c, n) for c, n in _ROUNDED.items()})
 
 
 def append_positions(df: DataFrame, path: str) -> None:
-    """Append with the sinks' rounding: 7 digits for coordinates, 2 for speed."""
-    df.withColumns({"latitude": F.round("latitude", 7), "longitude": F.round("longitude", 7), "speed_kmh": F.round("speed_kmh", 2)}).write.mode("append").parquet(path)
+    rounded(df).write.mode("append").parquet(path)
+
+
+def stream_positions(stream: DataFrame, path: str, checkpoint: str):
+    """append_positions of a stream: a started query whose sink writes each row once."""
+    return rounded(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
 
 
 def publish(df: DataFrame, path: str) -> str:
-    """Write a new version next to the old ones; readers take the last version that was written whole."""
-    version = f"{path}/version={uuid.uuid1().hex}"
-    df.write.parquet(version)
-    return version
+    """Write a whole new version of a document, then point to it; the old version stays where the write fails.
+
+    The pointer is an empty file named by the time of its version, made only when all parts are there; making a file is
+    one step in every store that Spark writes to.
+    """
+    spark = df.sparkSession
+    name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{path}/versions/{name}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current/{name}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, False).close()
+    return name
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version that was published whole."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+    names = sorted(s.getPath().getName() for s in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place))
+    return spark.read.parquet(f"{path}/versions/{names[-1]}")

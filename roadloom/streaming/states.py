@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from roadloom.functions.geo import point_segment_m
+from roadloom.operators.history import line_distance_m, route_lines
 
 _PACKET = "session_id long, arrival long, seq16 int, late boolean, gap boolean, epoch long"
 _HELD = "session_id long, pts_90k long, epoch long, discarded boolean"
@@ -36,43 +36,34 @@ def packet_epochs(stream: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").applyInPandasWithState(_packets, _PACKET, "last int, epoch long", "append", GroupStateTimeout.NoTimeout)
 
 
-def retain(stream: DataFrame, seconds: float = 30.0) -> DataFrame:
-    """Units (session_id, pts_90k) with their epoch: a history longer than `seconds` is discarded and a new epoch opens.
+def retain(stream: DataFrame, seconds: float = 30.0, most_bytes: int | None = None) -> DataFrame:
+    """Units (session_id, pts_90k[, bytes]) with their epoch: a history longer than `seconds`, or with a cap heavier than
+    most_bytes, is discarded and a new epoch opens.
 
-    discarded marks the unit that was one too many; the new epoch begins behind it. The state is two numbers a session.
+    discarded marks the unit that was one too many; the new epoch begins behind it. The state is three numbers a session.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        oldest, epoch = state.get if state.exists else (None, 0)
+        oldest, epoch, held = state.get if state.exists else (None, 0, 0)
         out = []
-        for pts in pd.concat(list(parts))["pts_90k"].sort_values():
-            oldest = int(pts) if oldest is None else oldest
-            over = (int(pts) - oldest) / 90000 > seconds
+        rows = pd.concat(list(parts)).sort_values("pts_90k", kind="stable")
+        for pts, size in zip(rows["pts_90k"].tolist(), rows["bytes"].tolist()):
+            oldest, held = pts if oldest is None else oldest, held + size
+            over = (pts - oldest) / 90000 > seconds or most_bytes is not None and held > most_bytes
             out.append((key[0], pts, epoch, over))
             if over:
-                oldest, epoch = None, epoch + 1
-        state.update((oldest, epoch))
+                oldest, epoch, held = None, epoch + 1, 0
+        state.update((oldest, epoch, held))
         yield pd.DataFrame(out, columns=["session_id", "pts_90k", "epoch", "discarded"])
 
-    rows = stream.select("session_id", "pts_90k").where("session_id is not null and pts_90k is not null")
-    return rows.groupBy("session_id").applyInPandasWithState(run, _HELD, "oldest long, epoch long", "append", GroupStateTimeout.NoTimeout)
-
-
-def route_lines(routes: DataFrame) -> DataFrame:
-    """trip_id and the points of its current route in order; a route has at most some thousand points."""
-    line = F.array_sort(F.collect_list(F.struct("seq", "lat", "lng")))
-    return routes.where("is_current").groupBy("trip_id").agg(line.alias("line")).where("size(line) > 1")
+    size = F.coalesce(F.col("bytes"), F.lit(0)) if "bytes" in stream.columns else F.lit(0)
+    rows = stream.select("session_id", "pts_90k", size.cast("long").alias("bytes")).where("session_id is not null and pts_90k is not null")
+    return rows.groupBy("session_id").applyInPandasWithState(run, _HELD, "oldest long, epoch long, held long", "append", GroupStateTimeout.NoTimeout)
 
 
 def deviation_stream(stream: DataFrame, routes: DataFrame, threshold: float, gap: str = "60 seconds", late: str = "30 seconds") -> DataFrame:
     """Episodes of positions at or over threshold metres off their trip's route: a session window for each trip."""
-    legs = F.transform(F.sequence(F.lit(1), F.size("line") - 1), lambda i: _leg(i))
-    d = F.array_min(legs)
-    off = stream.withWatermark("recorded_at", late).join(route_lines(routes), "trip_id").withColumn("distance_m", d).where(F.col("distance_m") >= threshold)
+    d = line_distance_m(F.col("lat"), F.col("lng"))
+    off = stream.withWatermark("recorded_at", late).join(route_lines(routes.where("is_current")), "trip_id").withColumn("distance_m", d).where(F.col("distance_m") >= threshold)
     g = off.groupBy("trip_id", F.session_window("recorded_at", gap).alias("w")).agg(F.count("*").alias("samples"), F.max("distance_m").alias("max_m"), F.min("recorded_at").alias("started_at"), F.max("recorded_at").alias("ended_at"))
     return g.drop("w")
-
-
-def _leg(i):
-    a, b = F.element_at("line", i), F.element_at("line", i + 1)
-    return point_segment_m(F.col("lat"), F.col("lng"), a.lat, a.lng, b.lat, b.lng)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from roadloom.plans import feed_queries, fusion_queries  # noqa: F401
+from roadloom.plans import feed_queries, fusion_queries, rule_queries  # noqa: F401
 from roadloom.plans.queries import ORACLE, QUERIES
 
 SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
