@@ -36,7 +36,7 @@ def read_samples(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
 
 
 def _typed(spark: SparkSession, pattern: str, columns: dict[str, str]) -> DataFrame:
-    """Columns of CSV files by name, whatever their order; text that is no value of the type is null."""
+    """Columns of CSV files that share one header, by name; text that is no value of the type is null."""
     raw = spark.read.option("header", True).csv(pattern)
     return raw.select(*[(F.trim(c).try_cast(t) if c in raw.columns else F.lit(None).cast(t)).alias(c) for c, t in columns.items()])
 

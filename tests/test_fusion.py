@@ -138,4 +138,4 @@ def test_path_geometry_and_snapped_requests(spark):
     e = spark.createDataFrame([(1, 2, 60.0)], "src long, dst long, seconds double")
     od = spark.createDataFrame([(1, 35.0, 129.0, 35.1, 129.1), (2, 35.1, 129.1, 35.0, 129.0), (3, 0.0, 0.0, 35.0, 129.0)], "request_id long, origin_lat double, origin_lon double, goal_lat double, goal_lon double")
     got = roadnet.route_requests(od, v, e, 2).orderBy("request_id").collect()
-    assert [(r.status, r.minutes) for r in got] == [("ok", 1.0), ("no_route_for_profile", None), ("no_road_near", None)]
+    assert [(r.status, r.minutes) for r in got] == [("ok", 1.0), ("no_route_within_hops", None), ("no_road_near", None)]
