@@ -106,23 +106,31 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame, size: float = 0.01) -
 def nearest_way(facilities: DataFrame, nodes: DataFrame, ways: DataFrame, refs: DataFrame, radius: float = 60.0, single_points: bool = False) -> DataFrame:
     """Each facility's nearest routable way within radius metres (strictly), ties by way id.
 
-    A segment is sent to every cell that its box, widened by the radius, touches: none is missed between its ends.
+    A segment is sent to every cell that its box, widened by the radius, touches: none is missed between its ends. Cells
+    have several sizes, each four times the one before; a segment takes the smallest of which it spans two at most each
+    way, so it goes to nine cells at most, and a facility lies in one of each size.
     A way with one known point has no segment; with single_points it counts too, by ground distance.
     """
-    size = 0.01
+    levels = range(7)
     w = Window.partitionBy("way_id").orderBy("seq")
     s = refs.join(routable(ways).select("way_id"), "way_id").join(nodes, "node_id")
     s = s.select("way_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2"), (F.count("*").over(Window.partitionBy("way_id")) == 1).alias("single"))
     if single_points:
         s = s.withColumns({"lat2": F.when(F.col("single"), F.col("lat1")).otherwise(F.col("lat2")), "lon2": F.when(F.col("single"), F.col("lon1")).otherwise(F.col("lon2"))})
     s = s.where("lat2 is not null")
-    pad = radius / 80000.0
-    span = lambda a, b: F.sequence(cell(F.least(a, b) - pad, size), cell(F.greatest(a, b) + pad, size))
-    s = s.withColumn("cy", F.explode(span("lat1", "lat2"))).withColumn("cx", F.explode(span("lon1", "lon2")))  # a row at a time: nothing is kept but what meets a facility
-    f = facilities.select("facility_id", "lat", "lon", cell(F.col("lat"), size).alias("cy"), cell(F.col("lon"), size).alias("cx"))
+    pad = {"lat": F.lit(radius / 110000.0)}
+    pad["lon"] = pad["lat"] / F.greatest(F.lit(0.001), F.cos(F.radians(F.greatest(F.abs("lat1"), F.abs("lat2")) + pad["lat"])))
+    size = F.lit(0.01) * F.pow(F.lit(4.0), F.col("level"))
+    wide = F.greatest(F.abs(F.col("lat2") - F.col("lat1")), F.abs(F.col("lon2") - F.col("lon1"))) + 2 * pad["lon"]
+    s = s.withColumn("level", F.coalesce(*[F.when(wide <= 2 * 0.01 * 4.0**k, k) for k in levels], F.lit(levels[-1])))
+    ends = lambda c: (F.least(f"{c}1", f"{c}2") - pad[c], F.greatest(f"{c}1", f"{c}2") + pad[c])
+    span = lambda c: F.sequence(*[cell(x, size) for x in ends(c)])
+    s = s.withColumn("cy", F.explode(span("lat"))).withColumn("cx", F.explode(span("lon")))
+    f = facilities.select("facility_id", "lat", "lon", F.explode(F.array(*map(F.lit, levels))).alias("level"))
+    f = f.withColumn("cy", cell(F.col("lat"), size)).withColumn("cx", cell(F.col("lon"), size))
     d = point_segment_m(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     d = F.when(F.col("single"), haversine_m(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"))).otherwise(d)
-    j = s.join(f, ["cy", "cx"]).withColumn("d", d).where(F.col("d") < radius).withColumn("d", F.round("d", 6))
+    j = s.join(f, ["level", "cy", "cx"]).where(F.col("lat").between(*ends("lat")) & F.col("lon").between(*ends("lon"))).withColumn("d", d).where(F.col("d") < radius).withColumn("d", F.round("d", 6))
     return j.groupBy("facility_id").agg(F.min(F.struct("d", "way_id")).alias("b")).select("facility_id", "b.way_id", F.col("b.d").alias("distance_m"))
 
 

@@ -88,3 +88,33 @@ def test_profiles_and_lists(spark):
     e = spark.createDataFrame([(1, ["no", None], None), (2, ["destination"], "no"), (3, None, None)], "way_id long, access array<string>, hgv string").withColumns({"dist_m": F.lit(100.0), "highway": F.lit("track")})
     got = {(r.way_id, r.profile): round(r.seconds, 6) for r in roadnet.profile_edges(e).collect()}
     assert got == {(2, "car"): 24.0} | {(3, p[0]): 24.0 for p in roadnet.PROFILES}
+
+
+@pytest.mark.parametrize("lat", [0.0, 35.0, 69.5])
+def test_nearest_way_at_any_size_and_latitude(spark, lat):
+    """Segments from metres to degrees against all pairs."""
+    r = random.Random(5)
+    k = math.cos(math.radians(lat))
+    nodes, refs = [], []
+    for w in range(120):
+        a, b, size = lat + r.uniform(-0.02, 0.02), 20 + r.uniform(-0.02, 0.02) / k, 10 ** r.uniform(-4, 0.3)
+        for i in range(2):
+            nodes.append((2 * w + i, a, b))
+            refs.append((w, i, 2 * w + i))
+            a, b = a + r.uniform(-1, 1) * size, b + r.uniform(-1, 1) * size / k
+    f = [(i, lat + r.uniform(-0.02, 0.02), 20 + r.uniform(-0.02, 0.02) / k) for i in range(150)]
+    ways = spark.createDataFrame([(w, "primary") for w in range(120)], "way_id long, highway string")
+    got = {x.facility_id: (x.way_id, x.distance_m) for x in roadnet.nearest_way(spark.createDataFrame(f, "facility_id long, lat double, lon double"), spark.createDataFrame(nodes, "node_id long, lat double, lon double"), ways, spark.createDataFrame(refs, "way_id long, seq int, node_id long")).collect()}
+    want = {}
+    for i, y, x in f:
+        best = []
+        for w in range(120):
+            (_, y1, x1), (_, y2, x2) = nodes[2 * w : 2 * w + 2]
+            c = math.cos(math.radians((y1 + y2) / 2)) * 111320.0
+            dx, dy, px, py = (x2 - x1) * c, (y2 - y1) * 111320.0, (x - x1) * c, (y - y1) * 111320.0
+            t = max(0.0, min(1.0, (px * dx + py * dy) / (dx * dx + dy * dy)))
+            best.append((math.hypot(px - t * dx, py - t * dy), w))
+        d, w = min(best)
+        if d < 60:
+            want[i] = (w, pytest.approx(d, abs=1e-5))
+    assert got == want and len(want) > 10
