@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ def chunks(batches, column: str = "text", most: int = 1 << 18):
 
 def _trim() -> None:
     """Freed memory goes back to the system, where the C library can do that."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -53,8 +55,18 @@ def _trim() -> None:
         pass
 
 
+#: Rows that Spark hands to Python at once: texts are long, and both sides hold a batch and its copy.
+BATCH_ROWS = 1000
+
+
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema), after which the Python worker, which is kept for later tasks, holds no freed memory."""
+    """df.mapInArrow(run, schema), after which the Python worker, which is kept for later tasks, holds no freed memory.
+
+    Where the session has Spark's own 10,000 rows a batch, it gets BATCH_ROWS.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
 
     def held(batches):
         try:
@@ -157,23 +169,27 @@ class HashCache:
         self.keys, self.values = np.insert(self.keys, at, keys), np.insert(self.values, at, values, axis=0)
 
 
-#: Bits of an id filter, and of one row of it.
-FILTER_BITS, ROW_BITS = 23, 32
-
-
 def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A table of 2**23 bits (1 MB, whatever the input) that has every id of the column; other ids may hit by chance."""
-    h = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
-    bit = F.expr(f"shiftleft(1L, cast(pmod(h, {ROW_BITS}) as int))")
-    rows = ids.select(h.alias("h")).groupBy(F.floor(F.col("h") / ROW_BITS).alias("row")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    words = np.zeros((1 << FILTER_BITS) // ROW_BITS, np.uint32)
-    words[rows.column(0).to_numpy()] = rows.column(1).to_numpy().astype(np.uint32)
-    return np.unpackbits(words.astype("<u4").view(np.uint8), bitorder="little").astype(bool)
+    """A bit table as bytes, that has every id of the column; other ids may hit by chance.
+
+    It has 16 bits an id, 128 KB at least and 16 MB at most, whatever the input. Full tables let all rows through, which
+    costs shuffle but changes no result.
+    """
+    table = bit_table(ids, column, least=32).toArrow()
+    rows = table.column("rows")[0].as_py() if table.num_rows else 32
+    out = np.zeros((rows, ROW_OF_BITS // 8), np.uint8)
+    for at, bits in zip(table.column("bucket").to_pylist(), table.column("bits")):
+        out[at] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return out.ravel()
 
 
 def _filtered(docs: DataFrame, hits: np.ndarray) -> tuple[DataFrame, object]:
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(hits))
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("h")), shared
+    shared = docs.sparkSession.sparkContext.broadcast(hits)
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(8 * len(hits))).alias("h")), shared
+
+
+def _hit(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (table[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
 
 
 def without(docs: DataFrame, hits: np.ndarray) -> DataFrame:
@@ -181,9 +197,8 @@ def without(docs: DataFrame, hits: np.ndarray) -> DataFrame:
     rows, shared = _filtered(docs, hits)
 
     def run(batches):
-        table = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            out = batch.filter(pa.array(~table[batch.column(2).to_numpy()]))
+            out = batch.filter(pa.array(~_hit(shared.value, batch.column(2).to_numpy())))
             yield out.select(["doc_id", "text"])
 
     return map_batches(rows, run, "doc_id long, text string")
@@ -194,9 +209,9 @@ def packed(docs: DataFrame, hits: np.ndarray) -> DataFrame:
     rows, shared = _filtered(docs, hits)
 
     def run(batches):
-        codec, table = pa.Codec("zstd", 1), np.unpackbits(shared.value).astype(bool)
+        codec = pa.Codec("zstd", 1)
         for batch in chunks(batches):
-            batch = batch.filter(pa.array(table[batch.column(2).to_numpy()]))
+            batch = batch.filter(pa.array(_hit(shared.value, batch.column(2).to_numpy())))
             data, offsets = bytes_of(batch.column(1))
             blobs = [codec.compress(data[a:b].tobytes(), asbytes=True) if b > a else b"" for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(blobs, pa.binary())], ["doc_id", "size", "z"])
@@ -212,9 +227,9 @@ def unpacked(blob: bytes, size: int) -> bytes:
 ROW_OF_BITS, MOST_ROWS = 1 << 15, 4096
 
 
-def bit_table(ids: DataFrame, column: str) -> DataFrame:
+def bit_table(ids: DataFrame, column: str, least: int = 1) -> DataFrame:
     """(bucket, bits, rows): a bit for the hash of each id, 16 bits an id, never above 16 MB whatever the input; other ids may hit by chance."""
-    rows = min(MOST_ROWS, 1 << max(0, (16 * ids.count() // ROW_OF_BITS).bit_length()))
+    rows = max(least, min(MOST_ROWS, 1 << (16 * ids.count() // ROW_OF_BITS).bit_length()))
     h = F.pmod(F.xxhash64(column), F.lit(rows * ROW_OF_BITS))
     at = ids.select(F.shiftright(h, 15).alias("bucket"), (h % ROW_OF_BITS).alias("bit"))
     return materialize(at.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))).withColumn("rows", F.lit(rows))

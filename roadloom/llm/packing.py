@@ -17,7 +17,6 @@ from roadloom.llm.common import HashCache, Roll, chunks, map_batches, materializ
 #: Code points below this are split with numpy; a text with others goes to the tokenizer whole.
 SIMPLE = 0x250
 LETTER, NUMBER, OTHER, SPACE, EDGE = 1, 2, 3, 4, 9
-_WORKERS: dict = {}
 
 
 def _classes() -> np.ndarray:
@@ -120,18 +119,11 @@ class PieceTokenizer:
         return out
 
 
-def tokenizer(folder: str | None) -> PieceTokenizer:
-    """One per Python worker."""
-    if folder not in _WORKERS:
-        _WORKERS[folder] = PieceTokenizer(folder)
-    return _WORKERS[folder]
-
-
 def cut_pieces(docs: DataFrame, folder: str | None = None, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32[, ids], pid: texts longer than capacity are cut, the first piece is the rest."""
 
     def run(batches):
-        encode, pid = tokenizer(folder), TaskContext.get().partitionId()
+        encode, pid = PieceTokenizer(folder), TaskContext.get().partitionId()  # its tables go with the task
         for batch in chunks(batches, most=1 << 19):
             ids, texts = pick(batch, "doc_id", "text")
             rows: list[tuple] = []
