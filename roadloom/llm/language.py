@@ -48,7 +48,7 @@ class BiGRU:
         s = np.zeros((h, x.shape[1]), table.dtype)
         states, notes = np.empty((len(x), h, x.shape[1]), table.dtype), []
         for t in range(len(x)):
-            a, g = np.take(table, x[t], axis=1), u @ s
+            a, g = np.take(table, x[t], axis=1, mode="clip"), u @ s
             zr = _half_tanh(a[: 2 * h] + g[: 2 * h])
             z, r = zr[:h], zr[h:]
             n = np.tanh(a[2 * h :] + r * g[2 * h :])
@@ -59,6 +59,7 @@ class BiGRU:
 
     def positions(self, x, keep=False):
         """Class probabilities of each position: (T, k, B)."""
+        x = x.astype(np.intp)
         f, fn = self._run(x, "f", keep)
         b, bn = self._run(x[::-1], "b", keep)
         both = np.concatenate([f, b[::-1]], axis=1)
@@ -108,7 +109,7 @@ class BiGRU:
                 self.p[n] = (self.p[n] - lr * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def sums(self, data: np.ndarray, offsets: np.ndarray, most: int = 512) -> np.ndarray:
+    def sums(self, data: np.ndarray, offsets: np.ndarray, most: int = 1024) -> np.ndarray:
         """(texts, classes): probabilities summed over all byte positions of each text.
 
         Every text is read in segments of SEGMENT bytes with CONTEXT bytes on both sides, whatever its length or characters.
@@ -131,15 +132,26 @@ class BiGRU:
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """lang, text, h of at most `rows` labelled rows of every label: those with the smallest hash of doc_id.
 
-    Counts by label and 20 bits of the hash give the bound of each label first, so rows beyond it are never sorted.
+    Counts by label and 10 bits of the hash, and inside the bucket that reaches the bound by 10 more, come first, so rows
+    beyond it are never sorted and no task sees more than 1024 counts of a label.
     """
     labelled = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    b = F.shiftright("h", 44)
-    sizes = labelled.groupBy("lang", b.alias("b")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = sizes.withColumn("before", before).where(F.col("before") < rows).groupBy("lang").agg(F.max("b").alias("last"))
-    last = materialize(last)
-    near = labelled.join(F.broadcast(last) if last.count() <= 10_000 else last, "lang").where(b <= F.col("last"))
+    upto = Window.partitionBy("lang").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+
+    def join(df: DataFrame, by_label: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(by_label) if by_label.count() <= 10_000 else by_label, "lang")
+
+    def bound(counts: DataFrame) -> DataFrame:
+        """(lang, b, base): the last bucket that begins below the bound, and what lies before it."""
+        before = F.col("base") + F.coalesce(F.sum("n").over(upto), F.lit(0))
+        some = counts.withColumn("before", before).where(F.col("before") < rows)
+        return materialize(some.groupBy("lang").agg(F.max(F.struct("b", "before")).alias("m")).select("lang", "m.b", F.col("m.before").alias("base")))
+
+    high, fine = F.shiftright("h", 54), F.shiftright("h", 44)
+    first = bound(labelled.groupBy("lang", high.alias("b")).agg(F.count("*").alias("n")).withColumn("base", F.lit(0).cast("long")))
+    inside = join(labelled.select("lang", "h"), first.withColumnRenamed("b", "edge")).where(high == F.col("edge"))
+    last = bound(inside.groupBy("lang", fine.alias("b"), "base").agg(F.count("*").alias("n")))
+    near = join(labelled, last.select("lang", "b")).where(fine <= F.col("b"))
     return near.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("i") <= rows).select("lang", "text", "h")
 
 
@@ -191,7 +203,7 @@ def predict(docs: DataFrame, model: BiGRU | None, keep: bool = False) -> DataFra
         classes, weights = shared.value
         net = BiGRU(classes, weights["uf"].shape[1])
         net.p = weights
-        for batch in chunks(batches, most=1 << 17):
+        for batch in chunks(batches, most=1 << 18):
             texts = batch.column(batch.schema.get_field_index("text"))
             data, offsets = bytes_of(texts)
             pooled = net.sums(data, offsets) / np.maximum(1, np.diff(offsets))[:, None]
