@@ -119,7 +119,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 3, min_words: int = _WORDS) ->
     gone = removed_lines(docs, min_lines, min_words).groupBy(*DOC).agg(F.sort_array(F.collect_list("line")).alias("gone"))
     gone = materialize(gone.withColumnRenamed("doc_id", "id"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("sig"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("sig"))
     rows = with_hits(rows, bit_table(gone, "id"), "id")
     some = rows.where("hit__").join(gone, ["id", "sig"], "left").select("row", "gone")
     out = rows.where("not hit__").select("row", F.lit(None).cast("array<int>").alias("gone")).unionByName(some)

@@ -77,12 +77,16 @@ def _marks(sized: DataFrame, weights, share: float, cap: float) -> DataFrame:
 
 
 def with_copies(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, salt: int = 0) -> DataFrame:
-    """All columns of docs and __copies, how often the mix takes the row (0, 1 or 2). Texts are not moved: only the
-    small table of sources is joined."""
+    """All columns of docs and __copies (one of that name is replaced), how often the mix takes the row (0, 1 or 2).
+
+    Texts are not moved: only the small table of sources is joined. Nulls and repeated rows are as in mix_sources.
+    """
     sized = materialize(docs.select("source", word_count("text").alias("size"), place(salt).alias("h")))
-    marks = _marks(sized, weights, share, cap).select(F.col("source").alias("__source"), F.col("rounds").alias("__rounds"), F.col("below").alias("__below"))
-    joined = docs.join(marks, docs["source"].eqNullSafe(marks["__source"]))
-    return joined.withColumn("__copies", (F.col("__rounds") + (place(salt) < F.col("__below")).cast("long")).cast("int")).drop("__source", "__rounds", "__below")
+    marks = _marks(sized, weights, share, cap).select(F.col("source").alias("s"), "rounds", "below")
+    names = [c for c in docs.columns if c != "__copies"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").alias("key"), place(salt).alias("h"))
+    copies = (F.col("rounds") + (F.col("h") < F.col("below")).cast("long")).cast("int").alias("__copies")
+    return rows.join(marks, F.col("key").eqNullSafe(F.col("s"))).select(*[F.col(f"row.`{c}`").alias(c) for c in names], copies)
 
 
 def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, salt: int = 0) -> DataFrame:

@@ -162,7 +162,7 @@ def test_guess_cost_is_the_cheapest_cut():
 
         del best
         want = min(c + np.log10(float(np.prod(range(1, k + 1)))) for c, k, _ in cuts(0))
-        assert cost(s) == pytest.approx(want, abs=0.35)
+        assert cost(s) == pytest.approx(want, abs=1e-6)
 
 
 def test_edited(docs):
