@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,7 +47,7 @@ def add_signatures(df: DataFrame, text: Column, name: str) -> DataFrame:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two signature sets, 0 without looking where the sizes alone rule out any."""
+    """Jaccard similarity of two signature sets."""
     both = F.size(F.array_intersect(a, b))
     return F.when(a == b, F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both)).cast("double")
 
@@ -110,8 +111,10 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(a, b, likeness) of class representatives a < b with likeness >= least, compared through pruned Jaccard.
 
-    Equal signature sets are one class (its smallest doc_id). Each set sends its rarest n - ceil(least * n) + 1
-    signatures, with its length; sets meet on a signature only where the shorter has at least least * the longer's length.
+    Equal signature sets are one class (its smallest doc_id). Sets are partitioned by length, each partition reaching from
+    a length to that length / least: two sets so alike lie in one partition or in neighbours, so a set goes to its own and,
+    as a guest, to the next one. There it sends its rarest n - ceil(least * n) + 1 signatures; sets meet on a signature of
+    one partition where the shorter has at least least * the longer's length, and guests don't meet each other.
     """
     full = add_signatures(docs.where("doc_id is not null").select("doc_id", "text"), F.coalesce("text", F.lit("")), "sigs")
     sets = materialize(full.groupBy("sigs").agg(F.min("doc_id").alias("doc_id")))
@@ -119,10 +122,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     parts = sets.select("doc_id", "n", F.explode("sigs").alias("sig"))
     seen = parts.groupBy("sig").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "sig"))
+    partition = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(least)) + 1e-9).cast("int")
     heads = materialize(parts.join(seen.where("df > 1"), "sig", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("rank", rank).where(
-        (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & (F.col("df") > 1)).select("doc_id", "n", "sig"))
-    a, b = heads.alias("a"), heads.alias("b")
-    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - 1e-9)).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
+        (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & (F.col("df") > 1)).select("doc_id", "n", "sig", partition.alias("own")))
+    a = heads.withColumn("part", F.explode(F.array("own", F.col("own") + 1))).alias("a")
+    b = heads.withColumn("part", F.col("own")).alias("b")
+    near = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.part") == F.col("b.part")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - 1e-9)
+    once = (F.col("a.own") < F.col("b.own")) | (F.col("a.own") == F.col("b.own")) & (F.col("a.doc_id") < F.col("b.doc_id"))
+    pairs = a.join(b, near & once).select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")).distinct()
     full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("sigs").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("sigs").alias("sb")), "b")
     return full.select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= least)
 
