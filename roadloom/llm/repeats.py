@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import Roll, bytes_of, chunks, id_filter, map_batches, materialize, mix, packed, pick, unpacked, without
+from roadloom.llm.common import Roll, bytes_of, chunks, id_filter, join_counted, map_batches, materialize, mix, packed, unpacked, without
 
 #: Bytes of an anchor string.
 GRAM = 100
@@ -118,16 +118,22 @@ def _ask(docs: DataFrame, requests: DataFrame, run, schema: str, most: int = 1 <
 
 
 def repeated_windows(docs: DataFrame, length: int = 400, block: int = 16) -> DataFrame:
-    """(doc_id, lo, hi): ranges of byte places where strings of `length` bytes start that also start anywhere else."""
+    """(doc_id, lo, hi): ranges of byte places where strings of `length` bytes start that also start anywhere else.
+
+    length must be above GRAM, the bytes of an anchor. Keys that very many ranges share meet their counts by broadcast.
+    """
+    if length <= GRAM:
+        raise ValueError(f"length must be above {GRAM}")
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(_anchor_rows(docs, length))
-    often = rows.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    some = materialize(rows.join(often, "anchor", "left_semi"))
+    often = materialize(rows.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"))
+    some = materialize(join_counted(rows, often, ["anchor"], "c").drop("c"))
     groups = materialize(some.groupBy("anchor", "span").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "first", "last", "p")).alias("one")))
-    whole = some.join(groups.where("c > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("doc_id", F.col("first").alias("lo"), F.col("last").alias("hi"))
+    several = groups.where("c > 1").select("anchor", "span", "c")
+    whole = join_counted(some, several, ["anchor", "span"], "c").select("doc_id", F.col("first").alias("lo"), F.col("last").alias("hi"))
 
-    split = groups.groupBy("anchor").agg(F.min("c").alias("least"), F.count("*").alias("n")).where("least = 1 and n > 1").select("anchor")
-    asks = groups.join(split, "anchor", "left_semi").select("one.doc_id", F.struct(F.col("one.first").alias("lo"), F.col("one.last").alias("hi"), "one.p", F.least("c", F.lit(2)).alias("c")).alias("ask"))
+    split = materialize(groups.groupBy("anchor").agg(F.min("c").alias("least"), F.count("*").alias("n")).where("least = 1 and n > 1").select("anchor", "n"))
+    asks = join_counted(groups, split, ["anchor"], "n").select("one.doc_id", F.struct(F.col("one.first").alias("lo"), F.col("one.last").alias("hi"), "one.p", F.least("c", F.lit(2)).alias("c")).alias("ask"))
 
     def cut(roll, sums, ask):
         first, last, p, c = (ask[n] for n in ("lo", "hi", "p", "c"))
@@ -143,11 +149,12 @@ def repeated_windows(docs: DataFrame, length: int = 400, block: int = 16) -> Dat
         return lo.astype(np.int32), hi.astype(np.int32), core.view(np.int64), union.view(np.int64), c[i]
 
     cuts = materialize(_ask(docs, asks, cut, "doc_id long, lo int, hi int, core long, union_ long, c long"))
-    unions = materialize(cuts.groupBy("core", "union_").agg(F.sum("c").alias("c"), F.min(F.struct("doc_id", "lo", "hi")).alias("one")))
-    blocks = cuts.where("c = 1").join(unions.where("c > 1").select("core", "union_"), ["core", "union_"], "left_semi").select("doc_id", "lo", "hi")
+    unions = materialize(cuts.groupBy("core", "union_").agg(F.sum("c").alias("c"), F.count("*").alias("n"), F.min(F.struct("doc_id", "lo", "hi")).alias("one")))
+    several = unions.where("c > 1").select("core", "union_", "n")
+    blocks = join_counted(cuts, several, ["core", "union_"], "n").where("c = 1").select("doc_id", "lo", "hi")
 
-    split = unions.groupBy("core").agg(F.min("c").alias("least"), F.count("*").alias("n")).where("least = 1 and n > 1").select("core")
-    asks = unions.join(split, "core", "left_semi").select("one.doc_id", F.struct("one.lo", "one.hi", F.least("c", F.lit(2)).alias("c")).alias("ask"))
+    split = materialize(unions.groupBy("core").agg(F.min("c").alias("least"), F.count("*").alias("n_")).where("least = 1 and n_ > 1").select("core", "n_"))
+    asks = join_counted(unions, split, ["core"], "n_").select("one.doc_id", F.struct("one.lo", "one.hi", F.least("c", F.lit(2)).alias("c")).alias("ask"))
 
     def windows(roll, sums, ask):
         lo, hi, c = (ask[n] for n in ("lo", "hi", "c"))
@@ -157,8 +164,8 @@ def repeated_windows(docs: DataFrame, length: int = 400, block: int = 16) -> Dat
         return at.astype(np.int32), roll.spans(sums, at, at + length).view(np.int64), c[i]
 
     single = materialize(_ask(docs, asks, windows, "doc_id long, at int, key long, c long"))
-    twice = single.groupBy("key").agg(F.sum("c").alias("n")).where("n > 1").select("key")
-    ones = single.where("c = 1").join(twice, "key", "left_semi").select("doc_id", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    twice = materialize(single.groupBy("key").agg(F.sum("c").alias("all"), F.count("*").alias("n")).where("all > 1").select("key", "n"))
+    ones = join_counted(single, twice, ["key"], "n").where("c = 1").select("doc_id", F.col("at").alias("lo"), F.col("at").alias("hi"))
     return whole.union(blocks).union(ones)
 
 
