@@ -229,7 +229,8 @@ ROW_OF_BITS, MOST_ROWS = 1 << 15, 4096
 
 def bit_table(ids: DataFrame, column: str, least: int = 1) -> DataFrame:
     """(bucket, bits, rows): a bit for the hash of each id, 16 bits an id, never above 16 MB whatever the input; other ids may hit by chance."""
-    rows = max(least, min(MOST_ROWS, 1 << (16 * ids.count() // ROW_OF_BITS).bit_length()))
+    n = ids.agg(F.approx_count_distinct(column)).first()[0]
+    rows = max(least, min(MOST_ROWS, 1 << (16 * n // ROW_OF_BITS).bit_length()))
     h = F.pmod(F.xxhash64(column), F.lit(rows * ROW_OF_BITS))
     at = ids.select(F.shiftright(h, 15).alias("bucket"), (h % ROW_OF_BITS).alias("bit"))
     return materialize(at.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))).withColumn("rows", F.lit(rows))
