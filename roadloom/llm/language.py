@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from roadloom.llm.common import bytes_of, chunks, map_batches, materialize, pick
 
-#: Bounds of the training sample: rows of each label, and places drawn from each row (anywhere in the whole text).
+#: Bounds of the training sample: rows of each label, and the windows drawn from a row on the average (in proportion to its length).
 SAMPLE_ROWS, DRAWS = 400, 24
 #: Bytes that the network labels at a time, and bytes that it reads before and behind them.
 SEGMENT, CONTEXT = 240, 16
 #: Bytes of a training window.
 TRAINED = 48
+#: Segments that are read side by side. Blocks are always this wide, so that sums are added up in the same way whatever
+#: stands beside a text.
+BLOCK = 256
 
 
 def _half_tanh(x):
@@ -25,10 +28,16 @@ def _half_tanh(x):
     return x
 
 
+def _times(u, s):
+    """u @ s with columns that don't depend on their place, as those of a BLAS product do in the last bit."""
+    return np.einsum("ij,jb->ib", u, s)
+
+
 class BiGRU:
     """Reads bytes both ways, across spaces; every byte position gets class probabilities from both states.
 
-    Arrays are (features, batch), so that each step works on whole rows. Byte 0 stands outside a text.
+    Arrays are (features, batch), so that each step works on whole rows. Outside a text the state does not move, so
+    what stands beside a text in a block, or pads it, has no effect on its probabilities.
     """
 
     def __init__(self, classes: list[str], hidden: int = 8, seed: int = 0):
@@ -41,37 +50,39 @@ class BiGRU:
         self.p |= {"o": r.normal(0, 0.3, (k, 2 * h)), "ob": np.zeros((k, 1))}
         self.p = {n: v.astype(np.float32) for n, v in self.p.items()}
 
-    def _run(self, x, d, keep):
-        """x: (T, B) bytes in reading order. States (T, h, B), and what the way back needs."""
+    def _run(self, x, inside, d, keep):
+        """x, inside: (T, B) bytes in reading order and whether they are text. States (T, h, B), and what the way back needs."""
         h, u = self.h, self.p[f"u{d}"]
         table = self.p[f"x{d}"] + self.p[f"c{d}"]
         s = np.zeros((h, x.shape[1]), table.dtype)
-        states, notes = np.empty((len(x), h, x.shape[1]), table.dtype), []
+        states, notes, whole = np.empty((len(x), h, x.shape[1]), table.dtype), [], inside.all(1)
         for t in range(len(x)):
-            a, g = np.take(table, x[t], axis=1, mode="clip"), u @ s
+            a, g = np.take(table, x[t], axis=1, mode="clip"), _times(u, s)
             zr = _half_tanh(a[: 2 * h] + g[: 2 * h])
             z, r = zr[:h], zr[h:]
             n = np.tanh(a[2 * h :] + r * g[2 * h :])
             if keep:
                 notes.append((s, z, r, n, g[2 * h :]))
-            s = np.add(n, z * (s - n), out=states[t])
+            new = n + z * (s - n)
+            states[t] = new if whole[t] else np.where(inside[t], new, s)
+            s = states[t]
         return states, notes
 
-    def positions(self, x, keep=False):
+    def positions(self, x, inside, keep=False):
         """Class probabilities of each position: (T, k, B)."""
         x = x.astype(np.intp)
-        f, fn = self._run(x, "f", keep)
-        b, bn = self._run(x[::-1], "b", keep)
+        f, fn = self._run(x, inside, "f", keep)
+        b, bn = self._run(x[::-1], inside[::-1], "b", keep)
         both = np.concatenate([f, b[::-1]], axis=1)
-        logit = self.p["o"] @ both + self.p["ob"]
+        logit = np.einsum("kj,tjb->tkb", self.p["o"], both) + self.p["ob"]
         logit -= logit.max(axis=1, keepdims=True)
         prob = np.exp(logit, out=logit)
         prob /= prob.sum(axis=1, keepdims=True)
         return (prob, both, fn, bn) if keep else prob
 
     def gradients(self, x, mask, y):
-        """Backpropagation through time of the mean cross-entropy over the positions of mask (T, B)."""
-        prob, both, fn, bn = self.positions(x, keep=True)
+        """Backpropagation through time of the mean cross-entropy over the positions of mask (T, B), which are the text."""
+        prob, both, fn, bn = self.positions(x, mask, keep=True)
         h, n, cols = self.h, mask.sum(), np.arange(len(y))
         loss = -np.log(prob[:, y, cols] + 1e-9)[mask].sum() / n
         d = prob.copy()
@@ -79,12 +90,13 @@ class BiGRU:
         d *= mask[:, None, :] / np.float32(n)
         g = {"o": np.einsum("tkb,tjb->kj", d, both, optimize=True), "ob": d.sum((0, 2))[:, None]}
         ds = self.p["o"].T @ d
-        for way, notes, xs, out in (("f", fn, x, ds[:, :h]), ("b", bn, x[::-1], ds[::-1, h:])):
+        for way, notes, xs, own, out in (("f", fn, x, mask, ds[:, :h]), ("b", bn, x[::-1], mask[::-1], ds[::-1, h:])):
             gx, gu, u = np.zeros((256, 3 * h), np.float32), np.zeros_like(self.p[f"u{way}"]), self.p[f"u{way}"]
             carry = np.zeros((h, x.shape[1]), np.float32)
             for t in range(len(xs) - 1, -1, -1):
                 s, z, r, c, gn = notes[t]
-                dh = out[t] + carry
+                all_ = out[t] + carry
+                dh = np.where(own[t], all_, np.float32(0))
                 dn = dh * (1 - z) * (1 - c * c)
                 dz = dh * (s - c) * z * (1 - z)
                 dr = dn * gn * r * (1 - r)
@@ -92,7 +104,7 @@ class BiGRU:
                 rec = np.concatenate([dz, dr, dn * r])
                 np.add.at(gx, xs[t], pre.T)
                 gu += rec @ s.T
-                carry = dh * z + u.T @ rec
+                carry = np.where(own[t], dh * z + u.T @ rec, all_)
             g |= {f"x{way}": gx.T, f"u{way}": gu, f"c{way}": gx.sum(0)[:, None]}
         return loss, g
 
@@ -109,23 +121,28 @@ class BiGRU:
                 self.p[n] = (self.p[n] - lr * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def sums(self, data: np.ndarray, offsets: np.ndarray, most: int = 1024) -> np.ndarray:
+    def sums(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(texts, classes): probabilities summed over all byte positions of each text.
 
-        Every text is read in segments of SEGMENT bytes with CONTEXT bytes on both sides, whatever its length or characters.
+        Every text is read in segments of SEGMENT bytes with CONTEXT bytes of it on both sides, whatever its length or
+        characters. The sums of a text are the same, bit by bit, alone or among others: segments stand in blocks of one
+        width, states outside the text don't move, and places are added one after the other.
         """
         size = np.diff(offsets)
         many = -(-size // SEGMENT)
         doc = np.repeat(np.arange(len(size)), many)
         start = offsets[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * SEGMENT
         out = np.zeros((len(size), len(self.classes)))
-        for a in range(0, len(doc), most):
-            own, first, last = start[a : a + most], offsets[doc[a : a + most]], offsets[doc[a : a + most] + 1]
+        for a in range(0, len(doc), BLOCK):
+            own, first, last = np.zeros((3, BLOCK), np.int64)
+            n = len(start[a : a + BLOCK])
+            own[:n], first[:n], last[:n] = start[a : a + BLOCK], offsets[doc[a : a + BLOCK]], offsets[doc[a : a + BLOCK] + 1]
             place = own[None, :] + np.arange(-CONTEXT, min(SEGMENT, int((last - own).max())) + CONTEXT)[:, None]
             inside = (place >= first) & (place < last)
             x = np.where(inside, data[np.clip(place, 0, len(data) - 1)], 0)
-            inside[:CONTEXT] = inside[CONTEXT + SEGMENT :] = False
-            np.add.at(out, doc[a : a + most], np.einsum("tkb,tb->bk", self.positions(x), inside.astype(np.float32)))
+            prob = self.positions(x, inside)[CONTEXT : CONTEXT + SEGMENT]
+            pooled = (prob * inside[CONTEXT : CONTEXT + SEGMENT, None, :]).sum(0)
+            np.add.at(out, doc[a : a + BLOCK], pooled.T[:n])
         return out
 
 
@@ -158,20 +175,23 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, draws: int = DRAWS, steps: int = 300, hidden: int = 8) -> BiGRU | None:
     """Fit on at most `rows` labelled rows of every label; None without labels.
 
-    Each step needs windows at random places: they are drawn where the rows lie, `draws` from each, anywhere in the whole
-    text, so the driver gets rows * draws windows of TRAINED bytes for a label.
+    Each step needs windows at random places: they are drawn where the rows lie, anywhere in the whole texts, as many
+    from a text as its share of all bytes of its label, so every byte is as likely to be read as any other. The driver
+    gets (draws + 1) * rows windows of TRAINED bytes for a label at most; a model grows with its labels.
     """
 
     def draw(batches):
         for batch in chunks(batches):
             data, offsets = bytes_of(batch.column(batch.schema.get_field_index("text")))
             picked = []
-            for a, b, h in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(batch.schema.get_field_index("h")).to_pylist()):
-                at = np.random.default_rng(h % 2**63).integers(a, max(a, b - TRAINED) + 1, draws if b > a else 0)
+            for a, b, h, rate in zip(offsets[:-1].tolist(), offsets[1:].tolist(), *(c.to_pylist() for c in pick(batch, "h", "rate"))):
+                at = np.random.default_rng(h % 2**63).integers(a, max(a, b - TRAINED) + 1, int(np.ceil((b - a) * rate)))
                 picked.append([data[i : min(b, i + TRAINED)].tobytes() for i in at.tolist()])
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("lang")), pa.array(picked, pa.list_(pa.binary()))], ["lang", "windows"])
 
-    got = map_batches(sample(docs, rows), draw, "lang string, windows array<binary>").collect()
+    some = materialize(sample(docs, rows))
+    rates = some.groupBy("lang").agg((F.count("*") * draws / F.greatest(F.lit(1), F.sum(F.octet_length("text")))).alias("rate"))
+    got = map_batches(some.join(rates, "lang"), draw, "lang string, windows array<binary>").collect()
     classes = sorted({r.lang for r in got})
     if not classes:
         return None
