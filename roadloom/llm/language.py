@@ -17,7 +17,7 @@ SEGMENT, CONTEXT = 240, 16
 TRAINED = 48
 #: Segments that are read side by side. Blocks are always this wide, so that sums are added up in the same way whatever
 #: stands beside a text.
-BLOCK = 256
+BLOCK = 512
 
 
 def _half_tanh(x):
@@ -132,6 +132,9 @@ class BiGRU:
         many = -(-size // SEGMENT)
         doc = np.repeat(np.arange(len(size)), many)
         start = offsets[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * SEGMENT
+        # whole segments first, then the last ones of texts by length: a text's own stay in order, and short ones stand together
+        order = np.argsort(-np.minimum(SEGMENT, offsets[doc + 1] - start), kind="stable")
+        doc, start = doc[order], start[order]
         out = np.zeros((len(size), len(self.classes)))
         for a in range(0, len(doc), BLOCK):
             own, first, last = np.zeros((3, BLOCK), np.int64)
@@ -223,7 +226,7 @@ def predict(docs: DataFrame, model: BiGRU | None, keep: bool = False) -> DataFra
         classes, weights = shared.value
         net = BiGRU(classes, weights["uf"].shape[1])
         net.p = weights
-        for batch in chunks(batches, most=1 << 18):
+        for batch in chunks(batches, most=1 << 20):
             texts = batch.column(batch.schema.get_field_index("text"))
             data, offsets = bytes_of(texts)
             pooled = net.sums(data, offsets) / np.maximum(1, np.diff(offsets))[:, None]
