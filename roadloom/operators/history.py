@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.functions.geo import EARTH_M, cell, haversine_m, point_segment_m
+from roadloom.functions.geo import DEGREE_M, EARTH_M, cell, haversine_m, point_segment_m
 
 
 #: Of approximate percentiles: ranks are right within one in so many rows, and a summary holds about as many numbers.
@@ -76,10 +76,33 @@ def line_distance_m(lat: Column, lng: Column, line: str = "line") -> Column:
     return F.array_min(F.transform(F.sequence(F.lit(1), F.size(line) - 1), leg))
 
 
+def route_segments(points: DataFrame) -> DataFrame:
+    """(trip_id, route_id, at_lat, at_lng, k, dx, dy, size): the segments of each route in flat metres around their middle latitude."""
+    key = ["trip_id", *[c for c in ("route_id",) if c in points.columns]]
+    w = Window.partitionBy(*key).orderBy("seq")
+    s = points.select(*key, F.col("lat").alias("at_lat"), F.col("lng").alias("at_lng"), F.lead("lat").over(w).alias("lat2"), F.lead("lng").over(w).alias("lng2"), F.lead("seq").over(w).alias("next"))
+    s = s.where("next is not null").withColumn("k", F.cos(F.radians((F.col("at_lat") + F.col("lat2")) / 2)) * DEGREE_M)
+    s = s.withColumns({"dx": (F.col("lng2") - F.col("at_lng")) * F.col("k"), "dy": (F.col("lat2") - F.col("at_lat")) * DEGREE_M})
+    return s.select(*key, "at_lat", "at_lng", "k", "dx", "dy", (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("size"))
+
+
+def _off_route(rows: DataFrame, segments: DataFrame, on: list[str]) -> DataFrame:
+    """rows (lat, lng, ..) with distance_m to the nearest segment of their route.
+
+    A row meets each segment once, in compiled code, and the least square is taken where the join has put it: rows are
+    dealt out by `on`, and the aggregate by row needs no exchange of its own.
+    """
+    px, py = (F.col("lng") - F.col("at_lng")) * F.col("k"), (F.col("lat") - F.col("at_lat")) * DEGREE_M
+    t = F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * F.col("dx") + py * F.col("dy")) / F.col("size")))).otherwise(0.0)
+    names = [*rows.columns, *[c for c in segments.columns if c == "route_id" and c not in rows.columns]]
+    j = rows.withColumn("row__", F.monotonically_increasing_id()).join(segments, on).withColumns({"px": px, "py": py}).withColumn("t", t)
+    square = F.pow(F.col("px") - F.col("t") * F.col("dx"), 2) + F.pow(F.col("py") - F.col("t") * F.col("dy"), 2)
+    return j.groupBy("row__", *names).agg(F.sqrt(F.min(square)).alias("distance_m")).drop("row__")
+
+
 def measured(positions: DataFrame, routes: DataFrame) -> DataFrame:
     """Positions with metres to the current route of their trip: one join on the trip, nothing is dealt out again by position."""
-    joined = positions.join(route_lines(routes.where("is_current")), "trip_id")
-    return joined.withColumn("distance_m", line_distance_m(F.col("lat"), F.col("lng"))).drop("line")
+    return _off_route(positions, route_segments(routes.where("is_current")), ["trip_id"])
 
 
 def measured_on(requests: DataFrame, positions: DataFrame, routes: DataFrame) -> DataFrame:
@@ -88,8 +111,8 @@ def measured_on(requests: DataFrame, positions: DataFrame, routes: DataFrame) ->
     A request gives a row only if the position is of that vehicle and trip, the route of that trip, and it has a line.
     """
     p = positions.select("position_id", "vehicle_id", "trip_id", "lat", "lng")
-    j = requests.join(p, ["position_id", "vehicle_id", "trip_id"]).join(route_lines(routes), ["trip_id", "route_id"])
-    return j.select(*requests.columns, line_distance_m(F.col("lat"), F.col("lng")).alias("distance_m"))
+    j = requests.join(p, ["position_id", "vehicle_id", "trip_id"])
+    return _off_route(j, route_segments(routes), ["trip_id", "route_id"]).select(*requests.columns, "distance_m")
 
 
 def deviations(positions: DataFrame, routes: DataFrame, threshold: float) -> DataFrame:

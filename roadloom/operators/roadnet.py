@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.functions.geo import cell, haversine_m, point_segment_m
+from roadloom.functions.geo import DEGREE_M, cell, haversine_m, point_segment_m
 from roadloom.functions.media import limit_tags, tag_is
 from roadloom.functions.scalars import BASE_KMH, base_speed, limit_tag
-from roadloom.sources.scratch import materialize
+from roadloom.operators.overlay import Overlay
+from roadloom.sources.scratch import discard, materialize
 
 #: Vehicle profiles with height m, width m, weight t, top km/h, length m; the car has no limits.
 PROFILES = (
@@ -103,34 +104,46 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame, size: float = 0.01) -
     return p.join(v, ["cy", "cx"]).groupBy("point_id").agg(F.min(F.struct(F.round(d2, 12).alias("d2"), "node_id")).alias("b")).select("point_id", "b.node_id")
 
 
-def nearest_way(facilities: DataFrame, nodes: DataFrame, ways: DataFrame, refs: DataFrame, radius: float = 60.0, single_points: bool = False) -> DataFrame:
+def crossed_cells(segments: DataFrame, size: float) -> DataFrame:
+    """segments (lat1, lon1, lat2, lon2, pad_lat, pad_lon, ..) once for every cell (cy, cx) within the pads of their line.
+
+    Row by row of cells: the part of the line inside the row, widened, gives its columns, so a segment goes to about as many
+    cells as it is long, not as its box has.
+    """
+    low, high = F.least("lat1", "lat2") - F.col("pad_lat"), F.greatest("lat1", "lat2") + F.col("pad_lat")
+    s = segments.withColumn("cy", F.explode(F.sequence(cell(low, size), cell(high, size))))
+    share = lambda edge, flat: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge - F.col("lat1")) / F.nullif(F.col("lat2") - F.col("lat1"), F.lit(0.0)))), F.lit(flat))
+    a = F.col("lon1") + share(F.col("cy") * size - F.col("pad_lat"), 0.0) * (F.col("lon2") - F.col("lon1"))
+    b = F.col("lon1") + share((F.col("cy") + 1) * size + F.col("pad_lat"), 1.0) * (F.col("lon2") - F.col("lon1"))
+    s = s.withColumns({"from__": cell(F.least(a, b) - F.col("pad_lon"), size), "to__": cell(F.greatest(a, b) + F.col("pad_lon"), size)})
+    return s.withColumn("cx", F.explode(F.sequence("from__", "to__"))).drop("from__", "to__")
+
+
+def nearest_way(facilities: DataFrame, nodes: DataFrame, ways: DataFrame, refs: DataFrame, radius: float = 60.0, single_points: bool = False, size: float = 0.005) -> DataFrame:
     """Each facility's nearest routable way within radius metres (strictly), ties by way id.
 
-    A segment is sent to every cell that its box, widened by the radius, touches: none is missed between its ends. Cells
-    have several sizes, each four times the one before; a segment takes the smallest of which it spans two at most each
-    way, so it goes to nine cells at most, and a facility lies in one of each size.
+    A segment is sent to the cells that its line, widened by the radius, crosses: none is missed between its ends. Cells
+    without a facility are dropped by the join with the facilities' cells, which Spark broadcasts where they are few.
     A way with one known point has no segment; with single_points it counts too, by ground distance.
     """
-    levels = range(7)
     w = Window.partitionBy("way_id").orderBy("seq")
     s = refs.join(routable(ways).select("way_id"), "way_id").join(nodes, "node_id")
     s = s.select("way_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2"), (F.count("*").over(Window.partitionBy("way_id")) == 1).alias("single"))
     if single_points:
         s = s.withColumns({"lat2": F.when(F.col("single"), F.col("lat1")).otherwise(F.col("lat2")), "lon2": F.when(F.col("single"), F.col("lon1")).otherwise(F.col("lon2"))})
-    s = s.where("lat2 is not null")
-    pad = {"lat": F.lit(radius / 110000.0)}
-    pad["lon"] = pad["lat"] / F.greatest(F.lit(0.001), F.cos(F.radians(F.greatest(F.abs("lat1"), F.abs("lat2")) + pad["lat"])))
-    size = F.lit(0.01) * F.pow(F.lit(4.0), F.col("level"))
-    wide = F.greatest(F.abs(F.col("lat2") - F.col("lat1")), F.abs(F.col("lon2") - F.col("lon1"))) + 2 * pad["lon"]
-    s = s.withColumn("level", F.coalesce(*[F.when(wide <= 2 * 0.01 * 4.0**k, k) for k in levels], F.lit(levels[-1])))
-    ends = lambda c: (F.least(f"{c}1", f"{c}2") - pad[c], F.greatest(f"{c}1", f"{c}2") + pad[c])
-    span = lambda c: F.sequence(*[cell(x, size) for x in ends(c)])
-    s = s.withColumn("cy", F.explode(span("lat"))).withColumn("cx", F.explode(span("lon")))
-    f = facilities.select("facility_id", "lat", "lon", F.explode(F.array(*map(F.lit, levels))).alias("level"))
-    f = f.withColumn("cy", cell(F.col("lat"), size)).withColumn("cx", cell(F.col("lon"), size))
+    pad = F.lit(radius / 110000.0)
+    wide = pad / F.greatest(F.lit(0.001), F.cos(F.radians(F.greatest(F.abs("lat1"), F.abs("lat2")) + pad)))
+    s = s.where("lat2 is not null").withColumns({"pad_lat": pad, "pad_lon": wide, "k": F.cos(F.radians((F.col("lat1") + F.col("lat2")) / 2)) * DEGREE_M})
+    f = facilities.select("facility_id", "lat", "lon", cell(F.col("lat"), size).alias("cy"), cell(F.col("lon"), size).alias("cx"))
+    j = crossed_cells(s, size).join(f, ["cy", "cx"])
+    dx, dy = (F.col("lon2") - F.col("lon1")) * F.col("k"), (F.col("lat2") - F.col("lat1")) * DEGREE_M
+    px, py = (F.col("lon") - F.col("lon1")) * F.col("k"), (F.col("lat") - F.col("lat1")) * DEGREE_M
+    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))), F.lit(0.0))
+    square = (px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy)
+    j = j.where(square < (1.01 * radius + 1) ** 2)  # few are left for the rest
     d = point_segment_m(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     d = F.when(F.col("single"), haversine_m(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"))).otherwise(d)
-    j = s.join(f, ["level", "cy", "cx"]).where(F.col("lat").between(*ends("lat")) & F.col("lon").between(*ends("lon"))).withColumn("d", d).where(F.col("d") < radius).withColumn("d", F.round("d", 6))
+    j = j.withColumn("d", d).where(F.col("d") < radius).withColumn("d", F.round("d", 6))
     return j.groupBy("facility_id").agg(F.min(F.struct("d", "way_id")).alias("b")).select("facility_id", "b.way_id", F.col("b.d").alias("distance_m"))
 
 
@@ -138,7 +151,8 @@ def shortest_routes(sources: DataFrame, edges: DataFrame, by: tuple[str, ...] =
     """(by.., source, node, seconds, dist_m) of the cheapest path of any number of edges; with ways also its way ids.
 
     Each round joins the improved states only, until none improves, so the optimum is exact. With bans (from_way, via_node,
-    to_way) the state has the last way too, as in shortest_paths. by: columns of sources, edges and goals that are kept apart,
+    to_way) the state has the last way too, as in shortest_paths. Rounds are as many as the edges of the longest best path: for
+    networks without places; with places overlay.Overlay needs a round for each cell that is crossed. by: columns of sources, edges and goals that are kept apart,
     as a profile. most_s leaves out dearer paths. With goals (by.., source, node) only these rows are exact and come back:
     states dearer than the dearest goal of their source are not followed, which loses no goal as no edge has negative seconds.
     """
@@ -165,8 +179,9 @@ def shortest_routes(sources: DataFrame, edges: DataFrame, by: tuple[str, ...] =
         if most_s is not None:
             step = step.where(F.col("n.seconds") <= most_s)
         j = best.join(step.groupBy(*state).agg(F.min("n").alias("n")), state, "full_outer")
-        better = F.col("n").isNotNull() & (F.col("m").isNull() | (F.col("n") < F.col("m")))
+        before, better = best, F.col("n").isNotNull() & (F.col("m").isNull() | (F.col("n") < F.col("m")))
         best = materialize(j.select(*state, F.when(better, F.col("n")).otherwise(F.col("m")).alias("m"), better.alias("new")))
+        discard(before)
         front = best.where("new").drop("new")
         if goals is not None:
             reached = best.groupBy(*on, "source", "node").agg(F.min("m.seconds").alias("s"))
@@ -324,20 +339,31 @@ def route_requests(requests: DataFrame, vertices: DataFrame, edges: DataFrame, m
     return route_snapped(snap_requests(requests, vertices), edges, max_hops)
 
 
-def route_profiles(requests: DataFrame, nodes: DataFrame, edges: DataFrame, bans: DataFrame | None = None) -> DataFrame:
+def route_profiles(requests: DataFrame, nodes: DataFrame, edges: DataFrame, bans: DataFrame | None = None, points: DataFrame | None = None) -> DataFrame:
     """request_id, profile, status, minutes, km: one row for each request and profile, over the edges that the profile may use.
 
-    The ends (as in route_requests) are snapped to the vertices of edges; the statuses are those of route_snapped, exact.
+    The ends (as in route_requests) are snapped to the vertices of edges; the statuses are those of route_snapped. Paths are
+    exact, found and unrolled over cells (see overlay.Overlay); of equally fast ones km is that of the one taken. With
+    points (edge_points) also line, the (lat, lon) of that path in order; one point where goal and origin are one vertex.
     """
     spark = edges.sparkSession
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    vertices = nodes.join(ends, "node_id", "left_semi")
     names = spark.createDataFrame([(p[0],) for p in PROFILES], "profile string")
-    r = materialize(snap_requests(requests, nodes.join(ends, "node_id", "left_semi")).crossJoin(F.broadcast(names)))
-    od = r.where("origin is not null and goal is not null")
-    goals = od.select("profile", F.col("origin").alias("source"), F.col("goal").alias("node")).distinct()
-    t = shortest_routes(od.select("profile", F.col("origin").alias("node_id")).distinct(), profile_edges(edges), ("profile",), goals, bans)
-    j = r.join(t.withColumnsRenamed({"source": "origin", "node": "goal"}), ["profile", "origin", "goal"], "left")
-    return j.select("request_id", "profile", _status().alias("status"), F.round(F.col("seconds") / 60, 4).alias("minutes"), F.round(F.col("dist_m") / 1000, 4).alias("km"))
+    r = materialize(snap_requests(requests, vertices).crossJoin(F.broadcast(names)))
+    od = r.where("origin is not null and goal is not null").select("profile", F.col("origin").alias("source"), F.col("goal").alias("node")).distinct()
+    key = ["profile", "source", "node"]
+    found, path = Overlay(profile_edges(edges), vertices, ("profile",), bans).paths(od.select("profile", F.col("source").alias("node_id")), od)
+    path = materialize(path)
+    t = found.join(path.groupBy(*key).agg(F.sum("dist_m").alias("dist_m")), key, "left")
+    line = []
+    if points is not None:
+        here = vertices.select(F.col("node_id").alias("source"), F.array(F.struct("lat", "lon")).alias("here"))
+        t = t.join(path_geometry(path, points, key), key, "left").join(here, "source")
+        line = [F.when(F.col("source") == F.col("node"), F.col("here")).otherwise(F.col("line")).alias("line")]
+    t = t.select("profile", F.col("source").alias("origin"), F.col("node").alias("goal"), "seconds", F.coalesce("dist_m", F.when(F.col("source") == F.col("node"), 0.0)).alias("dist_m"), *line)
+    j = r.join(t, ["profile", "origin", "goal"], "left")
+    return j.select("request_id", "profile", _status().alias("status"), F.round(F.col("seconds") / 60, 4).alias("minutes"), F.round(F.col("dist_m") / 1000, 4).alias("km"), *["line"] * bool(line))
 
 
 def path_geometry(paths: DataFrame, points: DataFrame, key: list[str]) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
 _CLEARED: set[str] = set()
+#: Where the written frames lie, by their identity.
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,4 +45,13 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of `materialize` that no frame in use reads any more; other frames are left alone."""
+    ref, path = _PATHS.pop(id(df), (None, ""))
+    if ref is not None and ref() is df:
+        _clear(df.sparkSession, path)
