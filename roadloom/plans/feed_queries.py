@@ -129,15 +129,15 @@ def keyframe_before(v):
     return ts.keyframe_at(f, f.withColumn("keyframe", F.col("frame_seq") % 12 == 5), ["session_id"]).select("frame_seq", "keyframe_seq")
 
 
-_PAIR = """f as (select session_id, frame_seq, source_timestamp_ns as m, source_timestamp_ns + 5000000 as r from frame_item), e as (select session_id, seq as event_id, coalesce(source_timestamp_ns, -1) as m, capture_timestamp_ns + (seq % 9) * 40000000 - case when seq % 3 > 0 then 20000000 else 0 end as tm from qr_read),
-x as (select session_id, event_id, min(frame_seq) as frame_seq from (select e.session_id, f.frame_seq, min(e.event_id) as event_id from e join f on e.session_id = f.session_id and e.m = f.m group by 1, 2) q group by 1, 2),
-ff as (select * from f where frame_seq not in (select frame_seq from x)), fe as (select * from e where event_id not in (select event_id from x)),
-c1 as (select fe.session_id, event_id, frame_seq, abs(tm - r) as d from fe join ff on fe.session_id = ff.session_id and abs(tm - r) <= 250000000)"""
-#: Rounds of the pairing in SQL; the data need fewer.
-_ROUNDS = 8
+_PAIR = """f as materialized (select session_id, frame_seq, source_timestamp_ns as m, source_timestamp_ns + 5000000 as r from frame_item), e as materialized (select session_id, seq as event_id, coalesce(source_timestamp_ns, -1) as m, capture_timestamp_ns + (seq % 9) * 40000000 - case when seq % 3 > 0 then 20000000 else 0 end as tm from qr_read),
+x as materialized (select session_id, event_id, min(frame_seq) as frame_seq from (select e.session_id, f.frame_seq, min(e.event_id) as event_id from e join f on e.session_id = f.session_id and e.m = f.m group by 1, 2) q group by 1, 2),
+ff as materialized (select * from f anti join x using (frame_seq)), fe as materialized (select * from e anti join x using (event_id)),
+c1 as materialized (select fe.session_id, event_id, frame_seq, abs(tm - r) as d from fe join ff on fe.session_id = ff.session_id and r between tm - 250000000 and tm + 250000000)"""
+#: Rounds of the pairing in SQL; the data need four.
+_ROUNDS = 6
 _PAIR += "".join(f""",
-n{i} as (select * from (select *, row_number() over (partition by session_id, event_id order by d, frame_seq) as a, row_number() over (partition by session_id, frame_seq order by d, event_id) as b from c{i}) q where a = 1 and b = 1),
-c{i + 1} as (select * from c{i} where event_id not in (select event_id from n{i}) and frame_seq not in (select frame_seq from n{i}))""" for i in range(1, _ROUNDS + 1))
+n{i} as materialized (select * from (select *, row_number() over (partition by session_id, event_id order by d, frame_seq) as a, row_number() over (partition by session_id, frame_seq order by d, event_id) as b from c{i}) q where a = 1 and b = 1),
+c{i + 1} as materialized (select * from c{i} anti join n{i} using (event_id) anti join (select frame_seq from n{i}) k using (frame_seq))""" for i in range(1, _ROUNDS + 1))
 _PAIRED = "select event_id, frame_seq, true as exact from x" + "".join(f" union all select event_id, frame_seq, false from n{i}" for i in range(1, _ROUNDS + 1))
 
 
@@ -224,7 +224,7 @@ def profile_comparison(v):
 o as (select s_suppkey as source, dst as node, way_id, w as c from supplier join w on src = s_suppkey),
 t as (select o.source, w.dst as node, o.c + w.w as c from o join w on w.src = o.node where not exists (select 1 from turn_ban b where b.from_way = o.way_id and b.via_node = o.node and b.to_way = w.way_id))
 select source, node, round(min(c), 5) as seconds from (select source, node, c from o union all select * from t union all select s_suppkey, s_suppkey, 0.0e0 from supplier) q group by 1, 2""", "osm_way_ref", "osm_way", "osm_node", "turn_ban")
-def shortest_with_bans(v):
+def shortest_with_bans_two_hops(v):
     e = road.build_edges(v("osm_node"), v("osm_way"), v("osm_way_ref")).withColumn("seconds", F.col("dist_m") / (scalars.base_speed(F.col("highway")) / 3.6))
     p = road.shortest_paths(v("supplier").select(F.col("s_suppkey").alias("node_id")), e, v("turn_ban"), 2)
     return p.select("source", "node", F.round("seconds", 5).alias("seconds"))

@@ -14,15 +14,15 @@ from roadloom.plans.feed_queries import _PROJ, _trace
 from roadloom.plans.queries import _EDGES, _LAST, _LEGS, _MEASURED, _NEARWAY, _SPEED, hav, query, r6
 
 _FUSED = f"""{_PROJ}, np as (select fix_id, s, lat as plat, lng as plng from (select *, row_number() over (partition by fix_id order by distance_m, s1) as rn from pj) q where rn = 1 and distance_m <= 3000),
-fx as (select pk.fix_id, line_no, pk.lat, pk.lng, td, epoch_us(observed_at) / 1e6 as t, s, plat, plng from pk left join np on np.fix_id = pk.fix_id),
-fg as (select *, (floor((t + 15) / 1.0e0) + 1) * 1.0e0 as b, lead(t) over w as nt, lag(t) over w as pt, lag(s) over w as ps, lag(td) over w as ptd, (ceil(t / 1.0e0) - 1) * 1.0e0 as before from fx window w as (partition by line_no order by t, fix_id)),
-fk as (select *, unnest(range(cast(ceil(t / 1.0e0) as bigint), cast(case when nt is null then floor((t + 60) / 1.0e0) + 1 else ceil(nt / 1.0e0) end as bigint))) * 1.0e0 as tick from fg),
-rq as (select fix_id, line_no, td as direction, tick, s + tick - b as c from fk where tick - t > 15 and s is not null
+fx as materialized (select pk.fix_id, line_no, pk.lat, pk.lng, td, epoch_us(observed_at) / 1e6 as t, s, plat, plng from pk left join np on np.fix_id = pk.fix_id),
+fg as materialized (select *, (floor((t + 15) / 1.0e0) + 1) * 1.0e0 as b, lead(t) over w as nt, lag(t) over w as pt, lag(s) over w as ps, lag(td) over w as ptd, (ceil(t / 1.0e0) - 1) * 1.0e0 as before from fx window w as (partition by line_no order by t, fix_id)),
+fk as materialized (select *, unnest(range(cast(ceil(t / 1.0e0) as bigint), cast(case when nt is null then floor((t + 60) / 1.0e0) + 1 else ceil(nt / 1.0e0) end as bigint))) * 1.0e0 as tick from fg),
+rq as materialized (select fix_id, line_no, td as direction, tick, s + tick - b as c from fk where tick - t > 15 and s is not null
 union all select fix_id, line_no, ptd, null, ps + before - ((floor((pt + 15) / 1.0e0) + 1) * 1.0e0) from fg where t - pt >= 3 and ps is not null and before >= (floor((pt + 15) / 1.0e0) + 1) * 1.0e0),
-t2 as (select line_no, direction, s, lat, lng, lead(s) over w as s2, lead(lat) over w as lat2, lead(lng) over w as lng2 from tr window w as (partition by line_no, direction order by s)),
-pl as (select rq.*, s2 is null and c > s as past_end, case when s2 is null then lat else lat + (lat2 - lat) * (c - s) / (s2 - s) end as plat, case when s2 is null then lng else lng + (lng2 - lng) * (c - s) / (s2 - s) end as plng from rq asof join t2 on rq.line_no = t2.line_no and rq.direction = t2.direction and rq.c >= t2.s),
-bl as (select fk.*, h.plat as flat, h.plng as flng, coalesce(fk.plat, fk.lat) as glat, coalesce(fk.plng, fk.lng) as glng, least(1.0, (fk.tick - t) / 3) as r from fk left join pl h on h.fix_id = fk.fix_id and h.tick is null where fk.tick - t <= 15),
-fo as (select line_no, tick, fix_id, case when flat is not null and tick - t < 3 then 'reconciling' else 'live' end as state, case when flat is null or tick - t >= 4 then lat else flat + (glat - flat) * r end as lat, case when flat is null or tick - t >= 4 then lng else flng + (glng - flng) * r end as lng, tick - t as age, false as past_end from bl
+t2 as materialized (select line_no, direction, s, lat, lng, lead(s) over w as s2, lead(lat) over w as lat2, lead(lng) over w as lng2 from tr window w as (partition by line_no, direction order by s)),
+pl as materialized (select rq.*, s2 is null and c > s as past_end, case when s2 is null then lat else lat + (lat2 - lat) * (c - s) / (s2 - s) end as plat, case when s2 is null then lng else lng + (lng2 - lng) * (c - s) / (s2 - s) end as plng from rq asof join t2 on rq.line_no = t2.line_no and rq.direction = t2.direction and rq.c >= t2.s),
+bl as materialized (select fk.*, h.plat as flat, h.plng as flng, coalesce(fk.plat, fk.lat) as glat, coalesce(fk.plng, fk.lng) as glng, least(1.0, (fk.tick - t) / 3) as r from fk left join pl h on h.fix_id = fk.fix_id and h.tick is null where fk.tick - t <= 15),
+fo as materialized (select line_no, tick, fix_id, case when flat is not null and tick - t < 3 then 'reconciling' else 'live' end as state, case when flat is null or tick - t >= 4 then lat else flat + (glat - flat) * r end as lat, case when flat is null or tick - t >= 4 then lng else flng + (glng - flng) * r end as lng, tick - t as age, false as past_end from bl
 union all select fk.line_no, fk.tick, fk.fix_id, 'interpolated', pl.plat, pl.plng, fk.tick - t, past_end from fk join pl on pl.fix_id = fk.fix_id and pl.tick = fk.tick)"""
 
 
@@ -146,7 +146,7 @@ _OD = "od as (select s_suppkey as request_id, s_suppkey as a, case when s_suppke
 @query(f"""with {_EDGES}, {_OD}, w as (select src, dst, min(dist_m / ({_SPEED} / 3.6)) as w from a group by 1, 2), z as (select distinct a as source, a as node, 0.0e0 as c from od), h1 as (select source, node, min(c) as c from (select * from z union all select source, dst, c + w from z join w on src = node) q group by 1, 2),
 h2 as (select source, node, min(c) as c from (select * from h1 union all select source, dst, c + w from h1 join w on src = node) q group by 1, 2)
 select request_id, case when od.b is null then 'no_road_near' when c is null then 'no_route_within_hops' else 'ok' end as status, round(c / 60, 2) as minutes from od left join h2 on h2.source = od.a and h2.node = od.b""", "osm_way_ref", "osm_way", "osm_node")
-def route_requests(v):
+def route_requests_two_hops(v):
     e = road.build_edges(v("osm_node"), v("osm_way"), v("osm_way_ref")).withColumn("seconds", F.col("dist_m") / (scalars.base_speed(F.col("highway")) / 3.6))
     od = v("supplier").select(F.col("s_suppkey").alias("request_id"), F.col("s_suppkey").alias("origin"), F.when(F.col("s_suppkey") % 10 != 0, F.col("s_suppkey") + 1).alias("goal"))
     return road.route_snapped(od, e, 2)
