@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.scalars import is_turnaround, norm_line
+from roadloom.operators.timeseries import between_marks
 
 TRACE = ("line_no", "direction")
 
@@ -119,15 +120,12 @@ def project_to_trace(fixes: DataFrame, trace: DataFrame) -> DataFrame:
     return j.groupBy(*fixes.columns).agg(F.min(at).alias("at")).select(*fixes.columns, "at.distance_m", "at.trace_direction", "at.trace_time_s", "at.trace_lat", "at.trace_lng")
 
 
-def trace_at(ticks: DataFrame, trace: DataFrame, by: str = "trace_time_s") -> DataFrame:
+def trace_at(ticks: DataFrame, trace: DataFrame, by: str = "trace_time_s", most: int | None = None) -> DataFrame:
     """ticks (line_no, direction, trace_time_s, ..) with the place on the trace at that time; the ends hold beyond it."""
     cols = ("lat", "lng", "speed_kmh")
-    p = trace.select(*TRACE, F.col(by).alias("t"), F.struct(F.col(by).alias("t"), *cols).alias("p"), F.lit(0).alias("side"))
-    k = ticks.select(*TRACE, F.col(by).alias("t"), F.struct(*ticks.columns).alias("row"), F.lit(1).alias("side"))
-    w = Window.partitionBy(*TRACE).orderBy("t", "side")
-    df = p.unionByName(k, allowMissingColumns=True).withColumn("lo", F.last("p", ignorenulls=True).over(w))
-    down = Window.partitionBy(*TRACE).orderBy(F.desc("t"), "side")
-    df = df.withColumn("hi", F.last("p", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))).where("side = 1 and (lo is not null or hi is not null)")
+    p = trace.select(*TRACE, F.col(by).alias("t"), F.struct(F.col(by).alias("t"), *cols).alias("mark"))
+    k = ticks.select(*TRACE, F.col(by).alias("t"), F.struct(*ticks.columns).alias("row"))
+    df = between_marks(k, p, [*TRACE], most).where("lo is not null or hi is not null")
     span = F.col("hi.t") - F.col("lo.t")
     ratio = F.when(span > 0, (F.col("t") - F.col("lo.t")) / span).otherwise(0.0)
     return df.select("row.*", *[lerp(F.col(f"lo.{c}"), F.col(f"hi.{c}"), F.coalesce(ratio, F.lit(0.0))).alias(f"trace_{c}") for c in cols])

@@ -1,10 +1,11 @@
-"""Joins and repairs of samples on different clocks. Every window is within one recording."""
+"""Joins and repairs of samples on different clocks. Every window is within one recording, or a segment of a long one."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.operators.scans import SEGMENT, scan, segmented
 from roadloom.sources.scratch import materialize
 
 
@@ -30,59 +31,67 @@ def nearest_asof(left: DataFrame, right: DataFrame, by: list[str], on: str, righ
     return df.select("row.*", F.col("best.t").alias(f"{right_on}_matched"), *[F.col(f"best.{v}").alias(v) for v in values])
 
 
-def to_video_pts(events: DataFrame, anchors: DataFrame, by: list[str], on: str = "capture_timestamp_ns", pts: str = "video_pts_us") -> DataFrame:
+def between_marks(rows: DataFrame, marks: DataFrame, by: list[str], most: int | None = None) -> DataFrame:
+    """rows (by.., t, row) with lo and hi, the marks (by.., t, mark) at or before and at or after t; a mark at t is both."""
+    both = marks.withColumn("side", F.lit(0)).unionByName(rows.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    held = F.when(F.col("mark").isNotNull(), F.struct("t", "mark"))
+    df = scan(segmented(both, by, ["t", "side"], most), by, ["t", "side"], lo=("last", held), hi=("next", held)).where("side = 1")
+    df = df.withColumn("hi", F.when(F.col("lo.t") == F.col("t"), F.col("lo")).otherwise(F.col("hi")))
+    return df.select(*by, "t", "row", F.col("lo.mark").alias("lo"), F.col("hi.mark").alias("hi"))
+
+
+def to_video_pts(events: DataFrame, anchors: DataFrame, by: list[str], on: str = "capture_timestamp_ns", pts: str = "video_pts_us", most: int | None = None) -> DataFrame:
     """Capture time to video time on the line between the two anchors around it; null outside the anchors."""
-    a = anchors.select(*by, F.col(on).alias("t"), F.struct(F.col(on).alias("t"), F.col(pts).alias("p")).alias("anchor"), F.lit(0).alias("side"))
-    e = events.select(*by, F.col(on).alias("t"), F.struct(*events.columns).alias("row"), F.lit(1).alias("side"))
-    w = Window.partitionBy(*by).orderBy("t", "side")
-    down = Window.partitionBy(*by).orderBy(F.desc("t"), "side")
-    both = a.unionByName(e, allowMissingColumns=True)
-    df = both.withColumn("lo", F.last("anchor", ignorenulls=True).over(w)).withColumn("hi", F.last("anchor", ignorenulls=True).over(down)).where("side = 1")
+    a = anchors.select(*by, F.col(on).alias("t"), F.struct(F.col(on).alias("t"), F.col(pts).alias("p")).alias("mark"))
+    e = events.select(*by, F.col(on).alias("t"), F.struct(*events.columns).alias("row"))
+    df = between_marks(e, a, by, most)
     span = F.col("hi.t") - F.col("lo.t")
     at = F.when(span == 0, F.col("lo.p")).otherwise(F.col("lo.p") + (F.col("t") - F.col("lo.t")) * (F.col("hi.p") - F.col("lo.p")) / span)
     return df.select("row.*", at.cast("double").alias("pts_us"))
 
 
-def qr_resolve(reads: DataFrame, by: str = "session_id", carry_ns: int = 200_000_000) -> DataFrame:
+def qr_resolve(reads: DataFrame, by: str = "session_id", carry_ns: int = 200_000_000, most: int | None = None) -> DataFrame:
     """Decoded values carry on for up to 200 ms of capture time: ok, qr_stale or qr_missing.
 
     Where either capture time is unknown, a step of seq counts as 33,333,333 ns; without that too nothing is carried.
     """
-    w = Window.partitionBy(by).orderBy("seq")
     got = F.coalesce(F.col("decode_success") & F.col("source_timestamp_ns").isNotNull(), F.lit(False))
-    seen = F.last(F.when(got, F.struct("source_timestamp_ns", "capture_timestamp_ns", "seq")), ignorenulls=True).over(w)
-    df = reads.withColumn("held", seen)
+    seen = F.when(got, F.struct("source_timestamp_ns", "capture_timestamp_ns", "seq"))
+    df = scan(segmented(reads, [by], ["seq"], most), [by], ["seq"], held=("last", seen)).drop(SEGMENT)
     age = F.coalesce(F.col("capture_timestamp_ns") - F.col("held.capture_timestamp_ns"), (F.col("seq") - F.col("held.seq")) * 33_333_333)
     status = F.when(got, "ok").when(age <= carry_ns, "qr_stale").otherwise("qr_missing")
     df = df.withColumn("status", status)
     return df.withColumn("resolved_ns", F.when(F.col("status") != "qr_missing", F.col("held.source_timestamp_ns"))).drop("held")
 
 
-def rewind_epoch(reads: DataFrame, by: str = "session_id", slack_ns: int = 2_000_000) -> DataFrame:
+def rewind_epoch(reads: DataFrame, by: str = "session_id", slack_ns: int = 2_000_000, most: int | None = None) -> DataFrame:
     """A new epoch begins where a decoded value falls more than 2 ms below the decoded one before it."""
-    w = Window.partitionBy(by).orderBy("seq")
-    before = F.last(F.when(F.col("decode_success"), F.col("source_timestamp_ns")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    step = F.when(F.col("decode_success") & (F.col("source_timestamp_ns") < before - slack_ns), 1).otherwise(0)
-    return reads.withColumn("step", step).withColumn("epoch", F.sum("step").over(w)).drop("step")
+    read = F.when(F.col("decode_success"), F.col("source_timestamp_ns"))
+    df = scan(segmented(reads, [by], ["seq"], most), [by], ["seq"], before=("last", read, True))
+    step = F.when(F.col("decode_success") & (F.col("source_timestamp_ns") < F.col("before") - slack_ns), 1).otherwise(0)
+    return scan(df.withColumn("step", step), [by], ["seq"], epoch=("sum", F.col("step"))).drop("step", "before", SEGMENT)
 
 
-def unwrap(df: DataFrame, value: str, bits: int, by: str, order: str) -> DataFrame:
-    """A counter of `bits` bits made monotone over its wraps, forward and backward."""
+def _unwrapped(df: DataFrame, value: str, bits: int, by: str, order: str) -> DataFrame:
     full, half = 1 << bits, 1 << (bits - 1)
-    w = Window.partitionBy(by).orderBy(order)
-    d = F.col(value) - F.lag(value).over(w)
+    df = scan(df, [by], [order], before=("last", F.struct(F.col(value).alias("v")), True))
+    d = F.col(value) - F.col("before.v")
     turn = F.when(d < -half, full).when(d > half, -full).otherwise(0)
-    return df.withColumn("turn", turn.cast("long")).withColumn("unwrapped", F.col(value) + F.sum("turn").over(w)).drop("turn")
+    df = scan(df.withColumn("turn", turn.cast("long")), [by], [order], turns=("sum", F.col("turn")))
+    return df.withColumn("unwrapped", F.col(value) + F.col("turns")).drop("turn", "turns", "before")
+
+
+def unwrap(df: DataFrame, value: str, bits: int, by: str, order: str, most: int | None = None) -> DataFrame:
+    """A counter of `bits` bits made monotone over its wraps, forward and backward."""
+    return _unwrapped(segmented(df, [by], [order], most), value, bits, by, order).drop(SEGMENT)
 
 
-def sequence_gaps(packets: DataFrame, by: str = "session_id", order: str = "arrival") -> DataFrame:
+def sequence_gaps(packets: DataFrame, by: str = "session_id", order: str = "arrival", most: int | None = None) -> DataFrame:
     """16-bit sequence numbers: behind the last accepted is late; ahead of the expected opens an epoch."""
-    w = Window.partitionBy(by).orderBy(order)
-    df = unwrap(packets, "seq16", 16, by, order)
-    best = F.max("unwrapped").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn("best", best).withColumn("late", F.coalesce(F.col("unwrapped") <= F.col("best"), F.lit(False)))
+    df = _unwrapped(segmented(packets, [by], [order], most), "seq16", 16, by, order)
+    df = scan(df, [by], [order], best=("max", F.col("unwrapped"), True)).withColumn("late", F.coalesce(F.col("unwrapped") <= F.col("best"), F.lit(False)))
     gap = F.coalesce(~F.col("late") & (F.col("unwrapped") > F.col("best") + 1), F.lit(False))
-    return df.withColumn("gap", gap).withColumn("epoch", F.sum(F.col("gap").cast("long")).over(w)).drop("best")
+    return scan(df.withColumn("gap", gap), [by], [order], epoch=("sum", F.col("gap").cast("long"))).drop("best", SEGMENT)
 
 
 def stage_metrics(counters: DataFrame, every: str = "1 hour") -> DataFrame:
@@ -97,17 +106,11 @@ def stage_metrics(counters: DataFrame, every: str = "1 hour") -> DataFrame:
     return df.select("source_id", "slot", "frames", "elapsed_s", F.when(F.col("elapsed_s") > 0, F.col("frames") / F.col("elapsed_s")).alias("fps"), F.when(F.col("frames") > 0, F.col("ms") / F.col("frames")).otherwise(F.lit(0.0)).alias("mean_ms"))
 
 
-def carry(value: Column, w) -> Column:
-    return F.last(value, ignorenulls=True).over(w)
-
-
-def keyframe_at(requests: DataFrame, frames: DataFrame, by: list[str], seq: str = "frame_seq") -> DataFrame:
+def keyframe_at(requests: DataFrame, frames: DataFrame, by: list[str], seq: str = "frame_seq", most: int | None = None) -> DataFrame:
     """requests with the newest keyframe at or before their sequence number; null before the first."""
-    k = frames.where("keyframe").select(*by, F.col(seq).alias("t"), F.lit(0).alias("side"))
-    r = requests.select(*by, F.col(seq).alias("t"), F.struct(*requests.columns).alias("row"), F.lit(1).alias("side"))
-    w = Window.partitionBy(*by).orderBy("t", "side")
-    df = k.unionByName(r, allowMissingColumns=True).withColumn("keyframe_seq", F.last(F.when(F.col("side") == 0, F.col("t")), ignorenulls=True).over(w))
-    return df.where("side = 1").select("row.*", "keyframe_seq")
+    k = frames.where("keyframe").select(*by, F.col(seq).alias("t"), F.col(seq).alias("mark"))
+    r = requests.select(*by, F.col(seq).alias("t"), F.struct(*requests.columns).alias("row"))
+    return between_marks(r, k, by, most).select("row.*", F.col("lo").alias("keyframe_seq"))
 
 
 def pair_events(frames: DataFrame, events: DataFrame, tolerance: int = 250_000_000) -> DataFrame:
