@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.scalars import is_turnaround, norm_line
+from roadloom.operators.near import ring_nearest
 from roadloom.operators.timeseries import between_marks
+from roadloom.sources.scratch import materialize
 
 TRACE = ("line_no", "direction")
 
@@ -100,24 +102,28 @@ def trace_segments(trace: DataFrame) -> DataFrame:
     return df.where("trace_time_s2 is not null or first")
 
 
-def project_to_trace(fixes: DataFrame, trace: DataFrame) -> DataFrame:
+def project_to_trace(fixes: DataFrame, trace: DataFrame, size: float = 0.01) -> DataFrame:
     """Fixes with the trace time, point and metres of the nearest place on their trace; the earliest segment wins a tie.
 
-    A fix meets the segments of one selected trace only, and the least of them is a partial aggregate.
+    A fix meets the segments of one selected trace in the cells around it only (see near.ring_nearest). Equal fixes give one
+    row; one without a place gives none.
     """
-    seg = trace_segments(trace).withColumnsRenamed({"lat": "lat1", "lng": "lng1", "direction": "trace_direction", "trace_time_s": "s1", "trace_time_s2": "s2"})
-    j = pick_trace(fixes, trace).join(seg, ["line_no", "trace_direction"])
+    names = {"lat": "lat1", "lng": "lon1", "lat2": "lat2", "lng2": "lon2", "direction": "trace_direction", "trace_time_s": "s1", "trace_time_s2": "s2", "first": "first"}
+    seg = trace_segments(trace).select("line_no", *[F.col(a).alias(b) for a, b in names.items()])
+    seg = seg.withColumns({"lat2": F.coalesce("lat2", "lat1"), "lon2": F.coalesce("lon2", "lon1")})
+    picked = materialize(pick_trace(fixes.where("lat is not null and lng is not null").distinct(), trace).withColumn("query_id", F.monotonically_increasing_id()))
     ky, kx = F.lit(111000.0), F.greatest(F.lit(1.0), F.cos(F.radians("lat")) * 111000.0)
-    ax, ay = (F.col("lng1") - F.col("lng")) * kx, (F.col("lat1") - F.col("lat")) * ky
-    dx, dy = (F.col("lng2") - F.col("lng1")) * kx, (F.col("lat2") - F.col("lat1")) * ky
-    size = dx * dx + dy * dy
-    ratio = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / size))).otherwise(0.0)
-    j = j.withColumn("ratio", ratio)
-    flat = F.sqrt(F.pow(ax + F.col("ratio") * dx, 2) + F.pow(ay + F.col("ratio") * dy, 2))
-    single = F.sqrt(F.pow(ay, 2) + F.pow((F.col("lng1") - F.col("lng")) * 91000.0, 2))
-    j = j.withColumn("distance_m", F.round(F.when(F.col("s2").isNull(), single).otherwise(flat), 6))
-    at = F.struct("distance_m", "s1", "trace_direction", lerp(F.col("s1"), F.col("s2"), F.col("ratio")).alias("trace_time_s"), lerp(F.col("lat1"), F.col("lat2"), F.col("ratio")).alias("trace_lat"), lerp(F.col("lng1"), F.col("lng2"), F.col("ratio")).alias("trace_lng"))
-    return j.groupBy(*fixes.columns).agg(F.min(at).alias("at")).select(*fixes.columns, "at.distance_m", "at.trace_direction", "at.trace_time_s", "at.trace_lat", "at.trace_lng")
+    ax, ay = (F.col("lon1") - F.col("lng")) * kx, (F.col("lat1") - F.col("lat")) * ky
+    dx, dy = (F.col("lon2") - F.col("lon1")) * kx, (F.col("lat2") - F.col("lat1")) * ky
+    long = dx * dx + dy * dy
+    ratio = F.when(long > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / long))).otherwise(0.0)
+    flat = F.sqrt(F.pow(ax + ratio * dx, 2) + F.pow(ay + ratio * dy, 2))
+    single = F.sqrt(F.pow(ay, 2) + F.pow((F.col("lon1") - F.col("lng")) * 91000.0, 2))
+    far = F.round(F.when(F.col("s2").isNull(), single).otherwise(flat), 6)
+    at = F.struct(far.alias("distance_m"), "s1", "trace_direction", lerp(F.col("s1"), F.col("s2"), ratio).alias("trace_time_s"), lerp(F.col("lat1"), F.col("lat2"), ratio).alias("trace_lat"), lerp(F.col("lon1"), F.col("lon2"), ratio).alias("trace_lng"))
+    least = F.least(F.lit(91000.0), kx)
+    found = ring_nearest(picked.select("query_id", "lat", "lng", "line_no", "trace_direction"), seg, ["line_no", "trace_direction"], at, "distance_m", least, size)
+    return picked.join(found, "query_id").select(*fixes.columns, *[f"best.{c}" for c in ("distance_m", "trace_direction", "trace_time_s", "trace_lat", "trace_lng")])
 
 
 def trace_at(ticks: DataFrame, trace: DataFrame, by: str = "trace_time_s", most: int | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import DEGREE_M, EARTH_M, cell, haversine_m, point_segment_m
+from roadloom.operators.near import growing
+from roadloom.sources.scratch import materialize
 
 
 #: Of approximate percentiles: ranks are right within one in so many rows, and a summary holds about as many numbers.
@@ -170,10 +172,13 @@ def lookup(df: DataFrame, condition: Column) -> DataFrame:
 
 
 def nearest_vehicles(positions: DataFrame, centers: DataFrame, k: int, radius: float) -> DataFrame:
-    """The k nearest latest vehicles of each center within radius, near to far, ties by vehicle."""
-    d = within_radius(positions, centers, radius, "latest_then_radius")
+    """The k nearest latest vehicles of each center within radius, near to far, ties by vehicle.
+
+    Circles grow until they hold k, so a crowded center never meets all vehicles within the radius.
+    """
+    newest = materialize(latest(positions, ["vehicle_id"], ["recorded_at", "position_id"]))
     rank = F.row_number().over(Window.partitionBy("center_id").orderBy("distance_m", "vehicle_id"))
-    return d.withColumn("rank", rank).where(F.col("rank") <= k)
+    return growing(centers, lambda some, r: _near(newest, some, r).withColumn("rank", rank), k, radius)
 
 
 def between(df: DataFrame, time: str, start: Column, end: Column, *order: str) -> DataFrame:

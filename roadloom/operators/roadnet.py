@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadloom.functions.geo import DEGREE_M, cell, haversine_m, point_segment_m
 from roadloom.functions.media import limit_tags, tag_is
 from roadloom.functions.scalars import BASE_KMH, base_speed, limit_tag
+from roadloom.operators.near import crossed_cells
 from roadloom.operators.overlay import Overlay
 from roadloom.sources.scratch import discard, materialize
 
@@ -104,21 +105,6 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame, size: float = 0.01) -
     return p.join(v, ["cy", "cx"]).groupBy("point_id").agg(F.min(F.struct(F.round(d2, 12).alias("d2"), "node_id")).alias("b")).select("point_id", "b.node_id")
 
 
-def crossed_cells(segments: DataFrame, size: float) -> DataFrame:
-    """segments (lat1, lon1, lat2, lon2, pad_lat, pad_lon, ..) once for every cell (cy, cx) within the pads of their line.
-
-    Row by row of cells: the part of the line inside the row, widened, gives its columns, so a segment goes to about as many
-    cells as it is long, not as its box has.
-    """
-    low, high = F.least("lat1", "lat2") - F.col("pad_lat"), F.greatest("lat1", "lat2") + F.col("pad_lat")
-    s = segments.withColumn("cy", F.explode(F.sequence(cell(low, size), cell(high, size))))
-    share = lambda edge, flat: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge - F.col("lat1")) / F.nullif(F.col("lat2") - F.col("lat1"), F.lit(0.0)))), F.lit(flat))
-    a = F.col("lon1") + share(F.col("cy") * size - F.col("pad_lat"), 0.0) * (F.col("lon2") - F.col("lon1"))
-    b = F.col("lon1") + share((F.col("cy") + 1) * size + F.col("pad_lat"), 1.0) * (F.col("lon2") - F.col("lon1"))
-    s = s.withColumns({"from__": cell(F.least(a, b) - F.col("pad_lon"), size), "to__": cell(F.greatest(a, b) + F.col("pad_lon"), size)})
-    return s.withColumn("cx", F.explode(F.sequence("from__", "to__"))).drop("from__", "to__")
-
-
 def nearest_way(facilities: DataFrame, nodes: DataFrame, ways: DataFrame, refs: DataFrame, radius: float = 60.0, single_points: bool = False, size: float = 0.005) -> DataFrame:
     """Each facility's nearest routable way within radius metres (strictly), ties by way id.
 
@@ -138,7 +124,7 @@ def nearest_way(facilities: DataFrame, nodes: DataFrame, ways: DataFrame, refs:
     j = crossed_cells(s, size).join(f, ["cy", "cx"])
     dx, dy = (F.col("lon2") - F.col("lon1")) * F.col("k"), (F.col("lat2") - F.col("lat1")) * DEGREE_M
     px, py = (F.col("lon") - F.col("lon1")) * F.col("k"), (F.col("lat") - F.col("lat1")) * DEGREE_M
-    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))), F.lit(0.0))
+    t = F.when(dx * dx + dy * dy > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / (dx * dx + dy * dy)))).otherwise(0.0)
     square = (px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy)
     j = j.where(square < (1.01 * radius + 1) ** 2)  # few are left for the rest
     d = point_segment_m(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))

@@ -10,7 +10,7 @@ from roadloom.operators import history as h
 from roadloom.operators import roadnet as road
 from roadloom.operators import timeseries as ts
 from roadloom.plans.queries import _EDGES, _LEGS, _MEASURED, _NEARWAY, hav, query, r6
-from roadloom.streaming import windows
+from roadloom.streaming import sinks, windows
 
 
 @query("""select event_id, case event_id % 5 when 0 then 'outbound' when 1 then 'inbound' when 2 then 'full_route' when 3 then '' else 'full_route' end as direction,
@@ -181,8 +181,8 @@ def counter_windows(v):
 def known_positions(v):
     """Positions of known vehicles, each observed time once: the sink's rule over a table."""
     p = v("vehicle_position").select(F.concat(F.lit("X"), F.col("vehicle_id").cast("string")).alias("external_id"), F.col("recorded_at").cast("timestamp").alias("observed_at"))
-    known = v("vehicle").where("vehicle_status <> 'OFFLINE'")
-    return p.join(known.select("external_id").distinct(), "external_id", "left_semi").dropDuplicates(["external_id", "observed_at"]).select("external_id", F.unix_micros("observed_at").alias("at_us"))
+    fresh = sinks.fresh_positions(p, v("vehicle").where("vehicle_status <> 'OFFLINE'"))
+    return fresh.select("external_id", F.unix_micros("observed_at").alias("at_us"))
 
 
 @query(f"""with {_EDGES}, ps as (select g.way_id, g.segment, seq, lat, lon from g join osm_node o on o.node_id = g.node_id union all select g.way_id, g.segment + 1, seq, lat, lon from g join osm_node o on o.node_id = g.node_id where vx = 1),

@@ -5,18 +5,52 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from roadloom.functions.geo import valid_point
+from roadloom.functions.scalars import norm_direction, norm_line, num, ts_utc
+
 RESTRICTIONS = ("maxheight", "maxwidth", "maxweight", "maxlength", "hgv", "access")
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place))
+
+
+_HISTORY = "line_no string, direction string, trace_id string, trace_time_s double, lat double, lng double, speed_kmh double, stop_index double, progress double"
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Trace points from CSV: line, direction, trace_time_s, latitude, longitude, speed_kmh; bad points are dropped."""
+    """Trace points of a CSV file, or of several with one header: line_no, direction, trace_id, trace_time_s, lat, lng,
+    speed_kmh, stop_index, progress; keys normalised, so that the feed operators take them. A missing file gives no rows.
+
+    With a column trace_time_s (seconds, fractions too) points are as they lie; without it the layout is the collector's
+    raw one: duplicates and rejected points go, times are seconds since the first of their trace, and of several points at
+    one time the first in the file stays. Traces are kept apart by logical_trace_id, else vehicle_id, else `legacy`. Points
+    without a line, a valid place or a time are dropped. Missing progress is stop_index in percent of route_stop_count.
+    """
+    if not _there(spark, path):
+        return spark.createDataFrame([], _HISTORY)
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    want = {"line_number": "string", "direction": "string", "trace_time_s": "int", "latitude": "double", "longitude": "double", "speed_kmh": "double"}
-    cols = [(F.col(c).try_cast(t) if c in raw.columns else F.lit(None).cast(t)).alias(c) for c, t in want.items()]
-    return raw.select(*cols).where("latitude between -90 and 90 and longitude between -180 and 180")
+    text = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
+    filled = lambda c: F.nullif(F.trim(text(c)), F.lit(""))
+    stop, stops = num(text("stop_index")), num(text("route_stop_count"))
+    share = F.when(stops != 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), stop / stops * 100)))
+    rows = raw.select(
+        norm_line(F.coalesce(text("line_number"), F.lit(""))).alias("line_no"), norm_direction(text("direction")).alias("direction"), F.coalesce(filled("logical_trace_id"), filled("vehicle_id"), F.lit("legacy")).alias("trace_id"),
+        num(text("trace_time_s")).alias("trace_time_s"), num(text("latitude")).alias("lat"), num(text("longitude")).alias("lng"), num(text("speed_kmh")).alias("speed_kmh"), stop.alias("stop_index"), F.coalesce(num(text("route_progress_pct")), share).alias("progress"),
+        F.coalesce(F.lower(filled("point_class")), F.lit("changed")).alias("kind"), ts_utc(text("observed_at_utc")).alias("at"), F.monotonically_increasing_id().alias("nth"),
+    ).where((F.col("line_no") != "") & valid_point(F.col("lat"), F.col("lng")))
+    names = [c.split()[0] for c in _HISTORY.split(", ")]
+    if "trace_time_s" in raw.columns:
+        return rows.where("trace_time_s is not null").select(names)
+    key = ["line_no", "direction", "trace_id"]
+    kept = rows.where("at is not null and kind <> 'duplicate' and not startswith(kind, 'rejected')")
+    first = kept.groupBy(*key, "at").agg(F.min(F.struct("nth", *names[4:])).alias("p")).select(*key, "at", "p.*")
+    start = F.min("at").over(Window.partitionBy(*key))
+    return first.withColumn("trace_time_s", (F.unix_micros("at") - F.unix_micros(start)) / 1e6).select(names)
 
 
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
@@ -27,7 +61,14 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_turn_bans(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("from_way long, via_node long, to_way long").option("multiLine", True).json(path).dropna().dropDuplicates()
+    """Distinct (from_way, via_node, to_way) of a JSON list, or of the list under `restrictions` in an object; a missing
+    file gives no rows, an entry without one of the three goes."""
+    ban = "from_way bigint, via_node bigint, to_way bigint"
+    if not _there(spark, path):
+        return spark.createDataFrame([], ban)
+    raw = spark.read.schema(f"{ban}, restrictions array<struct<{ban.replace(' bigint', ':bigint')}>>").option("multiLine", True).json(path)
+    one = F.array(F.struct("from_way", "via_node", "to_way"))
+    return raw.select(F.explode(F.coalesce("restrictions", one)).alias("r")).select("r.*").dropna().dropDuplicates()
 
 
 def read_samples(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
@@ -107,20 +148,33 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 _ROUNDED = {"latitude": 7, "longitude": 7, "speed_kmh": 2}
+#: The columns of both sinks, in order.
+HYBRID_COLUMNS = ("emitted_at_utc", "line_number", "line_id", "vehicle_id", "longitude", "latitude", "speed_kmh", "direction", "source", "live_observed_at_utc", "live_age_s")
+RAW_COLUMNS = (
+    "observed_at_utc", "collection_session_id", "logical_trace_id", "line_number", "line_id", "vehicle_id", "longitude", "latitude", "speed_kmh", "direction",
+    "api_direction_code", "gps_time", "low_plate", "stop_index", "route_stop_count", "route_point", "point_class", "continuation_from_vehicle_id",
+)
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """With the sinks' rounding: 7 digits for coordinates, 2 for speed."""
-    return df.withColumns({c: F.round(c, n) for c, n in _ROUNDED.items()})
+def rounded(df: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """With the sinks' rounding: 7 digits for coordinates, 2 for speed; with columns just these, in order, missing ones null."""
+    df = df.withColumns({c: F.round(c, n) for c, n in _ROUNDED.items()})
+    return df if columns is None else df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
 def append_positions(df: DataFrame, path: str) -> None:
-    rounded(df).write.mode("append").parquet(path)
+    """Positions emitted each second."""
+    rounded(df, HYBRID_COLUMNS).write.mode("append").parquet(path)
+
+
+def append_fixes(df: DataFrame, path: str) -> None:
+    """Fixes as accepted from the feed."""
+    rounded(df, RAW_COLUMNS).write.mode("append").parquet(path)
 
 
-def stream_positions(stream: DataFrame, path: str, checkpoint: str):
-    """append_positions of a stream: a started query whose sink writes each row once."""
-    return rounded(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+def stream_positions(stream: DataFrame, path: str, checkpoint: str, columns: tuple[str, ...] | None = None):
+    """A started query whose sink writes each row of the stream once, rounded; with columns in their order."""
+    return rounded(stream, columns).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
 
 
 def publish(df: DataFrame, path: str) -> str:
