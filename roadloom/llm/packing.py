@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import HashCache, Roll, chunks, map_batches, materialize, pick
+from roadloom.llm.common import HashCache, Roll, _trim, chunks, map_batches, materialize, pick
 
 #: Code points below this are split with numpy; a text with others goes to the tokenizer whole.
 SIMPLE = 0x250
@@ -42,13 +42,16 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         place = (lambda name: f"{folder}/{name}") if folder else path
-        self.whole = Tokenizer.from_file(place("byte_bpe_50k.json"))
+        self.load = lambda: Tokenizer.from_file(place("byte_bpe_50k.json"))
+        self.whole = self.load()
         with open(place("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.whole = None  # comes back with the first text that needs it
+        _trim()
         self.kind, self.roll = _classes(), Roll(7, size=SIMPLE + 1)
-        self.cache, self.flat, self.used = HashCache(2, np.int64, 300_000), np.zeros(1 << 16, np.uint32), 0
+        self.cache, self.flat, self.used = HashCache(2, np.int64, 150_000), np.zeros(1 << 16, np.uint32), 0
 
     def _pieces(self, cp: np.ndarray) -> np.ndarray:
         """Start places of the pieces, and of the edges between texts (code SIMPLE)."""
@@ -82,6 +85,7 @@ class PieceTokenizer:
         simple = []
         for i, t in enumerate(texts):
             if t and (not t.isascii() and max(t) >= chr(SIMPLE) or any(s in t for s in self.special)):
+                self.whole = self.whole or self.load()
                 out[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32)
             elif t:
                 simple.append(i)
@@ -124,7 +128,7 @@ def cut_pieces(docs: DataFrame, folder: str | None = None, capacity: int = 1024,
 
     def run(batches):
         encode, pid = PieceTokenizer(folder), TaskContext.get().partitionId()  # its tables go with the task
-        for batch in chunks(batches, most=1 << 19):
+        for batch in chunks(batches, most=1 << 18):
             ids, texts = pick(batch, "doc_id", "text")
             rows: list[tuple] = []
             who, tokens = [], []
