@@ -31,6 +31,21 @@ def nearest_asof(left: DataFrame, right: DataFrame, by: list[str], on: str, righ
     return df.select("row.*", F.col("best.t").alias(f"{right_on}_matched"), *[F.col(f"best.{v}").alias(v) for v in values])
 
 
+def timeline(reads: DataFrame, frames: DataFrame, imu: DataFrame, by: list[str], on: str = "source_timestamp_ns", frame_ns: int = 50_000_000, imu_ns: int = 50_000_000) -> DataFrame:
+    """reads with frame_index, frame_ns, frame_delta_ns of the nearest frame of the recording, imu_ns, imu_delta_ns and the
+    samples of the one nearest to that frame, and status.
+
+    dataset_timestamp_unavailable: no frame within frame_ns of the time `on` (or it is unknown); imu_unavailable: no sample
+    within imu_ns of the frame; else ok. frames: by.., frame_index, timestamp_ns; imu: by.., timestamp_ns, ..
+    """
+    own = frames.select(*by, "frame_index", F.col("timestamp_ns").alias("frame_ns"))
+    a = nearest_asof(reads, own, by, on, "frame_ns", frame_ns).withColumnRenamed("frame_ns_matched", "frame_ns")
+    samples = imu.withColumnRenamed("timestamp_ns", "imu_ns")
+    b = nearest_asof(a, samples, by, "frame_ns", "imu_ns", imu_ns).withColumnRenamed("imu_ns_matched", "imu_ns")
+    status = F.when(F.col("frame_ns").isNull(), "dataset_timestamp_unavailable").when(F.col("imu_ns").isNull(), "imu_unavailable").otherwise("ok")
+    return b.withColumns({"frame_delta_ns": F.abs(F.col("frame_ns") - F.col(on)), "imu_delta_ns": F.abs(F.col("imu_ns") - F.col("frame_ns")), "status": status})
+
+
 def between_marks(rows: DataFrame, marks: DataFrame, by: list[str], most: int | None = None) -> DataFrame:
     """rows (by.., t, row) with lo and hi, the marks (by.., t, mark) at or before and at or after t; a mark at t is both."""
     both = marks.withColumn("side", F.lit(0)).unionByName(rows.withColumn("side", F.lit(1)), allowMissingColumns=True)

@@ -148,6 +148,18 @@ def imu_nearest(v):
     return j.select("frame_seq", F.col("timestamp_ns_matched").alias("imu_ns"), "pitch_deg", "roll_deg")
 
 
+@query("""with f as (select session_id, frame_seq, source_timestamp_ns as t from frame_item where frame_seq % 5 = 0), r as (select session_id, seq, capture_timestamp_ns as c from qr_read),
+a as (select r.*, frame_seq, t, row_number() over (partition by r.session_id, seq order by abs(t - c), t) as rn from r left join f on f.session_id = r.session_id and t between c - 50000000 and c + 50000000),
+b as (select a.*, s.timestamp_ns as i, pitch_deg, row_number() over (partition by a.session_id, seq order by abs(s.timestamp_ns - t), s.timestamp_ns) as k from (select * from a where rn = 1) a left join imu_sample s on s.session_id = a.session_id and s.timestamp_ns between t - 20000000 and t + 20000000)
+select session_id, seq, frame_seq as frame_index, abs(t - c) as frame_delta_ns, i as imu_ns, abs(i - t) as imu_delta_ns, pitch_deg, case when t is null then 'dataset_timestamp_unavailable' when i is null then 'imu_unavailable' else 'ok' end as status from b where k = 1""", "frame_item", "qr_read", "imu_sample")
+def timeline_match(v):
+    """Every read's frame of a thinned recording, and that frame's sample within 20 ms."""
+    reads = v("qr_read").select("session_id", "seq", "capture_timestamp_ns")
+    frames = v("frame_item").where("frame_seq % 5 = 0").select("session_id", F.col("frame_seq").alias("frame_index"), F.col("source_timestamp_ns").alias("timestamp_ns"))
+    j = ts.timeline(reads, frames, v("imu_sample"), ["session_id"], "capture_timestamp_ns", imu_ns=20_000_000)
+    return j.select("session_id", "seq", "frame_index", "frame_delta_ns", "imu_ns", "imu_delta_ns", "pitch_deg", "status")
+
+
 @query(f"""with {_NEAR}, a as (select f.frame_seq, (((x1 + x2) / 2) * 1280 - 640) / 920 as rx, (y2 * 720 - 360) / 690 as ry, radians(pitch_deg) as p, radians(roll_deg) as r from frame_item f join l on l.frame_seq = f.frame_seq and rn = 1),
 b as (select *, cos(r) * rx - sin(r) * ry as x, sin(r) * rx + cos(r) * ry as y from a), c as (select *, cos(p) * y + sin(p) as gy, cos(p) - sin(p) * y as gz from b),
 d as (select *, sqrt(pow(2.0 / gy * x, 2) + pow(2.0 / gy * gz, 2)) as m from c),

@@ -7,8 +7,9 @@ import duckdb
 import pytest
 
 from roadloom.plans import feed_queries, fusion_queries, rule_queries  # noqa: F401
-from roadloom.plans.queries import ORACLE, QUERIES
+from roadloom.plans import queries, route_queries
 
+QUERIES, ORACLE = queries.QUERIES | route_queries.QUERIES, queries.ORACLE | route_queries.ORACLE
 SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 
 
