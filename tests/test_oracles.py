@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from roadloom.plans import feed_queries, fusion_queries, rule_queries  # noqa: F401
+from roadloom.plans import feed_queries, fusion_queries, rule_queries, stream_queries  # noqa: F401
 from roadloom.plans import queries, route_queries
 
 QUERIES, ORACLE = queries.QUERIES | route_queries.QUERIES, queries.ORACLE | route_queries.ORACLE
