@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from roadloom.operators import history
 from roadloom.operators import reference_data as ref
 from roadloom.operators import roadnet as road
 
@@ -51,3 +52,14 @@ def test_stops_and_catalogue_rows_of_one_number(spark):
     assert at[1, 0] == (None, None, "ambiguous_match") and at[1, 3] == (None, None, "invalid_static_coordinates") and at[1, 9] == (None, None, "identifier_conflict") and at[1, 8] == ("ars_number", "8", None)
     assert [at[2, i] for i in range(5)] == [("node_id", "5", None), (None, None, "not_found"), (None, None, "not_found"), (None, None, "not_found"), (None, None, "ambiguous_match")]
     assert len(at) == 405
+
+
+def test_centers_at_one_place(spark):
+    points = spark.range(600).select((F.col("id") % 3).alias("vehicle_id"), F.col("id").alias("position_id"), (F.col("id") % 150).alias("recorded_at"), F.when(F.col("id") < 599, 35.001).otherwise(36.0).alias("lat"), F.lit(128.0).alias("lng"))
+    centers = spark.range(400).select(F.col("id").alias("center_id"), F.when(F.col("id") < 399, 35.0).otherwise(50.0).alias("center_lat"), F.lit(128.0).alias("center_lng"))
+    got = history.within_radius(points, centers, 500.0)
+    assert most_rows(got) < 10_000
+    last = {v: max((i % 150, i) for i in range(599) if i % 3 == v)[1] for v in range(3)}
+    assert {(r.center_id, r.vehicle_id, r.position_id) for r in got.collect()} == {(c, v, last[v]) for c in range(399) for v in range(3)}
+    then = history.within_radius(points, centers, 500.0, "latest_then_radius").collect()
+    assert {(r.center_id, r.vehicle_id) for r in then} == {(c, v) for c in range(399) for v in (0, 1)}
