@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from roadloom.operators import history
+from roadloom.operators import feeds, history
 from roadloom.operators import reference_data as ref
 from roadloom.operators import roadnet as road
 
@@ -63,3 +63,13 @@ def test_centers_at_one_place(spark):
     assert {(r.center_id, r.vehicle_id, r.position_id) for r in got.collect()} == {(c, v, last[v]) for c in range(399) for v in range(3)}
     then = history.within_radius(points, centers, 500.0, "latest_then_radius").collect()
     assert {(r.center_id, r.vehicle_id) for r in then} == {(c, v) for c in range(399) for v in (0, 1)}
+
+
+def test_fixes_at_one_place_are_looked_up_once(spark, monkeypatch):
+    looked, inner = [], feeds.ring_nearest
+    monkeypatch.setattr(feeds, "ring_nearest", lambda queries, *a, **k: looked.append(queries.count()) or inner(queries, *a, **k))
+    trace = spark.createDataFrame([("L", "in", 0.0, 35.0, 128.0, 5.0), ("L", "in", 10.0, 35.0, 128.01, 5.0)], "line_no string, direction string, trace_time_s double, lat double, lng double, speed_kmh double")
+    fixes = spark.range(300).select(F.col("id").alias("fix_id"), F.lit("L").alias("line_no"), F.lit("in").alias("direction"), F.lit(35.001).alias("lat"), F.lit(128.005).alias("lng"))
+    got = feeds.project_to_trace(fixes, trace).collect()
+    assert looked == [1] and {r.fix_id for r in got} == set(range(300))
+    assert all(abs(r.distance_m - 111.0) < 1e-6 and abs(r.trace_time_s - 5.0) < 1e-6 for r in got)
