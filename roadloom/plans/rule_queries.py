@@ -190,10 +190,8 @@ pc as (select way_id, segment, count(case when lat is distinct from plat or lon
 select a.way_id, cast(a.segment as bigint) as segment, reverse, points from a join pc on pc.way_id = a.way_id and pc.segment = a.segment""", "osm_way_ref", "osm_way", "osm_node")
 def edge_lines(v):
     """The points of every edge, in its own direction; two that lie at one place count once."""
-    args = v("osm_node"), v("osm_way"), v("osm_way_ref")
-    e = road.build_edges(*args).select(F.struct("way_id", "segment", "reverse").alias("edge"), F.lit(0).alias("step"), "way_id", "segment", "reverse")
-    lines = road.path_geometry(e, road.edge_points(*args), ["edge"])
-    return lines.select("edge.way_id", F.col("edge.segment").cast("long").alias("segment"), "edge.reverse", F.size("line").cast("long").alias("points"))
+    lines = road.edge_lines(v("osm_node"), v("osm_way"), v("osm_way_ref"))
+    return lines.select("way_id", F.col("segment").cast("long").alias("segment"), "reverse", F.size("line").cast("long").alias("points"))
 
 
 @query(f"""with {_NEARWAY}, o as (select way_id, facility_id, {hav('f.lat', 'f.lon', 'n.lat', 'n.lon')} as d from (select r.way_id, min(n.lat) as lat, min(n.lon) as lon from osm_way_ref r join osm_way y on r.way_id = y.way_id and highway in {"('motorway', 'primary', 'residential', 'service', 'track')"} join osm_node n on n.node_id = r.node_id group by 1 having count(*) = 1) n, facility f),
