@@ -45,6 +45,17 @@ def test_fusion_of_nothing(spark):
     assert fused(spark, []) == {}
 
 
+def test_a_long_silence_is_listed_by_many_tasks(spark):
+    f = spark.createDataFrame([(1, "L1", "outbound", 35.0, 129.0, T0)], "fix_id long, line_no string, direction string, lat double, lng double, observed_at timestamp")
+    points = [("L1", "outbound", "T", float(s), 35.0 + s * 0.00001, 129.0, 30.0) for s in range(0, 5001, 1000)]
+    trace = spark.createDataFrame(points, "line_no string, direction string, trace_id string, trace_time_s double, lat double, lng double, speed_kmh double")
+    out = fuse_positions(f, trace, after_s=9000.0).withColumn("task", F.spark_partition_id())
+    rows = {int(r.tick) - int(T0.replace(tzinfo=dt.timezone.utc).timestamp()): r for r in out.collect()}
+    silent = [r.task for r in rows.values() if r.state == "interpolated"]
+    assert sorted(rows) == list(range(9001)) and len(silent) == 8985 and len(set(silent)) > 1
+    assert all(abs(rows[k].lat - (35.0 + min(k - 16, 5000) * 0.00001)) < 1e-9 and rows[k].past_end == (k - 16 > 5000) for k in range(16, 9001))
+
+
 def run(stream, name, path, mode="append"):
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(path / name)).start()
     q.processAllAvailable()
