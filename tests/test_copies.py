@@ -54,6 +54,18 @@ def test_stops_and_catalogue_rows_of_one_number(spark):
     assert len(at) == 405
 
 
+def test_report_of_all_lines_and_unresolved_stops(spark):
+    catalog = spark.createDataFrame([("7", "1", 35.0, 128.0), ("8", "2", 0.0, 128.0)], "arsno string, bstopid string, gpsy double, gpsx double")
+    stops = spark.createDataFrame([(1, 0, "7", None), (1, 1, "8", None), (1, 2, None, "9"), (2, 0, " 7 ", "1")], "line_no int, stop_index int, ars_number string, node_id string")
+    report = lambda s: {tuple(r) for r in ref.match_report(ref.match_stops(s, catalog, ids=True)).collect()}
+    none = (None,) * 4
+    assert report(stops) == {
+        ("all", None, *none, 4, 2, 2, False), ("line", 1, *none, 3, 1, 2, False), ("line", 2, *none, 1, 1, 0, True),
+        ("stop", 1, 1, "00008", None, "invalid_static_coordinates", *none), ("stop", 1, 2, None, "9", "not_found", *none),
+    }
+    assert report(stops.limit(0)) == {("all", None, *none, 0, 0, 0, True)}
+
+
 def test_centers_at_one_place(spark):
     points = spark.range(600).select((F.col("id") % 3).alias("vehicle_id"), F.col("id").alias("position_id"), (F.col("id") % 150).alias("recorded_at"), F.when(F.col("id") < 599, 35.001).otherwise(36.0).alias("lat"), F.lit(128.0).alias("lng"))
     centers = spark.range(400).select(F.col("id").alias("center_id"), F.when(F.col("id") < 399, 35.0).otherwise(50.0).alias("center_lat"), F.lit(128.0).alias("center_lng"))
