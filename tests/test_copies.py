@@ -1,5 +1,6 @@
 """Copies at one place or under one number are met once, not each by each."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from roadloom.operators import feeds, history
@@ -77,6 +78,28 @@ def test_centers_at_one_place(spark):
     assert {(r.center_id, r.vehicle_id) for r in then} == {(c, v) for c in range(399) for v in (0, 1)}
 
 
+@pytest.mark.parametrize("places", [1 << 16, 7])
+def test_pairs_near_centers_are_not_exchanged(spark, monkeypatch, places):
+    monkeypatch.setattr(history, "PLACES", places, raising=False)
+    points = spark.range(600).select((F.col("id") % 3).alias("vehicle_id"), F.col("id").alias("position_id"), (F.col("id") % 150).alias("recorded_at"), (35.0 + (F.col("id") % 20) / 1000).alias("lat"), F.lit(128.0).alias("lng"))
+    centers = spark.range(40).select(F.col("id").alias("center_id"), (35.0 + (F.col("id") % 20) / 1000).alias("center_lat"), F.lit(128.0).alias("center_lng"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the centers were many
+    try:
+        got = history.within_radius(points, centers, 120.0)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = got.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    last = {}
+    for i in sorted(range(600), key=lambda i: (i % 150, i)):
+        for c in range(40):
+            if abs(i % 20 - c % 20) <= 1:
+                last[c, i % 3] = i
+    assert {(r.center_id, r.vehicle_id): r.position_id for r in rows} == last and len(rows) == len(last)
+
+
 def test_fixes_at_one_place_are_looked_up_once(spark, monkeypatch):
     looked, inner = [], feeds.ring_nearest
     monkeypatch.setattr(feeds, "ring_nearest", lambda queries, *a, **k: looked.append(queries.count()) or inner(queries, *a, **k))
